@@ -165,6 +165,7 @@ STUDY_OPPONENTS = [
 
 # table profile
 SCHEMA_NAMES = {1: "dbo", 5: "Admin1", 6: "temp"}
+TEMPORARY_SCHEMA = 6
 TARGET_YEAR = -2000
 TARGET_FIRST_YEARS = {"BAG_REGIO": 1970, "BAG_POLREG": 1993, "WEER": 1985}
 FIXED_PERIODS = {"SARTRE_GORDEL": (1992, 2003)}

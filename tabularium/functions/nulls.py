@@ -3,39 +3,33 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .text import literal, literals
 
 
-def member(col: Column, values: Iterable) -> Column:
+def member(col: str, values: Iterable) -> str:
     """``col`` is one of ``values``; a missing value is in no list, so FALSE and never NULL."""
-    return F.coalesce(col.isin(list(values)), F.lit(False))
+    return f"coalesce({col} IN {literals(values)}, false)"
 
 
-def lacks_text(col: Column, *markers: str) -> Column:
-    """True when none of the markers occurs in ``col``. Missing text holds no marker, so it passes.
+def lacks_text(col: str, *markers: str) -> str:
+    """None of the markers occurs in ``col``. Missing text holds no marker, so it passes.
 
-    Markers are literal: an underscore is an underscore. Written as ``IS NULL OR NOT contains`` so
-    that the whole predicate can still be handed to the scan.
+    Markers are literal: an underscore is an underscore.
     """
-    return reduce(and_, [col.isNull() | ~col.contains(m) for m in markers])
+    return " AND ".join(f"({col} IS NULL OR NOT contains({col}, {literal(m)}))" for m in markers)
 
 
-def lacks_prefix(col: Column, *prefixes: str) -> Column:
-    """True when ``col`` starts with none of the prefixes, or is missing."""
-    return reduce(and_, [col.isNull() | ~col.startswith(p) for p in prefixes])
+def lacks_prefix(col: str, *prefixes: str) -> str:
+    """``col`` starts with none of the prefixes, or is missing."""
+    return " AND ".join(f"({col} IS NULL OR NOT startswith({col}, {literal(p)}))" for p in prefixes)
 
 
-def lacks_code(col: Column, *codes) -> Column:
-    """True when ``col`` is none of the codes, or is missing."""
-    return col.isNull() | ~col.isin(list(codes))
+def lacks_code(col: str, *codes) -> str:
+    """``col`` is none of the codes, or is missing."""
+    return f"({col} IS NULL OR {col} NOT IN {literals(codes)})"
 
 
-def strict_if(test: Column, yes, no) -> Column:
-    """Two-way choice that is missing where the test is unknown."""
-    yes = yes if isinstance(yes, Column) else F.lit(yes)
-    no = no if isinstance(no, Column) else F.lit(no)
-    return F.when(test, yes).when(~test, no)
+def strict_if(test: str, yes: str, no: str) -> str:
+    """Two-way choice between two expressions that is missing where the test is unknown."""
+    return f"CASE WHEN {test} THEN {yes} WHEN NOT ({test}) THEN {no} END"

@@ -1,18 +1,34 @@
-"""Joining values into text."""
+"""Literals, and joining values into text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Iterable
+from typing import Any
 
 MISSING = "NA"
 
 
-def paste(*cols: Column, sep: str = " ") -> Column:
+def literal(value: Any) -> str:
+    """A Python value as a SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, (bool, int, float)):
+        return str(value)
+    escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def literals(values: Iterable[Any]) -> str:
+    """Python values as a SQL list."""
+    return f"({', '.join(literal(v) for v in values)})"
+
+
+def paste(*cols: str, sep: str = " ") -> str:
     """Join values with a separator; a missing value is written as ``NA``."""
-    return F.concat_ws(sep, *[F.coalesce(c.cast("string"), F.lit(MISSING)) for c in cols])
+    parts = ", ".join(f"coalesce(cast({c} AS STRING), {literal(MISSING)})" for c in cols)
+    return f"concat_ws({literal(sep)}, {parts})"
 
 
-def period_text(first: Column, last: Column) -> Column:
+def period_text(first: str, last: str) -> str:
     """``first-last``, empty when both are missing."""
-    return F.when(first.isNull() & last.isNull(), "").otherwise(paste(first, last, sep="-"))
+    return f"CASE WHEN {first} IS NULL AND {last} IS NULL THEN '' ELSE {paste(first, last, sep='-')} END"

@@ -13,32 +13,26 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import MISSING
+from ..functions.text import MISSING, literal
 from .union import append
 
 
 def group_count(df: DataFrame, *by: str | Column, name: str = "n") -> DataFrame:
     """Rows per group."""
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    return df.groupBy(*by).agg(F.expr(f"count(1) AS {name}"))
 
 
-def total(measure: str | Column) -> Column:
+def total(measure: str) -> str:
     """Sum that skips missing values and is 0, not missing, when there is nothing to add."""
-    col = F.col(measure) if isinstance(measure, str) else measure
-    summed = F.sum(col)
-    return F.coalesce(summed, F.lit(0).cast("bigint"))
+    return f"coalesce(sum({measure}), 0L)"
 
 
-def group_sum(df: DataFrame, *by: str | Column, measure: str | Column, name: str | None = None) -> DataFrame:
+def group_sum(df: DataFrame, *by: str | Column, measure: str, name: str | None = None) -> DataFrame:
     """Sum of a measure per group, see :func:`total`."""
-    if name is None:
-        name = measure if isinstance(measure, str) else "n"
-    return df.groupBy(*by).agg(total(measure).alias(name))
+    return df.groupBy(*by).agg(F.expr(f"{total(measure)} AS {name or measure}"))
 
 
-def weighted_count(
-    df: DataFrame, *by: str | Column, weight: str | Column | None = None, name: str = "n"
-) -> DataFrame:
+def weighted_count(df: DataFrame, *by: str | Column, weight: str | None = None, name: str = "n") -> DataFrame:
     """Rows per group, or the sum of ``weight`` per group when given."""
     return group_count(df, *by, name=name) if weight is None else group_sum(df, *by, measure=weight, name=name)
 
@@ -57,13 +51,12 @@ def contingency(
     """
     if missing_level:
         levels = [str(v) for v in levels] + [MISSING]
-        named = [
-            F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in dict.fromkeys((rows, columns))
-        ]
-        pairs = df.select(*named)
+        pairs = df.selectExpr(
+            *[f"coalesce(cast({c} AS STRING), {literal(MISSING)}) AS {c}" for c in (rows, columns)]
+        )
     else:
-        pairs = df.where(F.col(rows).isNotNull() & F.col(columns).isNotNull()).select(rows, columns)
-    counted = pairs.groupBy(rows).pivot(columns, list(levels)).agg(F.count(F.lit(1)))
+        pairs = df.where(f"{rows} IS NOT NULL AND {columns} IS NOT NULL").select(rows, columns)
+    counted = pairs.groupBy(rows).pivot(columns, list(levels)).agg(F.expr("count(1)"))
     return counted.na.fill(0, [str(v) for v in levels])
 
 
@@ -72,12 +65,12 @@ def wide_count(
     *by: str,
     period: str,
     periods: Sequence[Any],
-    weight: str | Column | None = None,
+    weight: str | None = None,
     prefix: str = "",
 ) -> DataFrame:
     """One column per period with the (weighted) count; an absent cell is missing, not zero."""
-    measure = F.count(F.lit(1)) if weight is None else total(weight)
-    wide = df.groupBy(*by).pivot(period, list(periods)).agg(measure)
+    measure = "count(1)" if weight is None else total(weight)
+    wide = df.groupBy(*by).pivot(period, list(periods)).agg(F.expr(measure))
     return wide.withColumnsRenamed({str(p): f"{prefix}{p}" for p in periods}) if prefix else wide
 
 
@@ -93,11 +86,9 @@ def reshape_wide(
     The job fails when a cell would have to hold two values.
     """
     ids = [c for c in df.columns if c not in (names_from, values_from)]
-    twice = F.raise_error(F.lit(f"two values of {values_from} for one cell")).cast(
-        df.schema[values_from].dataType
-    )
-    cell = F.when(F.count(F.lit(1)) <= 1, F.any_value(values_from)).otherwise(twice)
-    wide = df.groupBy(*ids).pivot(names_from, list(periods)).agg(cell)
+    message = literal(f"two values of {values_from} for one cell")
+    cell = f"CASE WHEN count(1) <= 1 THEN any_value({values_from}) ELSE raise_error({message}) END"
+    wide = df.groupBy(*ids).pivot(names_from, list(periods)).agg(F.expr(cell))
     return wide.withColumnsRenamed({str(p): f"{prefix}{p}" for p in periods}) if prefix else wide
 
 
@@ -119,33 +110,31 @@ def reconcile(breakdowns: Mapping[str, DataFrame], year: str, measure: str) -> D
 
     A breakdown without rows for a year shows a missing total, and then the totals are not equal.
     """
-    tagged = [
-        group_sum(df, year, measure=measure, name="n").withColumn("_dim", F.lit(dim))
-        for dim, df in breakdowns.items()
+    rows = [
+        df.selectExpr(year, f"{measure} AS n", f"{literal(dim)} AS _dim") for dim, df in breakdowns.items()
     ]
     names = list(breakdowns)
-    wide = append(*tagged).groupBy(year).pivot("_dim", names).agg(F.sum("n"))
-    first = F.col(names[0])
-    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(first) for n in names])
-    return wide.withColumn("all_equal", same & first.isNotNull())
+    wide = append(*rows).groupBy(year).pivot("_dim", names).agg(F.expr(total("n")))
+    same = " AND ".join(f"{n} <=> {names[0]}" for n in names)
+    return wide.selectExpr("*", f"{same} AND {names[0]} IS NOT NULL AS all_equal")
 
 
 def same_total(output: DataFrame, measure: str, *inputs: DataFrame) -> DataFrame:
     """Whether the measure adds up to the number of input rows: one row ``(total, rows, equal)``."""
-    rows = reduce(
-        DataFrame.unionAll,
-        [df.agg(F.lit(0).cast("bigint").alias("total"), F.count(F.lit(1)).alias("rows")) for df in inputs],
-        output.agg(total(measure).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("rows")),
-    )
-    return rows.agg(F.sum("total").alias("total"), F.sum("rows").alias("rows")).withColumn(
-        "equal", F.col("total") == F.col("rows")
+    out = output.agg(F.expr(f"cast({total(measure)} AS BIGINT) AS total"), F.expr("0L AS rows"))
+    counts = [df.agg(F.expr("0L AS total"), F.expr("count(1) AS rows")) for df in inputs]
+    both = reduce(DataFrame.unionAll, counts, out).agg(
+        F.expr("sum(total) AS total"), F.expr("sum(rows) AS rows")
     )
+    return both.selectExpr("*", "total = rows AS equal")
 
 
-def latest(order: Sequence[str]) -> Column:
-    """Ordering value for ``max_by``: a missing first key counts as latest, later keys break ties."""
-    first, *ties = order
-    return F.struct(F.col(first).isNull().alias("_open"), *[F.col(c) for c in (first, *ties)])
+def last_values(values: Sequence[str], order: Sequence[str]) -> str:
+    """Aggregate that gives a struct of the values in the last row.
+
+    A missing first key of ``order`` counts as last; the other keys break ties.
+    """
+    return f"max_by(struct({', '.join(values)}), struct({order[0]} IS NULL, {', '.join(order)}))"
 
 
 def last_per_group(
@@ -156,5 +145,5 @@ def last_per_group(
     ``order`` is the time column followed by tie-breaks; a row without a time counts as last. Done as
     a ``max_by`` aggregate rather than a ranked window, which would carry whole groups to one task.
     """
-    picked = df.groupBy(*by).agg(F.max_by(F.struct(*values), latest(order)).alias("_last"))
-    return picked.select(*by, *[F.col(f"_last.{v}").alias(v) for v in values])
+    picked = df.groupBy(*by).agg(F.expr(f"{last_values(values, order)} AS _last"))
+    return picked.select(*by, "_last.*")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +29,7 @@ def _set_aside(right: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
 def _matches(pairs: Mapping[str, str], null_safe: bool | Iterable[str]) -> Column:
     """Join condition; ``null_safe`` is True, False, or the left keys that may be missing."""
     safe = set(pairs) if null_safe is True else set(null_safe or ())
-    tests = []
-    for left, right in pairs.items():
-        a, b = F.col(left), F.col(_aside(right))
-        tests.append(a.eqNullSafe(b) if left in safe else a == b)
-    return reduce(and_, tests)
+    return F.expr(" AND ".join(f"{a} {'<=>' if a in safe else '='} {_aside(b)}" for a, b in pairs.items()))
 
 
 def attach(
@@ -62,7 +56,7 @@ def attach(
 
 
 def _distinct_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.select(*[F.col(n).alias(_aside(n)) for n in names]).distinct()
+    return df.selectExpr(*[f"{n} AS {_aside(n)}" for n in names]).distinct()
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: Keys) -> DataFrame:
@@ -80,11 +74,9 @@ def missing_from(df: DataFrame, other: DataFrame, on: Keys) -> DataFrame:
 def flag_present(df: DataFrame, other: DataFrame, on: Keys, name: str = "present") -> DataFrame:
     """Add a flag that tells whether the key occurs in ``other``."""
     pairs = key_pairs(on)
-    found = _distinct_keys(other, list(pairs.values())).withColumn(name, F.lit(True))
+    found = _distinct_keys(other, list(pairs.values())).selectExpr("*", "true AS _found")
     out = df.join(found, _matches(pairs, True), "left")
-    return out.drop(*[_aside(r) for r in pairs.values()]).withColumn(
-        name, F.coalesce(F.col(name), F.lit(False))
-    )
+    return out.selectExpr(*df.columns, f"_found IS NOT NULL AS {name}")
 
 
 def full_merge(many: DataFrame, few: DataFrame, on: str | Sequence[str]) -> DataFrame:

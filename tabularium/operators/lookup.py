@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import label_map, to_int
+from ..functions import label_map, literal, to_int
 from .joins import Keys, attach, key_pairs
 
 BROADCAST_ROWS = 200_000
@@ -15,14 +15,11 @@ BROADCAST_ROWS = 200_000
 
 def codebook_slice(codebook: DataFrame, number: int | None = None, name: str | None = None) -> DataFrame:
     """Rows of one variable, found by number or by name (the name may be missing)."""
-    tests: list[Column] = []
-    if name is not None:
-        tests.append(F.col("var_naam") == name)
-    if number is not None:
-        tests.append(F.col("var_nr") == number)
+    wanted = {"var_naam": name, "var_nr": number}
+    tests = [f"{col} = {literal(value)}" for col, value in wanted.items() if value is not None]
     if not tests:
         raise ValueError("give a variable number or a name")
-    return codebook.where(tests[0] if len(tests) == 1 else tests[0] | tests[1])
+    return codebook.where(" OR ".join(tests))
 
 
 def codebook_lookup(
@@ -42,12 +39,11 @@ def codebook_lookup(
     often differ in capitals only, which Spark does not tell apart.
     """
     rows = codebook_slice(codebook, number, name)
-    cols = [(to_int(F.col("code")) if numeric else F.col("code")).alias("code")]
+    cols = [f"{to_int('code') if numeric else 'code'} AS code"]
     for source, wanted in (("oms", label), ("omsgb", label_en)):
         if wanted is not None:
-            text = F.col(source)
-            cols.append((label_map(text, repairs) if repairs else text).alias(wanted))
-    return rows.select(*cols).where(F.col("code").isNotNull())
+            cols.append(f"{label_map(source, repairs) if repairs else source} AS {wanted}")
+    return rows.selectExpr(*cols).where("code IS NOT NULL")
 
 
 def require_unique(ref: DataFrame, keys: str | Sequence[str]) -> DataFrame:
@@ -57,21 +53,23 @@ def require_unique(ref: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     grouping is spread over the cluster.
     """
     names = [keys] if isinstance(keys, str) else list(keys)
-    values = [c for c in ref.columns if c not in names]
-    grouped = ref.groupBy(*names).agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.any_value(F.col(f"`{c}`")).alias(c) for c in values]
-    )
-    once = F.assert_true(F.col("_rows") == 1, F.lit(f"lookup key occurs twice: {', '.join(names)}"))
-    return grouped.where(once.isNull()).select(*[F.col(f"`{c}`") for c in ref.columns])
+    columns = ref.columns
+    values = [f"any_value(`{c}`) AS `{c}`" for c in columns if c not in names]
+    grouped = ref.groupBy(*names).agg(*[F.expr(e) for e in ["count(1) AS _rows", *values]])
+    message = literal(f"lookup key occurs twice: {', '.join(names)}")
+    return grouped.where(f"assert_true(_rows = 1, {message}) IS NULL").select(*[f"`{c}`" for c in columns])
 
 
-def sized_broadcast(ref: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def sized_broadcast(
+    ref: DataFrame, max_rows: int = BROADCAST_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
     """Hint a broadcast when ``ref`` holds at most ``max_rows`` rows, counted now; else leave it.
 
     For lookups that are themselves made by joins, whose size Catalyst can only overestimate. Plain
-    slices of a small table need no hint: the size of their files is known.
+    slices of a small table need no hint: the size of their files is known. ``counted`` may name a
+    cheaper table with as many rows.
     """
-    small = ref.limit(max_rows + 1).count() <= max_rows
+    small = (ref if counted is None else counted).limit(max_rows + 1).count() <= max_rows
     return F.broadcast(ref) if small else ref
 
 
@@ -101,7 +99,5 @@ def successors(areas: DataFrame, key: str, successor: str, suffix: str = "_recen
     """
     own = [c for c in areas.columns if c not in (key, successor)]
     label, attributes = own[0], own[1:]
-    present = areas.select(
-        F.col(key).alias(successor), F.col(label).alias(f"{label}{suffix}"), *attributes
-    )
+    present = areas.selectExpr(f"{key} AS {successor}", f"{label} AS {label}{suffix}", *attributes)
     return left_lookup(areas.select(key, label, successor), present, successor)

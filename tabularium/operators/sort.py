@@ -13,7 +13,7 @@ def arrange(df: DataFrame, *keys: str, drop: list[str] | None = None) -> DataFra
     middle of a plan costs a shuffle and is undone by the next one.
     """
     order = [
-        F.col(k[1:]).desc_nulls_last() if k.startswith("-") else F.col(k).asc_nulls_last() for k in keys
+        F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc_nulls_last(k) for k in keys
     ]
     out = df.orderBy(*order)
     return out.drop(*drop) if drop else out

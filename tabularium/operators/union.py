@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 
 def append(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -22,10 +22,10 @@ def append_filled(first: DataFrame, *others: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, first)
 
 
-def two_periods(old: DataFrame, new: DataFrame, year: Column, cutover: int, *late: DataFrame) -> DataFrame:
+def two_periods(old: DataFrame, new: DataFrame, year: str, cutover: int, *late: DataFrame) -> DataFrame:
     """One series from two sources: ``old`` before the cut-over year, ``new`` from it on.
 
     ``late`` tables are reports that the old source missed; they are kept whatever their year. One
     cut-over year serves both sides, so no year is counted twice.
     """
-    return append_filled(old.where(year < cutover), *late, new.where(year >= cutover))
+    return append_filled(old.where(f"{year} < {cutover}"), *late, new.where(f"{year} >= {cutover}"))

@@ -16,7 +16,7 @@ def running_total(
     ``counts`` holds one row per calendar year, so the unpartitioned window sees at most a few
     thousand rows whatever the size of the table that was counted.
     """
-    newest_first = Window.orderBy(F.col(year).desc_nulls_last())
+    newest_first = Window.orderBy(F.desc_nulls_last(year))
     frame = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return counts.withColumn(name, F.sum(measure).over(frame))
 
@@ -34,45 +34,25 @@ def pack_years(
     by itself gets its own chunk. ``counts`` must hold one row per year. All years are folded in one
     row, which is why more than ``MAX_YEARS`` of them are refused.
     """
-    ordered = F.sort_array(
-        F.collect_list(F.struct(F.col(year).alias("y"), F.col(measure).cast("bigint").alias("n"))),
-        asc=False,
-    )
-    empty = F.expr(
-        "named_struct('size', bigint(0), 'chunk', int(1),"
-        " 'out', cast(array() as array<struct<y:bigint,n:bigint,chunk:int,cum:bigint>>), 'cum', bigint(0))"
-    )
-
-    def step(acc, row):
-        full = (acc["size"] > 0) & (acc["size"] + row["n"] > limit)
-        chunk = F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"])
-        cum = acc["cum"] + row["n"]
-        entry = F.struct(
-            row["y"].cast("bigint").alias("y"), row["n"].alias("n"), chunk.alias("chunk"), cum.alias("cum")
-        )
-        return F.struct(
-            F.when(full, row["n"]).otherwise(acc["size"] + row["n"]).alias("size"),
-            chunk.alias("chunk"),
-            F.concat(acc["out"], F.array(entry)).alias("out"),
-            cum.alias("cum"),
-        )
-
-    too_many = F.raise_error(F.lit(f"more than {MAX_YEARS} years")).cast(
-        "array<struct<y:bigint,n:bigint,chunk:int,cum:bigint>>"
+    newest_first = f"sort_array(collect_list(struct({year} AS y, cast({measure} AS BIGINT) AS n)), false)"
+    entries = "array<struct<y:bigint,n:bigint,cum:bigint,chunk:int>>"
+    full = f"acc.size > 0 AND acc.size + row.n > {limit}"
+    chunk = f"acc.chunk + if({full}, 1, 0)"
+    entry = f"struct(cast(row.y AS BIGINT) AS y, row.n AS n, acc.cum + row.n AS cum, {chunk} AS chunk)"
+    step = (
+        f"struct(if({full}, row.n, acc.size + row.n) AS size, {chunk} AS chunk, acc.cum + row.n AS cum,"
+        f" concat(acc.out, array({entry})) AS out)"
     )
+    start = f"struct(0L AS size, 1 AS chunk, 0L AS cum, cast(array() AS {entries}) AS out)"
     packed = (
-        counts.agg(ordered.alias("years"))
-        .select(
-            F.when(F.size("years") > MAX_YEARS, too_many)
-            .otherwise(F.aggregate("years", empty, step)["out"])
-            .alias("out")
+        counts.agg(F.expr(f"{newest_first} AS years"))
+        .selectExpr(
+            f"CASE WHEN size(years) <= {MAX_YEARS} THEN aggregate(years, {start}, (acc, row) -> {step}).out"
+            f" ELSE raise_error('more than {MAX_YEARS} years') END AS out"
         )
-        .select(F.inline("out"))
+        .selectExpr("inline(out)")
     )
-    kind = counts.schema[year].dataType
-    return packed.select(
-        F.col("y").cast(kind).alias(year),
-        F.col("n").alias(measure),
-        F.col("cum"),
-        F.col("chunk").alias(name),
+    kind = counts.schema[year].dataType.simpleString()
+    return packed.selectExpr(
+        f"cast(y AS {kind}) AS {year}", f"n AS {measure}", "cum", f"chunk AS {name}"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codes, first_match, label_map, strict_if
+from ..functions import codes, first_match, label_map, literal, literals, strict_if
 from ..operators import append, append_filled, group_count, group_sum, left_lookup
 from .dimensions import REGION_COLUMNS
 
@@ -15,54 +15,51 @@ COLUMNS = ["Jaar", "Ernst_ongeval", "pv", *REGION_COLUMNS, "Wegbeheerder"]
 def late_accidents(*files: DataFrame) -> DataFrame:
     """Late reports with their two-digit years spelled out."""
     rows = append(*[f.select("JAAR", "KEY_GEM", "WEGBEH", "NDOOD") for f in files])
-    return rows.select(
-        strict_if(F.col("JAAR") == 92, 1992, 1993).alias("Jaar"),
-        F.col("KEY_GEM").alias("gemeente_nr"),
-        F.col("WEGBEH").alias("wegbeh"),
-        F.col("NDOOD").alias("Ndood"),
+    return rows.selectExpr(
+        f"{strict_if('JAAR = 92', '1992', '1993')} AS Jaar",
+        "KEY_GEM AS gemeente_nr",
+        "WEGBEH AS wegbeh",
+        "NDOOD AS Ndood",
     )
 
 
 def _new_codes(new: DataFrame) -> DataFrame:
     severity = first_match(
-        [(F.col("ernong5") == 1, "Dodelijk"), (F.col("ernong5") == codes.DAMAGE_ONLY, "UMS")], otherwise="Letsel"
+        [("ernong5 = 1", "Dodelijk"), (f"ernong5 = {codes.DAMAGE_ONLY}", "UMS")], literal("Letsel")
     )
-    report = F.col("PVrapp")
     reported = first_match(
         [
-            (report.isin(codes.REPORT_FULL_CODES), codes.REPORT_FULL),
-            (F.col("ernong5") != codes.DAMAGE_ONLY, codes.REPORT_FULL),
-            (report.isin(codes.REPORT_SHORT_CODES), codes.REPORT_SHORT),
-            (report.isin(codes.REPORT_INSURER_CODES), codes.REPORT_INSURER),
+            (f"PVrapp IN {literals(codes.REPORT_FULL_CODES)}", codes.REPORT_FULL),
+            (f"ernong5 <> {codes.DAMAGE_ONLY}", codes.REPORT_FULL),
+            (f"PVrapp IN {literals(codes.REPORT_SHORT_CODES)}", codes.REPORT_SHORT),
+            (f"PVrapp IN {literals(codes.REPORT_INSURER_CODES)}", codes.REPORT_INSURER),
         ]
     )
-    return new.select(
-        F.col("jaar").alias("Jaar"),
-        severity.alias("Ernst_ongeval"),
-        reported.alias("pv"),
-        F.col("key_gem").alias("gemeente_nr"),
-        F.col("wegbeh").cast("string").alias("wegbeh"),
+    return new.selectExpr(
+        "jaar AS Jaar",
+        f"{severity} AS Ernst_ongeval",
+        f"{reported} AS pv",
+        "key_gem AS gemeente_nr",
+        "cast(wegbeh AS STRING) AS wegbeh",
     )
 
 
 def _old_codes(old: DataFrame) -> DataFrame:
-    return old.select(
+    return old.selectExpr(
         "Jaar",
-        F.when(F.col("Ndood") == 0, "Letsel").otherwise("Dodelijk").alias("Ernst_ongeval"),
-        F.lit(codes.REPORT_FULL).alias("pv"),
+        f"{first_match([('Ndood = 0', 'Letsel')], literal('Dodelijk'))} AS Ernst_ongeval",
+        f"{literal(codes.REPORT_FULL)} AS pv",
         "gemeente_nr",
-        F.col("wegbeh").cast("string").alias("wegbeh"),
+        "cast(wegbeh AS STRING) AS wegbeh",
     )
 
 
 def _labelled(coded: DataFrame, regions: DataFrame, authorities: DataFrame, old: bool) -> DataFrame:
     counted = group_count(coded, *coded.columns, name="Aantal")
     named = left_lookup(counted, authorities, {"wegbeh": "code"})
-    named = left_lookup(named, regions, "gemeente_nr")
+    named = left_lookup(named, regions, "gemeente_nr", unique=False)
     if old:
-        named = named.withColumn(
-            "Wegbeheerder", label_map(F.col("Wegbeheerder"), codes.OLD_AUTHORITIES)
-        )
+        named = named.withColumn("Wegbeheerder", F.expr(label_map("Wegbeheerder", codes.OLD_AUTHORITIES)))
     return group_sum(named, *COLUMNS, measure="Aantal")
 
 
@@ -80,10 +77,10 @@ def accident_series(
     gemeente_nr, wegbeh``; ``authorities`` translates the code as text to ``Wegbeheerder``. Events are
     counted on their codes, and only the counts meet the lookups.
     """
-    before = _old_codes(old.where(F.col("Jaar") < cutover))
+    before = _old_codes(old.where(f"Jaar < {cutover}"))
     if late is not None:
         before = append(before, _old_codes(late))
-    after = _new_codes(new.where(F.col("jaar") >= cutover))
+    after = _new_codes(new.where(f"jaar >= {cutover}"))
     return append_filled(
         _labelled(before, regions, authorities, old=True),
         _labelled(after, regions, authorities, old=False),

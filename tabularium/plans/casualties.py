@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codes, label_map, member, recode
+from ..functions import codes, label_map, literal, member, recode
 from ..operators import append, attach, group_count, group_sum, left_lookup
 from ..sources.scan import tagged
 from .dimensions import add_age_labels
@@ -27,26 +27,25 @@ def late_casualties(casualties: DataFrame, objects: DataFrame, year: int) -> Dat
     """Late casualties of one year with the transport mode of their vehicle."""
     modes = objects.select("VORNUM", "KEY_OBJ", "VVM")
     joined = tagged(attach(casualties, modes, ["VORNUM", "KEY_OBJ"]), Jaar=year)
-    return joined.select(
+    return joined.selectExpr(
         "Jaar",
-        F.col("ERNSTSL").alias("ernstsl"),
-        F.col("KEY_GEM").alias("gemeente_nr"),
-        F.col("LFTSL").alias("lftsl"),
-        F.col("SEXESL").alias("sexesl"),
+        "ERNSTSL AS ernstsl",
+        "KEY_GEM AS gemeente_nr",
+        "LFTSL AS lftsl",
+        "SEXESL AS sexesl",
         "VVM",
     )
 
 
 def _counted(rows: DataFrame, municipality: str, mode: str) -> DataFrame:
     """Casualties counted on their codes; the age is banded before, as the bands are what is kept."""
-    coded = add_age_labels(rows, "lftsl").select(
-        F.col("Jaar"),
-        recode(F.col("ernstsl"), codes.OUTCOMES).alias("Afloop"),
-        F.col(municipality).alias("gemeente_nr"),
-        F.col(mode).alias("vvm"),
-        F.when(member(F.col("sexesl"), [1, 2]), F.col("sexesl").cast("string"))
-        .otherwise(OTHER_SEX)
-        .alias("sexesl"),
+    sex = f"CASE WHEN {member('sexesl', [1, 2])} THEN cast(sexesl AS STRING) ELSE {literal(OTHER_SEX)} END"
+    coded = add_age_labels(rows, "lftsl").selectExpr(
+        "Jaar",
+        f"{recode('ernstsl', codes.OUTCOMES)} AS Afloop",
+        f"{municipality} AS gemeente_nr",
+        f"{mode} AS vvm",
+        f"{sex} AS sexesl",
         "Leeftijd_stat",
     )
     return group_count(coded, *coded.columns, name="Aantal")
@@ -58,7 +57,7 @@ def _labelled(
     named = left_lookup(counted, classes, "vvm")
     named = left_lookup(named, labels, {"vvm_klasse": "code"})
     named = left_lookup(named, sexes, {"sexesl": "code"})
-    return left_lookup(named, regions, "gemeente_nr")
+    return left_lookup(named, regions, "gemeente_nr", unique=False)
 
 
 def casualty_series(
@@ -82,9 +81,9 @@ def casualty_series(
     """
 
     def classes(table: DataFrame, key: str, value: str) -> DataFrame:
-        return table.select(F.col(key).alias("vvm"), F.col(value).cast("string").alias("vvm_klasse"))
+        return table.selectExpr(f"{key} AS vvm", f"cast({value} AS STRING) AS vvm_klasse")
 
-    before = old.where(F.col("Jaar") < cutover).select(
+    before = old.where(f"Jaar < {cutover}").select(
         "Jaar", "ernstsl", "gemeente_nr", "VVM", "lftsl", "sexesl"
     )
     if late is not None:
@@ -95,8 +94,8 @@ def casualty_series(
         old_mode_labels,
         sexes,
         regions,
-    ).withColumn("Vervoerswijze", label_map(F.col("Vervoerswijze"), codes.OLD_MODES))
-    after = new.where(F.col("jaar") >= cutover).withColumnRenamed("jaar", "Jaar")
+    ).withColumn("Vervoerswijze", F.expr(label_map("Vervoerswijze", codes.OLD_MODES)))
+    after = new.where(f"jaar >= {cutover}").withColumnRenamed("jaar", "Jaar")
     after_named = _labelled(
         _counted(after, "key_gem", "ote_sl"),
         classes(new_modes, "OTE_ID", "VVM_IVO"),
@@ -105,7 +104,7 @@ def casualty_series(
         regions,
     )
     base = append(*[df.select(*BASE, "Aantal") for df in (before_named, after_named)])
-    merged = base.withColumn("Afloop", label_map(F.col("Afloop"), codes.INJURED))
+    merged = base.withColumn("Afloop", F.expr(label_map("Afloop", codes.INJURED)))
     return {
         "Gemeente": group_sum(
             merged, "Jaar", "Afloop", "Provincie", "Gemeente_naam_recent", "Gemeente_naam", measure="Aantal"

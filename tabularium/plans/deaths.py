@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import codes, label_map
 from ..operators import arrange, left_lookup
@@ -16,12 +15,11 @@ def deaths_by_class(
 
     ``deaths`` has ``JAAR, LEEFTIJD_4_75, VERVOER2, DOOD``; the lookups translate ``code`` to ``Leeftijdsklasse``, and ``Vervoerswijze`` with ``TransportMode``.
     """
-    rows = deaths.where(F.col("DOOD") > 0).select(
-        F.col("JAAR").alias("Jaar"), "LEEFTIJD_4_75", "VERVOER2", F.col("DOOD").alias("Verkeersdoden")
+    rows = deaths.where("DOOD > 0").selectExpr(
+        "JAAR AS Jaar", "LEEFTIJD_4_75", "VERVOER2", "DOOD AS Verkeersdoden"
     )
-    spelled = age_classes.withColumn(
-        "Leeftijdsklasse", F.replace(F.col("Leeftijdsklasse"), F.lit("-"), F.lit(" t/m "))
-    ).withColumn("Leeftijdsklasse", label_map(F.col("Leeftijdsklasse"), codes.DEATH_AGE_REPAIRS))
+    words = label_map("replace(Leeftijdsklasse, '-', ' t/m ')", codes.DEATH_AGE_REPAIRS)
+    spelled = age_classes.selectExpr("code", f"{words} AS Leeftijdsklasse")
     named = left_lookup(rows, spelled, {"LEEFTIJD_4_75": "code"})
     named = left_lookup(named, modes, {"VERVOER2": "code"})
     if ordered:

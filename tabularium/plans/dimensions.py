@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import band, codes
 from ..operators import left_lookup, sized_broadcast, successors
@@ -37,17 +36,14 @@ def region_dimension(
     dim = left_lookup(dim, provinces, {"prov_nr": "code"})
     dim = left_lookup(dim, police_regions, {"regio_nr": "code"})
     dim = left_lookup(dim, police_units, {"eenheid_nr": "code"})
-    return sized_broadcast(dim.select("gemeente_nr", *REGION_COLUMNS))
+    # every lookup above has unique keys, so the dimension has as many rows as the list
+    return sized_broadcast(dim.select("gemeente_nr", *REGION_COLUMNS), counted=municipalities)
 
 
 def add_age_labels(df: DataFrame, age: str) -> DataFrame:
     """Fine and statistical age band; unknown ages get a label, ages outside all bands their number."""
-    col = F.col(age)
     special = {codes.AGE_UNKNOWN: codes.UNKNOWN}
-    number = col.cast("string")
-    return df.withColumns(
-        {
-            "Leeftijd": band(col, codes.AGE_BANDS, special, number),
-            "Leeftijd_stat": band(col, codes.AGE_BANDS_STATISTICAL, special, number),
-        }
-    )
+    number = f"cast({age} AS STRING)"
+    fine = band(age, codes.AGE_BANDS, special, number)
+    statistical = band(age, codes.AGE_BANDS_STATISTICAL, special, number)
+    return df.selectExpr("*", f"{fine} AS Leeftijd", f"{statistical} AS Leeftijd_stat")

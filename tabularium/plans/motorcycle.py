@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import codes, first_match, recode, strict_if
+from ..functions import codes, first_match, literal, literals, recode, strict_if
 from ..operators import attach, keep_keys
 
 JOIN_KEYS = ["jaar", "vornum", "wegbeh", "loctypon", "bebouw", "maxsne", "key_gem"]
@@ -44,48 +43,35 @@ def motorcycle_cases(
     botspartner, vervoersw_detail, tegenpartij_detail, sexesl, lftsl, func``. Accident keys are text on
     both sides. Accidents with damage only are left out. ``extra_accidents`` are taken in although no motorcycle was coded.
     """
-    motor = codes.MOTOR_CODES
-    involved = (
-        (F.col("N_motor") > 0)
-        | F.col("vervoersw_detail_A").isin(motor)
-        | F.col("vervoersw_detail_B").isin(motor)
-    )
+    motor = literals(codes.MOTOR_CODES)
+    involved = f"N_motor > 0 OR vervoersw_detail_A IN {motor} OR vervoersw_detail_B IN {motor}"
     if extra_accidents:
-        involved = involved | F.col("vornum").isin(list(extra_accidents))
+        involved += f" OR vornum IN {literals(extra_accidents)}"
     chosen = (
-        accidents.where(F.col("ernong5") < codes.DAMAGE_ONLY)
+        accidents.where(f"ernong5 < {codes.DAMAGE_ONLY}")
+        .where(f"pve_naam = {literal(province)} AND gme_naam IN {literals(towns)}")
         .where(involved)
-        .where((F.col("pve_naam") == province) & F.col("gme_naam").isin(list(towns)))
         .select(*JOIN_KEYS, "ernong5", "datum", "N_motor", "gme_naam")
     )
     # towns are compared before the wide join, which then only sees casualties of those towns
     local = keep_keys(casualties, chosen, "key_gem")
     joined = attach(local, chosen, JOIN_KEYS).where(
-        F.col("ernong5").isNotNull()
-        | F.col("ote_sl").isin(motor)
-        | F.col("botspartner").isin(motor)
-        | F.col("vervoersw_detail").isin(motor)
-        | F.col("tegenpartij_detail").isin(motor)
+        f"ernong5 IS NOT NULL OR ote_sl IN {motor} OR botspartner IN {motor}"
+        f" OR vervoersw_detail IN {motor} OR tegenpartij_detail IN {motor}"
     )
 
-    def party(detail: str, party_code: str, classes) -> Column:
-        return F.coalesce(recode(F.col(detail), codes.STUDY_MOTORS), recode(F.col(party_code), classes))
+    def party(detail: str, party_code: str, classes) -> str:
+        return f"coalesce({recode(detail, codes.STUDY_MOTORS)}, {recode(party_code, classes)})"
 
-    recoded = joined.withColumns(
-        {
-            "ernst": recode(F.col("ernstsl"), codes.STUDY_OUTCOMES),
-            "locatietype": recode(F.col("loctypon"), codes.STUDY_LOCATIONS),
-            "vvm": party("vervoersw_detail", "ote_sl", codes.STUDY_MODES),
-            "tegenp": party("tegenpartij_detail", "botspartner", codes.STUDY_OPPONENTS),
-            "N_motor": strict_if(F.col("N_motor") == 0, 1, F.col("N_motor")),
-        }
-    )
-    rider = F.col("vvm").isin([label for _, label in codes.STUDY_MOTORS])
-    role = first_match(
-        [
-            (rider & (F.col("func") == 1), "bestuurder"),
-            (rider & (F.col("func") == 2), "passagier"),
-        ],
-        otherwise="nvt",
+    recoded = {
+        "ernst": recode("ernstsl", codes.STUDY_OUTCOMES),
+        "locatietype": recode("loctypon", codes.STUDY_LOCATIONS),
+        "vvm": party("vervoersw_detail", "ote_sl", codes.STUDY_MODES),
+        "tegenp": party("tegenpartij_detail", "botspartner", codes.STUDY_OPPONENTS),
+        "N_motor": strict_if("N_motor = 0", "1", "N_motor"),
+    }
+    rider = f"{recoded['vvm']} IN {literals(label for _, label in codes.STUDY_MOTORS)}"
+    recoded["wvd"] = first_match(
+        [(f"{rider} AND func = 1", "bestuurder"), (f"{rider} AND func = 2", "passagier")], literal("nvt")
     )
-    return recoded.withColumn("wvd", role).select(*OUTPUT)
+    return joined.selectExpr(*[f"{recoded[c]} AS {c}" if c in recoded else c for c in OUTPUT])

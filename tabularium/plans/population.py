@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codes, strict_if
+from ..functions import codes, literal, strict_if
 from ..operators import group_sum, left_lookup, rollups
 from .dimensions import add_age_labels
 
@@ -47,27 +47,25 @@ def population_base(population: DataFrame, sexes: DataFrame, regions: DataFrame)
         population, "jaar", "geslacht", "lft_inw", "gemeente_nr", measure="aantal", name="Inwoners"
     ).withColumnsRenamed({"jaar": "Jaar", "geslacht": "sexe_nr"})
     named = left_lookup(counted, sexes, {"sexe_nr": "code"})
-    named = left_lookup(add_age_labels(named, "lft_inw"), regions, "gemeente_nr")
+    named = left_lookup(add_age_labels(named, "lft_inw"), regions, "gemeente_nr", unique=False)
 
-    early = F.col("Jaar") < codes.FIRST_YEAR_WITH_REGIONS
-    unit_unknown = (
-        early | F.col("Eenheid").isNull() | (F.col("gemeente_nr") == codes.MUNICIPALITY_WITHOUT_UNIT)
+    early = f"Jaar < {codes.FIRST_YEAR_WITH_REGIONS}"
+    unknown, unknown_nr = literal(codes.UNKNOWN), literal(codes.UNKNOWN_MUNICIPALITY)
+    no_unit = f"{early} OR Eenheid IS NULL OR gemeente_nr = {codes.MUNICIPALITY_WITHOUT_UNIT}"
+    no_region = literal(f"{codes.UNKNOWN}/nvt")
+    # one projection, so the unit still sees the municipality number as it came in
+    masks = {
+        "Provincie": strict_if(f"{early} OR Provincie IS NULL", unknown, "Provincie"),
+        "Eenheid": strict_if(no_unit, unknown, "Eenheid"),
+        "Politieregio": strict_if(f"{early} OR Politieregio IS NULL", no_region, "Politieregio"),
+        "gemeente_nr": strict_if(early, unknown_nr, "gemeente_nr"),
+        "Gemeente_naam": strict_if(early, unknown, "Gemeente_naam"),
+        "gemeente_nr_recent": strict_if(early, unknown_nr, "gemeente_nr_recent"),
+        "Gemeente_naam_recent": strict_if(early, unknown, "Gemeente_naam_recent"),
+    }
+    return named.selectExpr(
+        "Jaar", *[f"{e} AS {c}" for c, e in masks.items()], "Geslacht", "Sex", "Leeftijd", "lft_inw", "Inwoners"
     )
-    # withColumns reads the input row, so the unit still sees the municipality number as it came in
-    masked = named.withColumns(
-        {
-            "Provincie": strict_if(early | F.col("Provincie").isNull(), codes.UNKNOWN, F.col("Provincie")),
-            "Eenheid": strict_if(unit_unknown, codes.UNKNOWN, F.col("Eenheid")),
-            "Politieregio": strict_if(
-                early | F.col("Politieregio").isNull(), f"{codes.UNKNOWN}/nvt", F.col("Politieregio")
-            ),
-            "gemeente_nr": strict_if(early, codes.UNKNOWN_MUNICIPALITY, F.col("gemeente_nr")),
-            "Gemeente_naam": strict_if(early, codes.UNKNOWN, F.col("Gemeente_naam")),
-            "gemeente_nr_recent": strict_if(early, codes.UNKNOWN_MUNICIPALITY, F.col("gemeente_nr_recent")),
-            "Gemeente_naam_recent": strict_if(early, codes.UNKNOWN, F.col("Gemeente_naam_recent")),
-        }
-    )
-    return masked.select(*HISTORIC, "Geslacht", "Sex", "Leeftijd", "lft_inw", "Inwoners")
 
 
 def population_tables(base: DataFrame) -> dict[str, DataFrame]:
@@ -91,9 +89,8 @@ def municipality_count(historic: DataFrame, provinces: Sequence[str], first_year
     ``historic`` is made distinct before it is counted, so the count needs no per-group sets.
     """
     seen = (
-        historic.where(F.col("Jaar") >= first_year).select("Jaar", "Provincie", "gemeente_nr").distinct()
+        historic.where(f"Jaar >= {first_year}").select("Jaar", "Provincie", "gemeente_nr").distinct()
     )
-    wide = seen.groupBy("Jaar").pivot("Provincie", list(provinces)).agg(F.count("gemeente_nr"))
+    wide = seen.groupBy("Jaar").pivot("Provincie", list(provinces)).agg(F.expr("count(gemeente_nr)"))
     filled = wide.na.fill(0, list(provinces))
-    row_total = sum((F.col(f"`{p}`") for p in provinces), F.lit(0).cast("bigint"))
-    return filled.withColumn("sum", row_total)
+    return filled.selectExpr("*", f"{' + '.join(f'`{p}`' for p in provinces)} AS sum")

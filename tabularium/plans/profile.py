@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codes, first_match
+from ..functions import codes, first_match, literal
 from ..sources.catalog import column_list
 
 # pairs of columns that bound a period, tried in this order when there is no year column
@@ -17,62 +17,56 @@ ROW_ID = "ROWID"
 YEAR = "JAAR"
 
 
-def period_columns(df: DataFrame) -> tuple[Column, Column]:
+def period_columns(columns: Collection[str]) -> tuple[str, str]:
     """First and last year as aggregates over whichever year or date columns the table has."""
-    names = column_list(df)
-    if YEAR in names:
-        return F.min(YEAR).cast("int"), F.max(YEAR).cast("int")
+    if YEAR in columns:
+        return f"cast(min({YEAR}) AS INT)", f"cast(max({YEAR}) AS INT)"
     for begin, end in PERIOD_COLUMNS:
-        if begin in names and end in names:
-            last = F.greatest(F.max(F.col(begin).cast("date")), F.max(F.col(end).cast("date")))
-            return F.year(F.min(F.col(begin).cast("date"))), F.year(last)
-    unknown = F.lit(None).cast("int")
-    return unknown, unknown
+        if begin in columns and end in columns:
+            # greatest() skips a column without any date
+            last = f"greatest(max(cast({begin} AS DATE)), max(cast({end} AS DATE)))"
+            return f"year(min(cast({begin} AS DATE)))", f"year({last})"
+    return "cast(NULL AS INT)", "cast(NULL AS INT)"
 
 
-def profile_table(schema: str, name: str, df: DataFrame | None) -> DataFrame | None:
-    """One aggregate over one scan: rows, columns, first and last year."""
-    if df is None:
-        return None
-    first, last = period_columns(df)
-    width = len([c for c in column_list(df) if c != ROW_ID])
-    return df.agg(
-        F.lit(schema).alias("schema"),
-        F.lit(name.upper()).alias("dmx_naam"),
-        F.count(F.lit(1)).alias("rijen"),
-        F.lit(width).alias("kolommen"),
-        first.alias("minY"),
-        last.alias("maxY"),
-    )
+def profile_table(schema: str, name: str, df: DataFrame) -> DataFrame:
+    """One aggregate over one scan: rows, columns, first and last year.
+
+    A table on the list of tables that cannot be profiled is not read, and shows missing values.
+    """
+    columns = column_list(df)
+    first, last = period_columns(columns)
+    width = len([c for c in columns if c != ROW_ID])
+    measures = {"rijen": "count(1)", "kolommen": f"{width}", "minY": first, "maxY": last}
+    if name.upper() in codes.UNPROFILED:
+        df = df.limit(0)
+        measures = dict.fromkeys(measures, "cast(NULL AS INT)") | {"rijen": "cast(NULL AS BIGINT)"}
+    head = {"schema": literal(schema), "dmx_naam": literal(name.upper())}
+    return df.agg(*[F.expr(f"{e} AS {c}") for c, e in (head | measures).items()])
 
 
 def correct_periods(profile: DataFrame) -> DataFrame:
     """Known periods of single tables, and first years where a target year would stand."""
-    name = F.col("dmx_naam")
-    first = first_match(
-        [(name == t, years[0]) for t, years in codes.FIXED_PERIODS.items()]
-        + [
-            ((name == t) & (F.col("minY") == codes.TARGET_YEAR), year)
-            for t, year in codes.TARGET_FIRST_YEARS.items()
-        ],
-        F.col("minY"),
+    fixed_first = [(f"dmx_naam = {literal(t)}", years[0]) for t, years in codes.FIXED_PERIODS.items()]
+    fixed_last = [(f"dmx_naam = {literal(t)}", years[1]) for t, years in codes.FIXED_PERIODS.items()]
+    targets = [
+        (f"dmx_naam = {literal(t)} AND minY = {codes.TARGET_YEAR}", year)
+        for t, year in codes.TARGET_FIRST_YEARS.items()
+    ]
+    return profile.selectExpr(
+        "schema",
+        "dmx_naam",
+        "rijen",
+        "kolommen",
+        f"{first_match(fixed_first + targets, 'minY')} AS minY",
+        f"{first_match(fixed_last, 'maxY')} AS maxY",
     )
-    last = first_match([(name == t, years[1]) for t, years in codes.FIXED_PERIODS.items()], F.col("maxY"))
-    return profile.withColumns({"minY": first, "maxY": last})
 
 
 def profile_tables(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
-    """One row per ``(schema, name)``; tables that cannot be profiled show missing values.
+    """One row per ``(schema, name)``.
 
     All aggregates are branches of one union, so they run as one job and their scans side by side.
     """
-    branches = []
-    for (schema, name), df in tables.items():
-        row = profile_table(schema, name, df)
-        if name.upper() in codes.UNPROFILED:
-            empty = {c: F.lit(None).cast(row.schema[c].dataType) for c in ("rijen", "kolommen", "minY", "maxY")}
-            # the aggregate of no columns keeps one row without reading the table
-            row = df.limit(0).agg(F.lit(schema).alias("schema"), F.lit(name.upper()).alias("dmx_naam"))
-            row = row.withColumns(empty)
-        branches.append(row)
-    return correct_periods(reduce(DataFrame.unionByName, branches))
+    rows = [profile_table(schema, name, df) for (schema, name), df in tables.items()]
+    return correct_periods(reduce(DataFrame.unionByName, rows))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import percentage
-from ..operators import arrange, group_sum, left_lookup, reconcile, reshape_wide
+from ..operators import arrange, left_lookup, reconcile, reshape_wide
+from ..operators.aggregate import total
 
 DEATHS = 1
 FIRST_YEAR = 1996
@@ -30,22 +31,18 @@ def rate_table(
     ``source`` has ``JAAR, LETSELERNST_IVO2, SLA_VOR, SLA_IVO`` and the key; ``lookup`` is keyed by
     ``code`` and holds the labels. ``ordered`` sorts by year and code, for a table that goes to a file.
     """
-    rows = source.where((F.col("LETSELERNST_IVO2") == severity) & (F.col("JAAR") >= first_year))
+    wanted = f"LETSELERNST_IVO2 = {severity} AND JAAR >= {first_year}"
     if last_year is not None:
-        rows = rows.where(F.col("JAAR") <= last_year)
-    rows = rows.select(
-        F.col("JAAR").alias("Jaar"),
-        F.col(key).alias("sleutel"),
-        F.col("SLA_IVO").alias("Werkelijk"),
-        F.col("SLA_VOR").alias("Geregistreerd"),
+        wanted += f" AND JAAR <= {last_year}"
+    rows = source.where(wanted).selectExpr(
+        "JAAR AS Jaar", f"{key} AS sleutel", "SLA_IVO AS Werkelijk", "SLA_VOR AS Geregistreerd"
     )
     labels = [c for c in lookup.columns if c != "code"]
-    rated = left_lookup(rows, lookup, {"sleutel": "code"}).withColumn(
-        "Registratiegraad", percentage(F.col("Geregistreerd"), F.col("Werkelijk"))
-    )
+    named = left_lookup(rows, lookup, {"sleutel": "code"})
     if ordered:
-        rated = arrange(rated, "Jaar", "sleutel")
-    return rated.select("Jaar", *labels, "Werkelijk", "Geregistreerd", "Registratiegraad")
+        named = arrange(named, "Jaar", "sleutel")
+    rate = percentage("Geregistreerd", "Werkelijk")
+    return named.selectExpr("Jaar", *labels, "Werkelijk", "Geregistreerd", f"{rate} AS Registratiegraad")
 
 
 def rate_wide(rated: DataFrame, measure: str, years: Sequence[int], prefix: str = "") -> DataFrame:
@@ -62,13 +59,7 @@ def reconcile_rates(breakdowns: Mapping[str, DataFrame]) -> dict[str, DataFrame]
 def yearly_rate(source: DataFrame, registered: str, true: str, year: str = "Jaar") -> DataFrame:
     """Yearly totals and the rate as a fraction; missing where the true number is 0."""
     sums = source.groupBy(year).agg(
-        F.coalesce(F.sum(true), F.lit(0)).alias("Werkelijk"),
-        F.coalesce(F.sum(registered), F.lit(0)).alias("Geregistreerd"),
+        F.expr(f"{total(true)} AS Werkelijk"), F.expr(f"{total(registered)} AS Geregistreerd")
     )
-    share = F.try_divide(F.col("Geregistreerd").cast("double"), F.col("Werkelijk").cast("double"))
-    return sums.withColumn("Registratiegraad", share)
-
-
-def rate_total(rated: DataFrame, measure: str) -> DataFrame:
-    """Total of one measure per year."""
-    return group_sum(rated, "Jaar", measure=measure, name="n")
+    share = "try_divide(cast(Geregistreerd AS DOUBLE), cast(Werkelijk AS DOUBLE))"
+    return sums.selectExpr("*", f"{share} AS Registratiegraad")

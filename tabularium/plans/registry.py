@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import codes, first_match, lacks_code, lacks_prefix, lacks_text, paste, period_text
+from ..functions import (
+    codes,
+    first_match,
+    lacks_code,
+    lacks_prefix,
+    lacks_text,
+    literal,
+    member,
+    paste,
+    period_text,
+)
 from ..operators import arrange, attach, full_merge, left_lookup
-from ..operators.aggregate import latest
+from ..operators.aggregate import last_values
 from ..sources import settle
 
 LAST_VALUES = ["lever_omschrijving", "lever_archief", "lever_voorwaarde", "lever_bewaartermijn"]
@@ -23,40 +33,41 @@ def delivery_summary(deliveries: DataFrame, tie_break: Sequence[str] = ()) -> Da
     """
     order = ["lever_datum", *tie_break, *LAST_VALUES]
     grouped = (
-        deliveries.where(F.col("prod_nr").isNotNull())
+        deliveries.where("prod_nr IS NOT NULL")
         .groupBy("prod_nr")
         .agg(
-            F.min("lever_datum").alias("EersteLevering"),
-            F.max("lever_datum").alias("LaatsteLevering"),
-            F.max_by(F.struct(*LAST_VALUES), latest(order)).alias("_last"),
-            F.min("lever_periode").alias("_p_min"),
-            F.max("lever_periode").alias("_p_max"),
-            F.max("lever_IB_klasse").alias("lever_IBklasse"),
-            F.max("lever_IB_opvolging").alias("lever_IBopvolging"),
-            F.count(F.lit(1)).alias("lever_aantal"),
+            F.expr("min(lever_datum) AS EersteLevering"),
+            F.expr("max(lever_datum) AS LaatsteLevering"),
+            F.expr(f"{last_values(LAST_VALUES, order)} AS _last"),
+            F.expr("min(lever_periode) AS p_min"),
+            F.expr("max(lever_periode) AS p_max"),
+            F.expr("max(lever_IB_klasse) AS lever_IBklasse"),
+            F.expr("max(lever_IB_opvolging) AS lever_IBopvolging"),
+            F.expr("count(1) AS lever_aantal"),
         )
     )
-    periods = F.when(F.col("_p_min").isNotNull(), paste(F.col("_p_min"), F.col("_p_max"), sep=" tm "))
-    return grouped.select(
+    periods = f"CASE WHEN p_min IS NOT NULL THEN {paste('p_min', 'p_max', sep=' tm ')} END"
+    return grouped.selectExpr(
         "prod_nr",
         "EersteLevering",
         "LaatsteLevering",
-        *[F.col(f"_last.{c}").alias(c) for c in LAST_VALUES],
+        "_last.*",
         "lever_IBklasse",
         "lever_IBopvolging",
         "lever_aantal",
-        periods.alias("lever_perioden"),
+        f"{periods} AS lever_perioden",
     )
 
 
 def system_tables(catalog: DataFrame) -> DataFrame:
     """Tables or views of the system catalogue with schema name; temporary ones are left out."""
-    return catalog.where(F.col("schema_id") != 6).select(
-        F.col("name").alias("dmx_naam"),
-        F.to_date("modify_date").alias("modify_date"),
+    schema = first_match([(f"schema_id = {i}", name) for i, name in codes.SCHEMA_NAMES.items()])
+    return catalog.where(f"schema_id <> {codes.TEMPORARY_SCHEMA}").selectExpr(
+        "name AS dmx_naam",
+        "to_date(modify_date) AS modify_date",
         "type_desc",
-        F.upper("name").alias("Udmx_naam"),
-        first_match([(F.col("schema_id") == i, n) for i, n in codes.SCHEMA_NAMES.items()]).alias("schema_naam"),
+        "upper(name) AS Udmx_naam",
+        f"{schema} AS schema_naam",
     )
 
 
@@ -67,24 +78,26 @@ def table_registry(tables: DataFrame, profile: DataFrame, matrices: DataFrame) -
     ``dmx_nr, dmx_naam, dmx_type`` and descriptions.
     """
     profiled = left_lookup(tables, profile, {"Udmx_naam": "dmx_naam", "schema_naam": "schema"})
-    described = matrices.withColumn("dmx_naam", F.upper("dmx_naam"))
+    described = matrices.withColumn("dmx_naam", F.expr("upper(dmx_naam)"))
     merged = full_merge(profiled, described, "dmx_naam")
-    return merged.withColumn("Udmx_naam", F.upper("dmx_naam"))
+    return merged.withColumn("Udmx_naam", F.expr("upper(dmx_naam)"))
 
 
-def update_frequency(days: Column) -> Column:
+def update_frequency(days: str) -> str:
     """Class of the number of days between updates."""
-    cases = [(days.between(lo, hi), label) for lo, hi, label in codes.UPDATE_FREQUENCIES]
-    cases.append((days > codes.LONGEST_YEARLY, codes.MULTI_YEAR_FREQUENCY))
-    return first_match(cases, codes.OTHER_FREQUENCY)
+    cases = [(f"{days} BETWEEN {lo} AND {hi}", label) for lo, hi, label in codes.UPDATE_FREQUENCIES]
+    cases.append((f"{days} > {codes.LONGEST_YEARLY}", codes.MULTI_YEAR_FREQUENCY))
+    return first_match(cases, literal(codes.OTHER_FREQUENCY))
 
 
-def visible_tables(name: Column) -> Column:
+def visible_tables(name: str) -> str:
     """Names that are shown: no working copies, backups or tests. A missing name is shown."""
-    return (
-        lacks_prefix(name, *codes.HIDDEN_PREFIXES)
-        & lacks_text(name, *codes.HIDDEN_MARKERS)
-        & lacks_text(F.upper(name), *codes.HIDDEN_MARKERS_ANY_CASE)
+    return " AND ".join(
+        [
+            lacks_prefix(name, *codes.HIDDEN_PREFIXES),
+            lacks_text(name, *codes.HIDDEN_MARKERS),
+            lacks_text(f"upper({name})", *codes.HIDDEN_MARKERS_ANY_CASE),
+        ]
     )
 
 
@@ -104,41 +117,36 @@ def data_overview(
     """
     linked = full_merge(sources.select("prod_nr", "dmx_nr"), settle(registry, "registry"), "dmx_nr")
     supplied = left_lookup(
-        products.withColumn("Frequentie", update_frequency(F.col("prod_update"))), summary, "prod_nr"
+        products.selectExpr("*", f"{update_frequency('prod_update')} AS Frequentie"), summary, "prod_nr"
     )
     supplied = settle(supplied, "products")
     merged = full_merge(settle(linked, "links"), supplied, "prod_nr")
     merged = full_merge(settle(merged, "overview"), organisations, "org_nr")
-    name = F.col("dmx_naam")
-    shown = merged.where(
-        visible_tables(name)
-        & lacks_code(F.col("dmx_type"), *codes.HIDDEN_MATRIX_TYPES)
-        & (name.isNull() | (F.col("schema_naam") != "dbo") | (name == F.col("Udmx_naam")))
-    ).withColumns(
-        {
-            "Periode": period_text(F.col("minY"), F.col("maxY")),
-            "lever_aantal": F.coalesce(F.col("lever_aantal"), F.lit(0)),
-            "Internat": F.when(F.col("org_naam_kort").isin(codes.INTERNATIONAL_HOLDERS), 1).otherwise(0),
-        }
+    shown = (
+        merged.where(visible_tables("dmx_naam"))
+        .where(lacks_code("dmx_type", *codes.HIDDEN_MATRIX_TYPES))
+        .where("dmx_naam IS NULL OR schema_naam <> 'dbo' OR dmx_naam = Udmx_naam")
     )
     if ordered:
-        shown = arrange(shown, "Internat", "org_naam_kort", "prod_naam", "dmx_naam")
-    return shown.select(
-        F.col("prod_naam").alias("Product"),
-        F.col("org_naam_kort").alias("Bronhouder"),
-        F.col("prod_beheerder").alias("Prod_beheerder"),
+        international = f"cast({member('org_naam_kort', codes.INTERNATIONAL_HOLDERS)} AS INT) AS Internat"
+        keys = ["Internat", "org_naam_kort", "prod_naam", "dmx_naam"]
+        shown = arrange(shown.selectExpr("*", international), *keys)
+    return shown.selectExpr(
+        "prod_naam AS Product",
+        "org_naam_kort AS Bronhouder",
+        "prod_beheerder AS Prod_beheerder",
         "prod_docu",
         "prod_memo",
         "Frequentie",
-        "lever_aantal",
+        "coalesce(lever_aantal, 0L) AS lever_aantal",
         "LaatsteLevering",
         "lever_voorwaarde",
         "lever_IBklasse",
         "lever_IBopvolging",
-        F.col("dmx_naam").alias("Tabel"),
-        "Periode",
-        F.col("dmx_omschrijving").alias("TabelOms"),
+        "dmx_naam AS Tabel",
+        f"{period_text('minY', 'maxY')} AS Periode",
+        "dmx_omschrijving AS TabelOms",
         "rijen",
         "kolommen",
-        F.col("dmx_pasop_nl").alias("TabelPasop"),
+        "dmx_pasop_nl AS TabelPasop",
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import literals
 from ..operators import attach, group_count, require_unique, wide_count
 
 
@@ -17,7 +18,7 @@ def road_type_wide(
 
     ``categories`` holds one row per fatal accident with ``jaar``, the road type and the deaths.
     """
-    rows = categories.where(F.col("jaar").isin(list(years)))
+    rows = categories.where(f"jaar IN {literals(years)}")
     return {
         "doden": wide_count(rows, road_type, period="jaar", periods=years, weight=deaths),
         "ongevallen": wide_count(rows, road_type, period="jaar", periods=years),
@@ -38,7 +39,7 @@ def casualties_by_road_type(
     a row and is never missing in ``categories``, hence the plain comparison.
     """
     keys = ["jaar", "vornum"]
-    per_accident = group_count(casualties.where(F.col("jaar").isin(list(years))), *keys, name="slachtoffers")
+    per_accident = group_count(casualties.where(f"jaar IN {literals(years)}"), *keys, name="slachtoffers")
     types = require_unique(categories.select(*keys, road_type), keys)
     typed = attach(per_accident, types, keys, null_safe=False)
     return wide_count(typed, road_type, period="jaar", periods=years, weight="slachtoffers", prefix=prefix)
@@ -46,8 +47,8 @@ def casualties_by_road_type(
 
 def location_study(casualties: DataFrame, year: int, speed: int) -> DataFrame:
     """Fatal accidents and deaths per location type, for one year and speed limit."""
-    rows = casualties.where((F.col("jaar") == year) & (F.col("maxsne") == speed))
+    rows = casualties.where(f"jaar = {year} AND maxsne = {speed}")
     per_accident = group_count(rows, "vornum", "loctypon", name="ndood")
     return per_accident.groupBy("loctypon").agg(
-        F.count(F.lit(1)).alias("ongevallen"), F.sum("ndood").alias("doden")
+        F.expr("count(1) AS ongevallen"), F.expr("sum(ndood) AS doden")
     )

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import band, codes, first_match, recode
+from ..functions import band, codes, first_match, literal, literals, recode
 from ..operators import group_count
 
 SUNDAY, FRIDAY, SATURDAY = 1, 6, 7
 
 
-def weektime_class(weekday: Column, hour: Column) -> Column:
+def weektime_class(weekday: str, hour: str) -> str:
     """Weekend or week, day or night. Friday evening opens the weekend; unknown times are week nights."""
-    by_day = hour.between(6, 17)
-    early, late = hour.between(0, 5), hour.between(18, 24)
-    weekend_night = (
-        (weekday.isin(SUNDAY, SATURDAY) & early) | (weekday.isin(FRIDAY, SATURDAY) & late)
-    )
+    by_day = f"{hour} BETWEEN 6 AND 17"
+    early, late = f"{hour} BETWEEN 0 AND 5", f"{hour} BETWEEN 18 AND 24"
+    weekend = f"{weekday} IN {literals([SUNDAY, SATURDAY])}"
+    weekend_evening = f"{weekday} IN {literals([FRIDAY, SATURDAY])}"
     return first_match(
         [
-            (weekday.isin(SUNDAY, SATURDAY) & by_day, "weekend dag"),
+            (f"{weekend} AND {by_day}", "weekend dag"),
             (by_day, "week dag"),
-            (weekend_night, "weekendnacht"),
+            (f"({weekend} AND {early}) OR ({weekend_evening} AND {late})", "weekendnacht"),
         ],
-        otherwise="week nacht",
+        literal("week nacht"),
     )
 
 
@@ -34,15 +32,15 @@ def weektime_table(casualties: DataFrame) -> DataFrame:
     ``casualties`` has ``ernstsl, ote_sl, lftsl, sexesl, weekdag, uur, botspartner``. An opponent is
     told only for pedestrians and cyclists.
     """
-    mode = recode(F.col("ote_sl"), codes.WEEKTIME_MODES, "Anders")
-    vulnerable = [label for _, label in codes.WEEKTIME_MODES[:2]]
-    opponent = recode(F.col("botspartner"), codes.WEEKTIME_OPPONENTS, "anders")
-    coded = casualties.select(
-        recode(F.col("ernstsl"), codes.WEEKTIME_OUTCOMES).alias("ernst"),
-        mode.alias("vvm"),
-        band(F.col("lftsl"), codes.AGE_BANDS_WEEKTIME, otherwise="onbekend").alias("kleeft"),
-        recode(F.col("sexesl"), codes.WEEKTIME_SEXES, "Onbekend").alias("geslacht"),
-        weektime_class(F.col("weekdag"), F.col("uur")).alias("tijd"),
-        F.when(mode.isin(vulnerable), opponent).otherwise("nvt").alias("tegenp"),
+    mode = recode("ote_sl", codes.WEEKTIME_MODES, literal("Anders"))
+    vulnerable = literals(label for _, label in codes.WEEKTIME_MODES[:2])
+    opponent = recode("botspartner", codes.WEEKTIME_OPPONENTS, literal("anders"))
+    coded = casualties.selectExpr(
+        f"{recode('ernstsl', codes.WEEKTIME_OUTCOMES)} AS ernst",
+        f"{mode} AS vvm",
+        f"{band('lftsl', codes.AGE_BANDS_WEEKTIME, otherwise=literal('onbekend'))} AS kleeft",
+        f"{recode('sexesl', codes.WEEKTIME_SEXES, literal('Onbekend'))} AS geslacht",
+        f"{weektime_class('weekdag', 'uur')} AS tijd",
+        f"CASE WHEN {mode} IN {vulnerable} THEN {opponent} ELSE 'nvt' END AS tegenp",
     )
     return group_count(coded, *coded.columns)

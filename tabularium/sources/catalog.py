@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions import literal
 
 
 def table_list(
@@ -19,8 +20,8 @@ def table_list(
     for db in databases or [spark.catalog.currentDatabase()]:
         rows += [(t.name, db) for t in spark.catalog.listTables(db)]
     df = spark.createDataFrame(rows, "tabelnaam string, schema string")
-    df = df.withColumn("dmx_naam", F.upper("tabelnaam"))
-    return df if containing is None else df.where(F.col("tabelnaam").contains(containing))
+    df = df.selectExpr("*", "upper(tabelnaam) AS dmx_naam")
+    return df if containing is None else df.where(f"contains(tabelnaam, {literal(containing)})")
 
 
 def column_list(df: DataFrame) -> list[str]:

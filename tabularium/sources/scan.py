@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions import literal
 
 
 def scan(
@@ -39,10 +39,10 @@ def scan(
     if columns is None:
         return df
     named = columns if isinstance(columns, Mapping) else {c: c for c in columns}
-    return df.select(*[F.col(old).alias(new) for new, old in named.items()])
+    return df.selectExpr(*[f"`{old}` AS `{new}`" for new, old in named.items()])
 
 
-def year_range(col: str, first: int | None = None, last: int | None = None) -> Column:
+def year_range(col: str, first: int | None = None, last: int | None = None) -> str:
     """The date or timestamp column falls in the years ``first`` to ``last``, both included.
 
     Written as bounds on the column itself, so row groups outside the years are skipped;
@@ -50,15 +50,12 @@ def year_range(col: str, first: int | None = None, last: int | None = None) -> C
     """
     bounds = []
     if first is not None:
-        bounds.append(F.col(col) >= F.lit(datetime(first, 1, 1)).cast("timestamp_ntz"))
+        bounds.append(f"{col} >= timestamp_ntz'{first:04}-01-01'")
     if last is not None:
-        bounds.append(F.col(col) < F.lit(datetime(last + 1, 1, 1)).cast("timestamp_ntz"))
-    test = bounds[0]
-    for b in bounds[1:]:
-        test = test & b
-    return test
+        bounds.append(f"{col} < timestamp_ntz'{last + 1:04}-01-01'")
+    return " AND ".join(bounds)
 
 
 def tagged(df: DataFrame, **tags: Any) -> DataFrame:
     """Add literal columns, such as the year of a side file that does not hold it."""
-    return df.withColumns({name: F.lit(value) for name, value in tags.items()})
+    return df.selectExpr("*", *[f"{literal(value)} AS {name}" for name, value in tags.items()])

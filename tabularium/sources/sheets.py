@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..functions import literal
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -24,7 +25,7 @@ def sheet_table(
     """
     # backquotes, because sheet columns are called ...1, ...2
     cells = [f"`{c}`" for c in sheet.columns]
-    rows = sheet.where(F.col(cells[0]).rlike(first_cell))
-    return rows.select(
-        *[F.col(cell).cast(kind).alias(name) for cell, (name, kind) in zip(cells, columns, strict=False)]
+    rows = sheet.where(f"{cells[0]} RLIKE {literal(first_cell)}")
+    return rows.selectExpr(
+        *[f"cast({cell} AS {kind}) AS {name}" for cell, (name, kind) in zip(cells, columns, strict=False)]
     )

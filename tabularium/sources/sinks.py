@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.aggregate import group_count
+from ..operators.joins import attach
 from ..operators.window import pack_years
 
 SHEET_ROWS = 1_048_575
 
 
-def _decimal_comma(name: str, kind: T.DataType) -> Column:
-    col = F.col(f"`{name}`")
-    if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
-        whole = F.regexp_replace(col.cast("string"), r"\.0+$", "")
-        return F.replace(whole, F.lit("."), F.lit(",")).alias(name)
-    return col.cast("string").alias(name)
+FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
+
+
+def _decimal_comma(name: str, kind: T.DataType) -> str:
+    text = f"cast(`{name}` AS STRING)"
+    if isinstance(kind, FRACTIONAL):
+        text = f"replace(regexp_replace({text}, '[.]0+$', ''), '.', ',')"
+    return f"{text} AS `{name}`"
 
 
 def csv2_columns(df: DataFrame) -> DataFrame:
     """All columns as the text that a semicolon file holds: ``2`` for 2.0, ``2,5`` for 2.5."""
-    return df.select(*[_decimal_comma(f.name, f.dataType) for f in df.schema.fields])
+    return df.selectExpr(*[_decimal_comma(f.name, f.dataType) for f in df.schema.fields])
 
 
 def write_csv2(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -58,11 +62,9 @@ def read_csv2(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
     )
     cols = []
     for f in wanted.fields:
-        col = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            col = F.replace(col, F.lit(","), F.lit("."))
-        cols.append(col.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+        text = f"replace(`{f.name}`, ',', '.')" if isinstance(f.dataType, FRACTIONAL) else f"`{f.name}`"
+        cols.append(f"cast({text} AS {f.dataType.simpleString()}) AS `{f.name}`")
+    return df.selectExpr(*cols)
 
 
 def write_dataset(
@@ -91,9 +93,9 @@ def write_chunks(
     One folder per chunk (``serie=1`` ...). A single year above the limit is a chunk of its own, and
     no file ever holds more than ``limit`` rows. Gives the chunk table.
     """
-    chunks = pack_years(df.groupBy(year).agg(F.count(F.lit(1)).alias("n")), year, "n", limit)
-    serie = F.broadcast(chunks.select(F.col(year).alias("_year"), "serie"))  # pack_years bounds its rows
-    keyed = df.join(serie, F.col(year).eqNullSafe(F.col("_year")), "left").drop("_year")
+    chunks = pack_years(group_count(df, year), year, "n", limit)
+    # pack_years bounds the number of years, so the broadcast stays small
+    keyed = attach(df, F.broadcast(chunks.select(year, "serie")), year)
     # rebalance gathers a chunk in few tasks, and splits it again where it is large
     keyed.hint("rebalance", F.col("serie")).write.mode(mode).option("maxRecordsPerFile", limit).partitionBy("serie").format(fmt).save(path)
     return chunks

@@ -32,9 +32,7 @@ def scan_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
             "klant": "o_custkey",
             "bedrag": "o_totalprice",
         },
-        where=year_range("o_orderdate", 1996, 1998)
-        & (F.col("o_orderstatus") == "F")
-        & (F.col("o_totalprice") > 1000),
+        where=f"{year_range('o_orderdate', 1996, 1998)} AND o_orderstatus = 'F' AND o_totalprice > 1000",
     )
 
 
@@ -63,21 +61,16 @@ _CODED = StandIn(
     """,
 )
 def predicate_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.col("code")
     rows = (
         _CODED.read(spark, sf_dir)
-        .where(F.col("bedrag") > 50000)
-        .where((F.col("status") == "F") | (code > 3) | code.isNull())
-        .where(F.col("status").isin("F", "O"))
-        .where(~member(code, [5]))
+        .where("bedrag > 50000")
+        .where("status = 'F' OR code > 3 OR code IS NULL")
+        .where("status IN ('F', 'O')")
+        .where(f"NOT {member('code', [5])}")
     )
-    labels = codebook_slice(standins.codebook(spark), 203, "wegbeh").select(
-        "code", F.col("oms").alias("label")
-    )
-    counted = rows.groupBy("code", "status").agg(
-        F.count(F.lit(1)).alias("n"), F.count("code").alias("bekend")
-    )
-    keyed = counted.withColumn("sleutel", code.cast("string"))
+    labels = codebook_slice(standins.codebook(spark), 203, "wegbeh").selectExpr("code", "oms AS label")
+    counted = rows.groupBy("code", "status").agg(F.expr("count(1) AS n"), F.expr("count(code) AS bekend"))
+    keyed = counted.selectExpr("*", "cast(code AS STRING) AS sleutel")
     return left_lookup(keyed, labels, {"sleutel": "code"}).drop("sleutel")
 
 
@@ -94,15 +87,14 @@ def predicate_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sequential_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    year = F.col("jaar")
     steps = (
         orders.select(
             (F.year("o_orderdate") % 100).alias("jaar"),
             F.when(F.col("o_totalprice") > 250000, "hoog").otherwise("laag").alias("klasse"),
         )
         # each step reads the column that the step before has replaced
-        .withColumn("jaar", strict_if(year >= 95, year + 1900, year + 2000))
-        .withColumn("vijfjaar", year - year % 5)
+        .withColumn("jaar", F.expr(strict_if("jaar >= 95", "jaar + 1900", "jaar + 2000")))
+        .withColumn("vijfjaar", F.expr("jaar - jaar % 5"))
         .withColumn("klasse", F.concat_ws(" ", "klasse", F.col("vijfjaar").cast("string")))
     )
     return group_count(steps, "jaar", "vijfjaar", "klasse")
@@ -206,14 +198,14 @@ def visible_sql(name: str) -> str:
     """,
 )
 def exclude_names_nullsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.col("naam")
-    kept = _NAMES.read(spark, sf_dir).where(
-        visible_tables(name)
-        & lacks_code(F.col("soort"), 2)
-        & (name.isNull() | (F.col("schema_naam") != "dbo") | (name == F.upper(name)))
+    kept = (
+        _NAMES.read(spark, sf_dir)
+        .where(visible_tables("naam"))
+        .where(lacks_code("soort", 2))
+        .where("naam IS NULL OR schema_naam <> 'dbo' OR naam = upper(naam)")
     )
     return group_count(
-        kept.withColumn("naamloos", name.isNull().cast("int")), "soort", "schema_naam", "naamloos"
+        kept.selectExpr("*", "cast(naam IS NULL AS INT) AS naamloos"), "soort", "schema_naam", "naamloos"
     )
 
 
@@ -226,9 +218,10 @@ def exclude_names_nullsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "part").where(
-        F.col("p_name").contains("ring")
-        & lacks_text(F.col("p_type"), "LARGE")
-        & lacks_prefix(F.col("p_type"), "ECO")
+    found = (
+        table(spark, sf_dir, "part")
+        .where("contains(p_name, 'ring')")
+        .where(lacks_text("p_type", "LARGE"))
+        .where(lacks_prefix("p_type", "ECO"))
     )
     return group_count(found, "p_brand")

@@ -63,7 +63,7 @@ base AS (
 
 
 def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sexes = standins.lookup(spark, "sex", label="Geslacht", label_en="Sex")
+    sexes = standins.lookup(standins.codebook(spark), "sex", label="Geslacht", label_en="Sex")
     return population_base(standins.POPULATION.read(spark, sf_dir), sexes, standins.regions(spark, sf_dir))
 
 
@@ -148,14 +148,16 @@ assert set(_YEARS) == set(PUBLISHED_YEARS)
 
 
 def _rate_tables(spark: SparkSession, sf_dir: str, published: bool) -> dict[str, DataFrame]:
+    book = standins.codebook(spark)
     rows = _RATES.read(spark, sf_dir)
     keys = [c for c in rows.columns if c not in _MEASURES]
-    base = rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in _MEASURES])
+    sums = [F.expr(f"sum({m}) AS {m}") for m in _MEASURES]
+    base = rows.groupBy(*keys).agg(*sums)
     out = {}
     for key, (entry, label, label_en) in _BREAKDOWNS.items():
-        counted = base.groupBy("JAAR", "LETSELERNST_IVO2", key).agg(*[F.sum(m).alias(m) for m in _MEASURES])
+        counted = base.groupBy("JAAR", "LETSELERNST_IVO2", key).agg(*sums)
         lookup = standins.lookup(
-            spark, entry, label=label, label_en=label_en, repairs=codes.RATE_PROVINCE_REPAIRS
+            book, entry, label=label, label_en=label_en, repairs=codes.RATE_PROVINCE_REPAIRS
         )
         first, last = _YEARS.get(key, (1996, None)) if published else (1996, None)
         out[key] = rate_table(counted, key, lookup, first, last, ordered=False)
@@ -188,13 +190,12 @@ def registration_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for key, df in _rate_tables(spark, sf_dir, published=True).items():
         _, label, label_en = _BREAKDOWNS[key]
-        english = F.col(label_en) if label_en else F.lit(None).cast("string")
         parts.append(
-            df.select(
-                F.lit(key).alias("tabel"),
+            df.selectExpr(
+                f"'{key}' AS tabel",
                 "Jaar",
-                F.col(label).alias("label"),
-                english.alias("label_en"),
+                f"{label} AS label",
+                f"{label_en or 'cast(NULL AS STRING)'} AS label_en",
                 "Werkelijk",
                 "Geregistreerd",
                 "Registratiegraad",
@@ -241,7 +242,7 @@ def _reconcile_sql(measure: str, name: str) -> str:
 )
 def rate_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _rate_tables(spark, sf_dir, published=False)
-    tables["WEEKDAG"] = tables["WEEKDAG"].where(F.col("Jaar") < 2000)
+    tables["WEEKDAG"] = tables["WEEKDAG"].where("Jaar < 2000")
     both = reconcile_rates(tables)
     out = append_filled(*[tagged(df, maat=name) for name, df in both.items()])
     return out.withColumn("all_equal", F.col("all_equal").cast("int"))
@@ -257,11 +258,10 @@ def rate_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def yearly_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quantity = F.col("l_quantity").cast("bigint")
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.year("l_shipdate").alias("Jaar"),
-        quantity.alias("echt"),
-        F.when(F.col("l_returnflag") == "N", 0).otherwise(quantity).alias("gemeld"),
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "year(l_shipdate) AS Jaar",
+        "cast(l_quantity AS BIGINT) AS echt",
+        "if(l_returnflag = 'N', 0, cast(l_quantity AS BIGINT)) AS gemeld",
     )
     return yearly_rate(lines, "gemeld", "echt")
 
@@ -300,7 +300,7 @@ def two_period_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         standins.OLD_ACCIDENTS.read(spark, sf_dir),
         late_accidents(standins.LATE_ACCIDENTS.read(spark, sf_dir)),
         standins.regions(spark, sf_dir),
-        standins.lookup(spark, "authority", numeric=False, label="Wegbeheerder"),
+        standins.lookup(standins.codebook(spark), "authority", numeric=False, label="Wegbeheerder"),
     )
 
 
@@ -347,6 +347,7 @@ named AS (
     """,
 )
 def casualty_series_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = standins.codebook(spark)
     tables = casualty_series(
         standins.NEW_CASUALTIES.read(spark, sf_dir),
         standins.OLD_CASUALTIES.read(spark, sf_dir),
@@ -356,9 +357,9 @@ def casualty_series_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         standins.regions(spark, sf_dir),
         spark.sql(standins.NEW_MODES_SQL),
         spark.sql(standins.OLD_MODES_SQL),
-        standins.lookup(spark, "mode", numeric=False, label="Vervoerswijze"),
-        standins.lookup(spark, "old_mode", numeric=False, label="Vervoerswijze"),
-        standins.lookup(spark, "sex", numeric=False, label="Geslacht"),
+        standins.lookup(book, "mode", numeric=False, label="Vervoerswijze"),
+        standins.lookup(book, "old_mode", numeric=False, label="Vervoerswijze"),
+        standins.lookup(book, "sex", numeric=False, label="Geslacht"),
     )
     return append_filled(*[tagged(df, tabel=name) for name, df in tables.items()])
 
@@ -389,13 +390,14 @@ _DEATHS = StandIn(
     """,
 )
 def deaths_by_class_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = standins.codebook(spark)
     counted = group_sum(
         _DEATHS.read(spark, sf_dir), "JAAR", "LEEFTIJD_4_75", "VERVOER2", measure="DOOD"
     )
     return deaths_by_class(
         counted,
-        standins.lookup(spark, "death_age", label="Leeftijdsklasse"),
-        standins.lookup(spark, "death_mode", label="Vervoerswijze", label_en="TransportMode"),
+        standins.lookup(book, "death_age", label="Leeftijdsklasse"),
+        standins.lookup(book, "death_mode", label="Vervoerswijze", label_en="TransportMode"),
     )
 
 

@@ -33,14 +33,14 @@ from .base import StandIn, checked, table
     """,
 )
 def lookup_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.when(F.col("c_custkey") % 10 == 0, "x").otherwise(F.col("c_nationkey").cast("string"))
-    customers = table(spark, sf_dir, "customer").select(
-        F.col("c_mktsegment").alias("segment"), to_int(code).alias("land_nr")
+    code = "CASE WHEN c_custkey % 10 = 0 THEN 'x' ELSE cast(c_nationkey AS STRING) END"
+    customers = table(spark, sf_dir, "customer").selectExpr(
+        "c_mktsegment AS segment", f"{to_int(code)} AS land_nr"
     )
-    nations = table(spark, sf_dir, "nation").select(
-        "n_nationkey", F.col("n_name").alias("land"), F.col("n_regionkey").alias("deel_nr")
+    nations = table(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey", "n_name AS land", "n_regionkey AS deel_nr"
     )
-    regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("werelddeel"))
+    regions = table(spark, sf_dir, "region").selectExpr("r_regionkey", "r_name AS werelddeel")
     counted = group_count(customers, "segment", "land_nr")
     named = left_lookup(counted, nations, {"land_nr": "n_nationkey"})
     named = left_lookup(named, regions, {"deel_nr": "r_regionkey"})
@@ -247,7 +247,9 @@ def successor_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").selectExpr(
         f"{standins._municipality('c_custkey')} AS gemeente_nr"
     )
-    return left_lookup(group_count(customers, "gemeente_nr"), standins.regions(spark, sf_dir), "gemeente_nr")
+    return left_lookup(
+        group_count(customers, "gemeente_nr"), standins.regions(spark, sf_dir), "gemeente_nr", unique=False
+    )
 
 
 @checked(
@@ -264,7 +266,7 @@ def successor_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def codebook_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     provinces = standins.lookup(
-        spark, "rate_province", label="Provincie", repairs=codes.RATE_PROVINCE_REPAIRS
+        standins.codebook(spark), "rate_province", label="Provincie", repairs=codes.RATE_PROVINCE_REPAIRS
     )
     suppliers = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 6).cast("int").alias("prov"))
     return left_lookup(group_count(suppliers, "prov"), provinces, {"prov": "code"})

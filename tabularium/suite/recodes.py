@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, label_map, paste, period_text, recode, repair_text, strict_if
+from ..functions import (
+    codes,
+    first_match,
+    label_map,
+    literal,
+    paste,
+    period_text,
+    recode,
+    repair_text,
+    strict_if,
+)
 from ..operators import group_count
 from ..plans import add_age_labels
 from .base import StandIn, checked, table
@@ -57,11 +67,10 @@ _CODES = StandIn(
     """,
 )
 def code_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.col("code")
-    high = F.when((code > 15) | (F.col("status") == "F"), "hoog").otherwise("overig")
-    rows = _CODES.read(spark, sf_dir).select(
-        recode(code, [([3, 4, 5], "laag"), ([5, 6, 7, 8], "midden")], high).alias("klasse"),
-        recode(code, [([10, 11], "IM"), ([12], "KMM")]).alias("melding"),
+    high = first_match([("code > 15 OR status = 'F'", "hoog")], literal("overig"))
+    rows = _CODES.read(spark, sf_dir).selectExpr(
+        f"{recode('code', [([3, 4, 5], 'laag'), ([5, 6, 7, 8], 'midden')], high)} AS klasse",
+        f"{recode('code', [([10, 11], 'IM'), ([12], 'KMM')])} AS melding",
     )
     return group_count(rows, "klasse", "melding")
 
@@ -76,24 +85,24 @@ def code_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def label_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("p_type")
-    raw = (
-        F.when(kind == "SMALL", "FryslÃ¢n").when(kind == "LARGE", "Overyssel").when(kind != "PROMO", kind)
-    )
-    labelled = table(spark, sf_dir, "part").select(
-        label_map(raw, codes.RATE_PROVINCE_REPAIRS).alias("label"), F.col("p_brand").alias("merk")
+    raw = "CASE p_type WHEN 'SMALL' THEN 'FryslÃ¢n' WHEN 'LARGE' THEN 'Overyssel' ELSE nullif(p_type, 'PROMO') END"
+    labelled = (
+        table(spark, sf_dir, "part")
+        .selectExpr(f"{raw} AS soort", "p_brand AS merk")
+        .selectExpr(f"{label_map('soort', codes.RATE_PROVINCE_REPAIRS)} AS label", "merk")
     )
     return group_count(labelled, "label", "merk")
 
 
 @checked("mojibake", "SELECT doc_id, lang, md5(text) AS tekst_md5, length(text) AS lengte FROM documents")
 def mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
     # every other text is broken the way a Latin-1 reader breaks UTF-8; all must come out whole
-    broken = F.when(F.col("doc_id") % 2 == 0, F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")).otherwise(text)
-    repaired = table(spark, sf_dir, "documents").select("doc_id", "lang", repair_text(broken).alias("tekst"))
-    return repaired.select(
-        "doc_id", "lang", F.md5("tekst").alias("tekst_md5"), F.length("tekst").cast("bigint").alias("lengte")
+    broken = "if(doc_id % 2 = 0, decode(encode(text, 'UTF-8'), 'ISO-8859-1'), text) AS tekst"
+    return (
+        table(spark, sf_dir, "documents")
+        .selectExpr("doc_id", "lang", broken)
+        .selectExpr("doc_id", "lang", f"{repair_text('tekst')} AS tekst")
+        .selectExpr("doc_id", "lang", "md5(tekst) AS tekst_md5", "cast(length(tekst) AS BIGINT) AS lengte")
     )
 
 
@@ -107,11 +116,14 @@ def mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def strict_if_else(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.nullif(F.col("o_custkey") % 5, F.lit(0))
-    rows = table(spark, sf_dir, "orders").select(
-        strict_if(code > 2, "hoog", "laag").alias("streng"),
-        F.when(code > 2, "hoog").otherwise("laag").alias("ruim"),
-        F.year("o_orderdate").alias("jaar"),
+    rows = (
+        table(spark, sf_dir, "orders")
+        .selectExpr("nullif(o_custkey % 5, 0) AS code", "year(o_orderdate) AS jaar")
+        .selectExpr(
+            f"{strict_if('code > 2', literal('hoog'), literal('laag'))} AS streng",
+            f"{first_match([('code > 2', 'hoog')], literal('laag'))} AS ruim",
+            "jaar",
+        )
     )
     return group_count(rows, "streng", "ruim", "jaar")
 
@@ -130,21 +142,18 @@ def strict_if_else(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def period_text_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    group = F.col("o_custkey") % 50
-    year = F.year("o_orderdate")
-    rows = table(spark, sf_dir, "orders").select(
-        F.nullif(group, F.lit(7)).cast("int").alias("groep"),
-        F.when(group >= 20, year).alias("eerste"),
-        F.when(((group >= 30) | (F.col("o_custkey") % 3 != 0)) & (group >= 10), year).alias("laatste"),
-    )
-    first, last = F.col("a"), F.col("b")
-    grouped = rows.groupBy("groep").agg(
-        F.min("eerste").alias("a"), F.max("laatste").alias("b"), F.count(F.lit(1)).alias("n")
+    grouped = (
+        table(spark, sf_dir, "orders")
+        .selectExpr("o_custkey", "o_custkey % 50 AS rest", "year(o_orderdate) AS jaar")
+        .selectExpr(
+            "cast(nullif(rest, 7) AS INT) AS groep",
+            "if(rest >= 20, jaar, NULL) AS eerste",
+            "if(rest >= 10 AND (rest >= 30 OR o_custkey % 3 <> 0), jaar, NULL) AS laatste",
+        )
+        .groupBy("groep")
+        .agg(F.expr("min(eerste) AS a"), F.expr("max(laatste) AS b"), F.expr("count(1) AS n"))
     )
-    return grouped.select(
-        "groep",
-        period_text(first, last).alias("Periode"),
-        paste(first, last, sep=" tm ").alias("lever_perioden"),
-        "n",
+    return grouped.selectExpr(
+        "groep", f"{period_text('a', 'b')} AS Periode", f"{paste('a', 'b', sep=' tm ')} AS lever_perioden", "n"
     )
 

@@ -354,19 +354,20 @@ def codebook(spark: SparkSession) -> DataFrame:
     return spark.sql(CODEBOOK_SQL)
 
 
-def lookup(spark: SparkSession, which: str, numeric: bool = True, repairs=None, **labels) -> DataFrame:
+def lookup(book: DataFrame, which: str, numeric: bool = True, repairs=None, **labels) -> DataFrame:
     number, name = codes.CODEBOOK[which]
     return codebook_lookup(
-        codebook(spark), number=number, name=name, numeric=numeric, repairs=repairs, **labels
+        book, number=number, name=name, numeric=numeric, repairs=repairs, **labels
     )
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = codebook(spark)
     return region_dimension(
         MUNICIPALITIES.read(spark, sf_dir),
-        lookup(spark, "province", label="Provincie", repairs=codes.PROVINCE_REPAIRS),
-        lookup(spark, "police_region", label="Politieregio", repairs=codes.PROVINCE_REPAIRS),
-        lookup(spark, "police_unit", label="Eenheid"),
+        lookup(book, "province", label="Provincie", repairs=codes.PROVINCE_REPAIRS),
+        lookup(book, "police_region", label="Politieregio", repairs=codes.PROVINCE_REPAIRS),
+        lookup(book, "police_unit", label="Eenheid"),
     )
 
 
