@@ -10,8 +10,16 @@ from .aggregate import (
     weighted_count,
     wide_count,
 )
-from .joins import attach, flag_present, full_merge, keep_keys, missing_from, with_summary
-from .lookup import codebook_lookup, codebook_slice, left_lookup, require_unique, sized_broadcast, successors
+from .joins import (
+    attach,
+    flag_present,
+    full_merge,
+    keep_keys,
+    missing_from,
+    sized_broadcast,
+    with_summary,
+)
+from .lookup import codebook_lookup, codebook_slice, left_lookup, require_unique, successors
 from .sort import arrange
 from .union import append, append_filled, two_periods
 from .window import pack_years, running_total

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 Keys = str | Sequence[str] | Mapping[str, str]
 
+BROADCAST_ROWS = 200_000
+
 
 def key_pairs(on: Keys) -> dict[str, str]:
     """Left key to right key."""
@@ -32,6 +34,19 @@ def _matches(pairs: Mapping[str, str], null_safe: bool | Iterable[str]) -> Colum
     return F.expr(" AND ".join(f"{a} {'<=>' if a in safe else '='} {_aside(b)}" for a, b in pairs.items()))
 
 
+def sized_broadcast(
+    ref: DataFrame, max_rows: int = BROADCAST_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
+    """Hint a broadcast when ``ref`` holds at most ``max_rows`` rows, counted now; else leave it.
+
+    For lookups that are themselves made by joins, whose size Catalyst can only overestimate. Plain
+    slices of a small table need no hint: the size of their files is known. ``counted`` may name a
+    cheaper table with as many rows.
+    """
+    small = (ref if counted is None else counted).limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(ref) if small else ref
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,
@@ -59,10 +74,15 @@ def _distinct_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.selectExpr(*[f"{n} AS {_aside(n)}" for n in names]).distinct()
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, on: Keys) -> DataFrame:
-    """Rows whose key occurs in ``keys``. The keys are made distinct before they travel."""
+def keep_keys(df: DataFrame, keys: DataFrame, on: Keys, few: bool = False) -> DataFrame:
+    """Rows whose key occurs in ``keys``. The keys are made distinct before they travel.
+
+    With ``few`` the distinct keys are counted now, and broadcast when there are few indeed: for keys
+    that come out of an event table, of which Catalyst cannot foresee how few they are.
+    """
     pairs = key_pairs(on)
-    return df.join(_distinct_keys(keys, list(pairs.values())), _matches(pairs, True), "left_semi")
+    wanted = _distinct_keys(keys, list(pairs.values()))
+    return df.join(sized_broadcast(wanted) if few else wanted, _matches(pairs, True), "left_semi")
 
 
 def missing_from(df: DataFrame, other: DataFrame, on: Keys) -> DataFrame:

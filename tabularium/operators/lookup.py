@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import label_map, literal, to_int
 from .joins import Keys, attach, key_pairs
 
-BROADCAST_ROWS = 200_000
-
 
 def codebook_slice(codebook: DataFrame, number: int | None = None, name: str | None = None) -> DataFrame:
     """Rows of one variable, found by number or by name (the name may be missing)."""
@@ -60,31 +58,22 @@ def require_unique(ref: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     return grouped.where(f"assert_true(_rows = 1, {message}) IS NULL").select(*[f"`{c}`" for c in columns])
 
 
-def sized_broadcast(
-    ref: DataFrame, max_rows: int = BROADCAST_ROWS, counted: DataFrame | None = None
-) -> DataFrame:
-    """Hint a broadcast when ``ref`` holds at most ``max_rows`` rows, counted now; else leave it.
-
-    For lookups that are themselves made by joins, whose size Catalyst can only overestimate. Plain
-    slices of a small table need no hint: the size of their files is known. ``counted`` may name a
-    cheaper table with as many rows.
-    """
-    small = (ref if counted is None else counted).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(ref) if small else ref
-
-
 def left_lookup(
     fact: DataFrame,
     ref: DataFrame,
     on: Keys,
-    null_safe: bool = True,
+    null_safe: bool = False,
     unique: bool = True,
 ) -> DataFrame:
     """Add the columns of ``ref`` to every row of ``fact``; rows without partner keep missing values.
 
     ``on`` is a column name, a list, or a mapping from fact key to lookup key; the lookup keys are
-    dropped. A lookup below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast, a larger one is
-    shuffled with hot keys split by adaptive execution.
+    dropped. Pass ``null_safe=True`` for a lookup that has an entry for the missing key; others are
+    compared plainly, which hashes faster and gives the same rows. ``unique=False`` skips the check of
+    a lookup whose keys are unique by the way it was made.
+
+    A lookup below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast, a larger one is shuffled
+    with hot keys split by adaptive execution.
     """
     pairs = key_pairs(on)
     checked = require_unique(ref, list(pairs.values())) if unique else ref

@@ -54,7 +54,7 @@ def motorcycle_cases(
         .select(*JOIN_KEYS, "ernong5", "datum", "N_motor", "gme_naam")
     )
     # towns are compared before the wide join, which then only sees casualties of those towns
-    local = keep_keys(casualties, chosen, "key_gem")
+    local = keep_keys(casualties, chosen, "key_gem", few=True)
     joined = attach(local, chosen, JOIN_KEYS).where(
         f"ernong5 IS NOT NULL OR ote_sl IN {motor} OR botspartner IN {motor}"
         f" OR vervoersw_detail IN {motor} OR tegenpartij_detail IN {motor}"

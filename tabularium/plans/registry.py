@@ -113,7 +113,8 @@ def data_overview(
 
     ``summary`` comes from :func:`delivery_summary` and ``registry`` from :func:`table_registry`;
     ``sources`` links ``prod_nr`` to ``dmx_nr``. The merges run from the many side: links, then
-    products, then organisations. Each merge reads its inputs twice, so they are settled in between.
+    products, then organisations. A merge reads its inputs twice, so what has a long history
+    is settled first.
     """
     linked = full_merge(sources.select("prod_nr", "dmx_nr"), settle(registry, "registry"), "dmx_nr")
     supplied = left_lookup(
@@ -121,7 +122,7 @@ def data_overview(
     )
     supplied = settle(supplied, "products")
     merged = full_merge(settle(linked, "links"), supplied, "prod_nr")
-    merged = full_merge(settle(merged, "overview"), organisations, "org_nr")
+    merged = full_merge(merged, organisations, "org_nr")
     shown = (
         merged.where(visible_tables("dmx_naam"))
         .where(lacks_code("dmx_type", *codes.HIDDEN_MATRIX_TYPES))

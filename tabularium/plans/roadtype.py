@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import literals
-from ..operators import attach, group_count, require_unique, wide_count
+from ..operators import attach, group_count, wide_count
 
 
 def road_type_wide(
@@ -35,13 +35,12 @@ def casualties_by_road_type(
     """Casualties per road type of their accident, one column per year.
 
     Casualties are counted per accident before the join, so both sides meet with one row per accident
-    and year, and the join finds its left side shuffled on the keys already. The accident key identifies
-    a row and is never missing in ``categories``, hence the plain comparison.
+    and year, and the join finds its left side shuffled on the keys already. The accident key is the
+    primary key of ``categories``, so it is unique and never missing there: a plain comparison will do.
     """
     keys = ["jaar", "vornum"]
     per_accident = group_count(casualties.where(f"jaar IN {literals(years)}"), *keys, name="slachtoffers")
-    types = require_unique(categories.select(*keys, road_type), keys)
-    typed = attach(per_accident, types, keys, null_safe=False)
+    typed = attach(per_accident, categories.select(*keys, road_type), keys, null_safe=False)
     return wide_count(typed, road_type, period="jaar", periods=years, weight="slachtoffers", prefix=prefix)
 
 

@@ -20,7 +20,7 @@ from ..operators import (
     weighted_count,
     wide_count,
 )
-from ..sources import tagged
+from ..sources import settle, tagged
 from .base import StandIn, checked, table
 
 YEARS = list(range(1995, 2002))
@@ -158,26 +158,24 @@ def pivot_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rollups",
     """
     WITH base AS (
-      SELECT CAST(year(o.o_orderdate) AS INTEGER) AS jaar, l_returnflag AS vlag, o.o_orderpriority AS prioriteit,
+      SELECT CAST(year(o.o_orderdate) AS INTEGER) AS jaar, o.o_orderstatus AS status, o.o_orderpriority AS prioriteit,
              CAST(sum(l_quantity) AS BIGINT) AS n
       FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey GROUP BY ALL)
-    SELECT 'jaar' AS tabel, jaar, NULL AS vlag, NULL AS prioriteit, CAST(sum(n) AS BIGINT) AS n FROM base GROUP BY jaar
-    UNION ALL SELECT 'vlag', jaar, vlag, NULL, CAST(sum(n) AS BIGINT) FROM base GROUP BY jaar, vlag
-    UNION ALL SELECT 'prioriteit', NULL, vlag, prioriteit, CAST(sum(n) AS BIGINT) FROM base GROUP BY vlag, prioriteit
+    SELECT 'jaar' AS tabel, jaar, NULL AS status, NULL AS prioriteit, CAST(sum(n) AS BIGINT) AS n FROM base GROUP BY jaar
+    UNION ALL SELECT 'status', jaar, status, NULL, CAST(sum(n) AS BIGINT) FROM base GROUP BY jaar, status
+    UNION ALL SELECT 'prioriteit', NULL, status, prioriteit, CAST(sum(n) AS BIGINT) FROM base GROUP BY status, prioriteit
     """,
 )
 def rollups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.year("o_orderdate").alias("jaar"), F.col("o_orderpriority").alias("prioriteit")
-    )
-    # quantities are added up per order before they are joined
-    per_order = lines.groupBy("l_orderkey", F.col("l_returnflag").alias("vlag")).agg(
-        F.sum(F.col("l_quantity").cast("bigint")).alias("n")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "cast(l_quantity AS BIGINT) AS n")
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "year(o_orderdate) AS jaar", "o_orderstatus AS status", "o_orderpriority AS prioriteit"
     )
-    joined = per_order.join(orders, per_order["l_orderkey"] == orders["o_orderkey"])
-    base = group_sum(joined, "jaar", "vlag", "prioriteit", measure="n")
-    levels = {"jaar": ["jaar"], "vlag": ["jaar", "vlag"], "prioriteit": ["vlag", "prioriteit"]}
+    # quantities are added up per order first; the join then finds them shuffled on its key
+    per_order = group_sum(lines, "l_orderkey", measure="n")
+    joined = per_order.join(orders, F.expr("l_orderkey = o_orderkey"))
+    base = group_sum(joined, "jaar", "status", "prioriteit", measure="n")
+    levels = {"jaar": ["jaar"], "status": ["jaar", "status"], "prioriteit": ["status", "prioriteit"]}
     tables = rollups(base, levels, "n")
     return append_filled(*[tagged(df, tabel=name) for name, df in tables.items()])
 
@@ -197,7 +195,8 @@ def rollups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reconcile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # counted once at the finest level; the three breakdowns are roll-ups of that
-    base = group_sum(_LINES.read(spark, sf_dir), "jaar", "vlag", "status", "nummer", measure="aantal")
+    counted = group_sum(_LINES.read(spark, sf_dir), "jaar", "vlag", "status", "nummer", measure="aantal")
+    base = settle(counted, "lines")
     breakdowns = rollups(
         base, {"vlag": ["jaar", "vlag"], "status": ["jaar", "status"], "nummer": ["jaar", "nummer"]}, "aantal"
     )

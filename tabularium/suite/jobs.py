@@ -29,7 +29,7 @@ from ..plans import (
     yearly_rate,
 )
 from ..plans.registration import PUBLISHED_YEARS
-from ..sources import tagged
+from ..sources import settle, tagged
 from . import standins
 from .base import StandIn, checked, round1_sql, table
 from .recodes import band_sql
@@ -152,7 +152,8 @@ def _rate_tables(spark: SparkSession, sf_dir: str, published: bool) -> dict[str,
     rows = _RATES.read(spark, sf_dir)
     keys = [c for c in rows.columns if c not in _MEASURES]
     sums = [F.expr(f"sum({m}) AS {m}") for m in _MEASURES]
-    base = rows.groupBy(*keys).agg(*sums)
+    # seven stored tables in real life; here seven sums of one table, which is therefore read once
+    base = settle(rows.groupBy(*keys).agg(*sums), "rates")
     out = {}
     for key, (entry, label, label_en) in _BREAKDOWNS.items():
         counted = base.groupBy("JAAR", "LETSELERNST_IVO2", key).agg(*sums)

@@ -65,7 +65,7 @@ def lookup_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.nullif(F.col("o_custkey") % 7, F.lit(0)).cast("int").alias("code"),
         F.col("o_orderstatus").alias("status"),
     )
-    return left_lookup(group_count(rows, "code", "status"), spark.sql(_NULL_KEY_LABELS), {"code": "k"})
+    return left_lookup(group_count(rows, "code", "status"), spark.sql(_NULL_KEY_LABELS), {"code": "k"}, null_safe=True)
 
 
 _CASUALTY = StandIn(
@@ -73,7 +73,6 @@ _CASUALTY = StandIn(
     {
         "vornum": "cast(l_orderkey as string)",
         "wegbeh": "cast(nullif(l_orderkey % 5, 0) as int)",
-        "soort": "l_returnflag",
         "aantal": "cast(l_quantity as bigint)",
     },
 )
@@ -90,26 +89,24 @@ _ACCIDENT = StandIn(
 @checked(
     "composite_join",
     f"""
-    SELECT c.soort, a.ernst, c.wegbeh, count(*) AS n, CAST(sum(c.aantal) AS BIGINT) AS aantal
+    SELECT a.ernst, c.wegbeh, count(*) AS n, CAST(sum(c.aantal) AS BIGINT) AS aantal
     FROM ({_CASUALTY.sql}) c LEFT JOIN ({_ACCIDENT.sql}) a
       ON a.VORNUM_NR = CAST(c.vornum AS BIGINT) AND a.beheer IS NOT DISTINCT FROM c.wegbeh
     GROUP BY ALL
     """,
 )
 def composite_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    casualties = _CASUALTY.read(spark, sf_dir).withColumn("vornum", F.col("vornum").cast("long"))
-    # counted per accident first: the join then moves one row per accident, authority and kind
-    keys = ["vornum", "wegbeh", "soort"]
-    counted = casualties.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("aantal").alias("aantal"))
+    casualties = _CASUALTY.read(spark, sf_dir).withColumn("vornum", F.expr("cast(vornum AS BIGINT)"))
+    # counted on the join keys first, so a hot accident is one row per task when it is shuffled
+    sums = [F.expr("count(1) AS n"), F.expr("sum(aantal) AS aantal")]
+    counted = casualties.groupBy("vornum", "wegbeh").agg(*sums)
     joined = attach(
         counted,
         _ACCIDENT.read(spark, sf_dir),
         {"vornum": "VORNUM_NR", "wegbeh": "beheer"},
         null_safe=["wegbeh"],
     )
-    return joined.groupBy("soort", "ernst", "wegbeh").agg(
-        F.sum("n").alias("n"), F.sum("aantal").alias("aantal")
-    )
+    return joined.groupBy("ernst", "wegbeh").agg(F.expr("sum(n) AS n"), F.expr("sum(aantal) AS aantal"))
 
 
 @checked(
