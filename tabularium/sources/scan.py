@@ -45,14 +45,14 @@ def scan(
 def year_range(col: str, first: int | None = None, last: int | None = None) -> str:
     """The date or timestamp column falls in the years ``first`` to ``last``, both included.
 
-    Written as bounds on the column itself, so row groups outside the years are skipped;
-    ``year(col) = y`` would read them all.
+    Written as bounds on the column itself, which take the type of the column, so row groups outside
+    the years are skipped; ``year(col) = y`` would read them all.
     """
     bounds = []
     if first is not None:
-        bounds.append(f"{col} >= timestamp_ntz'{first:04}-01-01'")
+        bounds.append(f"{col} >= '{first:04}-01-01'")
     if last is not None:
-        bounds.append(f"{col} < timestamp_ntz'{last + 1:04}-01-01'")
+        bounds.append(f"{col} < '{last + 1:04}-01-01'")
     return " AND ".join(bounds)
 
 

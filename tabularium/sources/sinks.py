@@ -21,7 +21,16 @@ FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 def _decimal_comma(name: str, kind: T.DataType) -> str:
     text = f"cast(`{name}` AS STRING)"
     if isinstance(kind, FRACTIONAL):
-        text = f"replace(regexp_replace({text}, '[.]0+$', ''), '.', ',')"
+        # as a decimal where Spark would write an exponent
+        text = (
+            f"CASE WHEN abs(`{name}`) >= 1e7 AND abs(`{name}`) < 1e22"
+            f" THEN cast(try_cast(`{name}` AS DECIMAL(38, 15)) AS STRING)"
+            f" WHEN abs(`{name}`) < 1e-3 AND abs(`{name}`) > 1e-12"
+            f" THEN cast(try_cast(`{name}` AS DECIMAL(38, 30)) AS STRING) ELSE {text} END"
+        )
+        short = f"trim(TRAILING '.' FROM trim(TRAILING '0' FROM {text}))"
+        plain = f"contains({text}, '.') AND NOT contains({text}, 'E')"
+        text = f"replace(CASE WHEN {plain} THEN {short} ELSE {text} END, '.', ',')"
     return f"{text} AS `{name}`"
 
 
@@ -37,7 +46,6 @@ def write_csv2(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         sep=";",
         header=True,
         nullValue="NA",
-        emptyValue="",
         escape='"',
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
@@ -54,7 +62,6 @@ def read_csv2(spark: SparkSession, path: str, schema: str | T.StructType) -> Dat
         sep=";",
         header=True,
         nullValue="NA",
-        emptyValue="",
         escape='"',
         multiLine=any(isinstance(f.dataType, T.StringType) for f in wanted.fields),
         ignoreLeadingWhiteSpace=False,
