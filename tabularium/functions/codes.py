@@ -91,23 +91,36 @@ RATE_PROVINCE_REPAIRS = {
 }
 DEATH_AGE_REPAIRS = {"0  t/m  4": " 0 t/m  4", "5  t/m  9": " 5 t/m  9"}
 
-# codebook variables: number and name
-CODEBOOK = {
-    "sex": (493, "geslacht"),
-    "province": (25, "provincie"),
-    "police_region": (305, "politie_regio"),
-    "police_unit": (1655, "arrondissement"),
-    "authority": (203, "wegbeh"),
-    "mode": (551, "vvm_ivo"),
-    "old_mode": (916, None),
-    "rate_weekday": (200, "weekdag"),
-    "rate_age": (929, "leeftijd_ivo2"),
-    "rate_month": (419, "maand"),
-    "rate_province": (556, "prov_ivo"),
-    "rate_sex": (264, "sexe"),
-    "rate_hour": (930, "uur_ivo2"),
-    "death_age": (None, "leeftijd_4_75"),
-    "death_mode": (None, "vervoer2"),
+# codebook variables: number, name, label, English label, whether the code is a number, label repairs
+VARIABLES = {
+    "sex": (493, "geslacht", "Geslacht", "Sex", True, None),
+    "sex_text": (493, "geslacht", "Geslacht", None, False, None),
+    "province": (25, "provincie", "Provincie", None, True, PROVINCE_REPAIRS),
+    "police_region": (305, "politie_regio", "Politieregio", None, True, PROVINCE_REPAIRS),
+    "police_unit": (1655, "arrondissement", "Eenheid", None, True, None),
+    "authority": (203, "wegbeh", "Wegbeheerder", None, False, None),
+    "mode": (551, "vvm_ivo", "Vervoerswijze", None, False, None),
+    "old_mode": (916, None, "Vervoerswijze", None, False, None),
+    "death_age": (None, "leeftijd_4_75", "Leeftijdsklasse", None, True, None),
+    "death_mode": (None, "vervoer2", "Vervoerswijze", "TransportMode", True, None),
+    "rate_month": (419, "maand", "Maand", "Month", True, None),
+    "rate_weekday": (200, "weekdag", "Weekdag", "Weekday", True, None),
+    "rate_hour": (930, "uur_ivo2", "Tijdstip", "Time", True, None),
+    "rate_province": (556, "prov_ivo", "Provincie", None, True, RATE_PROVINCE_REPAIRS),
+    "rate_mode": (551, "vvm_ivo", "Vervoerswijze", "TransportMode", True, None),
+    "rate_age": (929, "leeftijd_ivo2", "Leeftijd", "Agegroup", True, None),
+    "rate_sex": (264, "sexe", "Geslacht", "Sex", True, None),
+}
+
+# registration rate tables: key column, codebook variable, first and last published year
+RATE_TABLES = {
+    "Maand": ("MAAND", "rate_month", 1996, None),
+    "Dag": ("WEEKDAG", "rate_weekday", 1996, 2021),
+    "Tijdstip": ("UUR_IVO2", "rate_hour", 2001, 2021),
+    "Provincie": ("PROV_IVO", "rate_province", 1996, None),
+    "Vervoerswijze": ("VVM_IVO", "rate_mode", 1996, None),
+    "Leeftijd": ("LEEFTIJD_IVO2", "rate_age", 1996, None),
+    "Geslacht": ("SEXE", "rate_sex", 1996, None),
 }
 
 # week-time table

@@ -41,44 +41,49 @@ def contingency(
     df: DataFrame,
     rows: str,
     columns: str,
-    levels: Sequence[Any],
+    levels: Sequence[Any] | None = None,
     missing_level: bool = False,
 ) -> DataFrame:
     """Counts of two variables against each other, zero where a combination does not occur.
 
     Missing values are left out, or form a level called ``NA`` when ``missing_level``. ``levels`` fixes
-    the columns and their order; other values of ``columns`` are not shown.
+    the columns and their order and saves the job that looks them up; give all of them, as others are
+    not shown.
     """
     if missing_level:
-        levels = [str(v) for v in levels] + [MISSING]
+        if levels is not None:
+            levels = [str(v) for v in levels] + [MISSING]
         pairs = df.selectExpr(
             *[f"coalesce(cast({c} AS STRING), {literal(MISSING)}) AS {c}" for c in (rows, columns)]
         )
     else:
         pairs = df.where(f"{rows} IS NOT NULL AND {columns} IS NOT NULL").select(rows, columns)
-    counted = pairs.groupBy(rows).pivot(columns, list(levels)).agg(F.expr("count(1)"))
-    return counted.na.fill(0, [str(v) for v in levels])
+    counted = pairs.groupBy(rows).pivot(columns, levels and list(levels)).agg(F.expr("count(1)"))
+    return counted.na.fill(0, counted.columns[1:])
 
 
 def wide_count(
     df: DataFrame,
     *by: str,
     period: str,
-    periods: Sequence[Any],
+    periods: Sequence[Any] | None = None,
     weight: str | None = None,
     prefix: str = "",
 ) -> DataFrame:
-    """One column per period with the (weighted) count; an absent cell is missing, not zero."""
+    """One column per period with the (weighted) count; an absent cell is missing, not zero.
+
+    ``periods`` fixes the columns and their order and saves the job that looks them up.
+    """
     measure = "count(1)" if weight is None else total(weight)
-    wide = df.groupBy(*by).pivot(period, list(periods)).agg(F.expr(measure))
-    return wide.withColumnsRenamed({str(p): f"{prefix}{p}" for p in periods}) if prefix else wide
+    wide = df.groupBy(*by).pivot(period, periods and list(periods)).agg(F.expr(measure))
+    return wide.withColumnsRenamed({c: f"{prefix}{c}" for c in wide.columns[len(by) :]})
 
 
 def reshape_wide(
     df: DataFrame,
     names_from: str,
     values_from: str,
-    periods: Sequence[Any],
+    periods: Sequence[Any] | None = None,
     prefix: str = "",
 ) -> DataFrame:
     """Spread one column over period columns; all other columns identify the row.
@@ -88,8 +93,8 @@ def reshape_wide(
     ids = [c for c in df.columns if c not in (names_from, values_from)]
     message = literal(f"two values of {values_from} for one cell")
     cell = f"CASE WHEN count(1) <= 1 THEN any_value({values_from}) ELSE raise_error({message}) END"
-    wide = df.groupBy(*ids).pivot(names_from, list(periods)).agg(F.expr(cell))
-    return wide.withColumnsRenamed({str(p): f"{prefix}{p}" for p in periods}) if prefix else wide
+    wide = df.groupBy(*ids).pivot(names_from, periods and list(periods)).agg(F.expr(cell))
+    return wide.withColumnsRenamed({c: f"{prefix}{c}" for c in wide.columns[len(ids) :]})
 
 
 def rollups(

@@ -1,11 +1,11 @@
 from .accidents import accident_series, late_accidents
-from .casualties import casualty_series, late_casualties
+from .casualties import casualty_base, casualty_tables, late_casualties
 from .deaths import deaths_by_class
-from .dimensions import add_age_labels, region_dimension
+from .dimensions import add_age_labels, region_dimension, variable_lookup
 from .motorcycle import motorcycle_cases
 from .population import municipality_count, population_base, population_tables
 from .profile import profile_tables
-from .registration import rate_table, rate_wide, reconcile_rates, yearly_rate
+from .registration import rate_table, rate_tables, rate_wide, reconcile_rates, yearly_rate
 from .registry import data_overview, delivery_summary, system_tables, table_registry, update_frequency
 from .roadtype import casualties_by_road_type, location_study, road_type_wide
 from .weektime import weektime_class, weektime_table
@@ -14,7 +14,8 @@ __all__ = [
     "accident_series",
     "add_age_labels",
     "casualties_by_road_type",
-    "casualty_series",
+    "casualty_base",
+    "casualty_tables",
     "data_overview",
     "deaths_by_class",
     "delivery_summary",
@@ -27,6 +28,7 @@ __all__ = [
     "population_tables",
     "profile_tables",
     "rate_table",
+    "rate_tables",
     "rate_wide",
     "reconcile_rates",
     "region_dimension",
@@ -34,6 +36,7 @@ __all__ = [
     "system_tables",
     "table_registry",
     "update_frequency",
+    "variable_lookup",
     "weektime_class",
     "weektime_table",
     "yearly_rate",

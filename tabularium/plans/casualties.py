@@ -60,7 +60,7 @@ def _labelled(
     return left_lookup(named, regions, "gemeente_nr", unique=False)
 
 
-def casualty_series(
+def casualty_base(
     new: DataFrame,
     old: DataFrame,
     late: DataFrame | None,
@@ -71,8 +71,8 @@ def casualty_series(
     old_mode_labels: DataFrame,
     sexes: DataFrame,
     cutover: int = codes.CUTOVER_YEAR,
-) -> dict[str, DataFrame]:
-    """Two tables: casualties per municipality, and per province, mode, age and sex.
+) -> DataFrame:
+    """Casualties of both sources counted by outcome, municipality, mode, sex and age.
 
     ``new`` has ``jaar, ernstsl, key_gem, ote_sl, sexesl, lftsl``; ``old`` and ``late`` have ``Jaar,
     ernstsl, gemeente_nr, VVM, lftsl, sexesl``. The mode tables map a source's code to a class
@@ -103,7 +103,14 @@ def casualty_series(
         sexes,
         regions,
     )
-    base = append(*[df.select(*BASE, "Aantal") for df in (before_named, after_named)])
+    return append(*[df.select(*BASE, "Aantal") for df in (before_named, after_named)])
+
+
+def casualty_tables(base: DataFrame) -> dict[str, DataFrame]:
+    """Two tables: casualties per municipality, and per province, mode, age and sex.
+
+    Settle ``base`` when each is written by its own job, or the events are counted twice.
+    """
     merged = base.withColumn("Afloop", F.expr(label_map("Afloop", codes.INJURED)))
     return {
         "Gemeente": group_sum(

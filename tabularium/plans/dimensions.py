@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import band, codes
-from ..operators import left_lookup, sized_broadcast, successors
+from ..operators import codebook_lookup, left_lookup, sized_broadcast, successors
 
 REGION_COLUMNS = [
     "gemeente_nr_recent",
@@ -17,6 +17,12 @@ REGION_COLUMNS = [
 ]
 
 
+def variable_lookup(codebook: DataFrame, variable: str) -> DataFrame:
+    """The lookup of one of the known codebook variables (``codes.VARIABLES``), keyed by ``code``."""
+    number, name, label, label_en, numeric, repairs = codes.VARIABLES[variable]
+    return codebook_lookup(codebook, number, name, label, label_en, numeric, repairs)
+
+
 def region_dimension(
     municipalities: DataFrame,
     provinces: DataFrame,

@@ -69,7 +69,10 @@ def population_base(population: DataFrame, sexes: DataFrame, regions: DataFrame)
 
 
 def population_tables(base: DataFrame) -> dict[str, DataFrame]:
-    """The three published tables. Persist ``base`` when each is written by its own job."""
+    """The three published tables.
+
+    Settle ``base`` when each is written by its own job, or the population is counted three times.
+    """
     out = rollups(
         base,
         {

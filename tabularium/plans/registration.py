@@ -7,14 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import percentage
+from ..functions import codes, percentage
 from ..operators import arrange, left_lookup, reconcile, reshape_wide
 from ..operators.aggregate import total
+from .dimensions import variable_lookup
 
 DEATHS = 1
 FIRST_YEAR = 1996
-# the weekday and hour tables end earlier, and the hour table starts later
-PUBLISHED_YEARS = {"WEEKDAG": (FIRST_YEAR, 2021), "UUR_IVO2": (2001, 2021)}
 
 
 def rate_table(
@@ -45,6 +44,26 @@ def rate_table(
     return named.selectExpr("Jaar", *labels, "Werkelijk", "Geregistreerd", f"{rate} AS Registratiegraad")
 
 
+def rate_tables(
+    sources: Mapping[str, DataFrame],
+    codebook: DataFrame,
+    years: Mapping[str, tuple[int, int | None]] | None = None,
+    ordered: bool = True,
+) -> dict[str, DataFrame]:
+    """The published tables, by sheet name.
+
+    ``sources`` gives the pre-counted table of each key column. ``years`` replaces the published years
+    of single sheets; the weekday and hour sheets have shorter periods than the others.
+    """
+    out = {}
+    for sheet, (key, variable, first, last) in codes.RATE_TABLES.items():
+        first, last = (years or {}).get(sheet, (first, last))
+        out[sheet] = rate_table(
+            sources[key], key, variable_lookup(codebook, variable), first, last, ordered=ordered
+        )
+    return out
+
+
 def rate_wide(rated: DataFrame, measure: str, years: Sequence[int], prefix: str = "") -> DataFrame:
     """One measure of a rate table with a column per year."""
     others = {"Werkelijk", "Geregistreerd", "Registratiegraad"} - {measure}

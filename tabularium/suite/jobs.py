@@ -12,7 +12,8 @@ from ..operators import append_filled, group_sum
 from ..plans import (
     accident_series,
     casualties_by_road_type,
-    casualty_series,
+    casualty_base,
+    casualty_tables,
     deaths_by_class,
     late_accidents,
     late_casualties,
@@ -21,14 +22,14 @@ from ..plans import (
     municipality_count,
     population_base,
     population_tables,
-    rate_table,
+    rate_tables,
     rate_wide,
     reconcile_rates,
     road_type_wide,
+    variable_lookup,
     weektime_table,
     yearly_rate,
 )
-from ..plans.registration import PUBLISHED_YEARS
 from ..sources import settle, tagged
 from . import standins
 from .base import StandIn, checked, round1_sql, table
@@ -63,7 +64,7 @@ base AS (
 
 
 def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sexes = standins.lookup(standins.codebook(spark), "sex", label="Geslacht", label_en="Sex")
+    sexes = variable_lookup(standins.codebook(spark), "sex")
     return population_base(standins.POPULATION.read(spark, sf_dir), sexes, standins.regions(spark, sf_dir))
 
 
@@ -132,46 +133,29 @@ _RATES = StandIn(
     },
 )
 _MEASURES = ["SLA_VOR", "SLA_IVO"]
-# code column: codebook entry, label column and English label column
-_BREAKDOWNS = {
-    "WEEKDAG": ("rate_weekday", "Weekdag", "Weekday"),
-    "LEEFTIJD_IVO2": ("rate_age", "Leeftijd", "Agegroup"),
-    "MAAND": ("rate_month", "Maand", "Month"),
-    "PROV_IVO": ("rate_province", "Provincie", None),
-    "SEXE": ("rate_sex", "Geslacht", "Sex"),
-    "UUR_IVO2": ("rate_hour", "Tijdstip", "Time"),
-    "VVM_IVO": ("mode", "Vervoerswijze", "TransportMode"),
-}
+_KEYS = {key: (sheet, variable) for sheet, (key, variable, _, _) in codes.RATE_TABLES.items()}
 # the test tables run from 1995 to 2001, so the shorter periods of weekday and hour are moved to fit
-_YEARS = {"WEEKDAG": (1996, 1999), "UUR_IVO2": (1998, 2000)}
-assert set(_YEARS) == set(PUBLISHED_YEARS)
+_YEARS = {"Dag": (1996, 1999), "Tijdstip": (1998, 2000)}
 
 
 def _rate_tables(spark: SparkSession, sf_dir: str, published: bool) -> dict[str, DataFrame]:
-    book = standins.codebook(spark)
     rows = _RATES.read(spark, sf_dir)
     keys = [c for c in rows.columns if c not in _MEASURES]
     sums = [F.expr(f"sum({m}) AS {m}") for m in _MEASURES]
     # seven stored tables in real life; here seven sums of one table, which is therefore read once
     base = settle(rows.groupBy(*keys).agg(*sums), "rates")
-    out = {}
-    for key, (entry, label, label_en) in _BREAKDOWNS.items():
-        counted = base.groupBy("JAAR", "LETSELERNST_IVO2", key).agg(*sums)
-        lookup = standins.lookup(
-            book, entry, label=label, label_en=label_en, repairs=codes.RATE_PROVINCE_REPAIRS
-        )
-        first, last = _YEARS.get(key, (1996, None)) if published else (1996, None)
-        out[key] = rate_table(counted, key, lookup, first, last, ordered=False)
-    return out
+    sources = {key: base.groupBy("JAAR", "LETSELERNST_IVO2", key).agg(*sums) for key in _KEYS}
+    years = _YEARS if published else dict.fromkeys(_YEARS, (1996, None))
+    return rate_tables(sources, standins.codebook(spark), years, ordered=False)
 
 
 def _rate_sql(key: str) -> str:
-    entry, _, label_en = _BREAKDOWNS[key]
-    number, _ = codes.CODEBOOK[entry]
-    first, last = _YEARS.get(key, (1996, 9999))
+    sheet, variable = _KEYS[key]
+    number, _, _, label_en, _, _ = codes.VARIABLES[variable]
+    first, last = _YEARS.get(sheet, (1996, 9999))
     english = "b.omsgb" if label_en else "NULL"
     return f"""
-    SELECT '{key}' AS tabel, Jaar, label, label_en, Werkelijk, Geregistreerd, {round1_sql('pct')} AS Registratiegraad
+    SELECT '{sheet}' AS tabel, Jaar, label, label_en, Werkelijk, Geregistreerd, {round1_sql('pct')} AS Registratiegraad
     FROM (
       SELECT c.JAAR AS Jaar,
              CASE b.oms WHEN 'FryslÃ¢n' THEN 'Fryslân' WHEN 'Overyssel' THEN 'Overijssel'
@@ -186,14 +170,15 @@ def _rate_sql(key: str) -> str:
 _RATE_CTE = f"WITH codebook AS ({standins.CODEBOOK_SQL}), src AS ({_RATES.sql})"
 
 
-@checked("registration_rate", _RATE_CTE + " UNION ALL ".join(_rate_sql(k) for k in _BREAKDOWNS))
+@checked("registration_rate", _RATE_CTE + " UNION ALL ".join(_rate_sql(k) for k in _KEYS))
 def registration_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
-    for key, df in _rate_tables(spark, sf_dir, published=True).items():
-        _, label, label_en = _BREAKDOWNS[key]
+    for sheet, df in _rate_tables(spark, sf_dir, published=True).items():
+        _, variable, _, _ = codes.RATE_TABLES[sheet]
+        _, _, label, label_en, _, _ = codes.VARIABLES[variable]
         parts.append(
             df.selectExpr(
-                f"'{key}' AS tabel",
+                f"'{sheet}' AS tabel",
                 "Jaar",
                 f"{label} AS label",
                 f"{label_en or 'cast(NULL AS STRING)'} AS label_en",
@@ -219,18 +204,18 @@ _WIDE_YEARS = list(range(1996, 2002))
 )
 def registration_rate_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_wide(
-        _rate_tables(spark, sf_dir, published=True)["SEXE"], "Registratiegraad", _WIDE_YEARS, prefix="j"
+        _rate_tables(spark, sf_dir, published=True)["Geslacht"], "Registratiegraad", _WIDE_YEARS, prefix="j"
     )
 
 
 def _reconcile_sql(measure: str, name: str) -> str:
     dims = " UNION ALL ".join(
-        f"SELECT '{k}' AS dim, JAAR AS Jaar, sum({measure}) AS n FROM src"
-        f" WHERE LETSELERNST_IVO2 = 1 AND JAAR >= 1996{' AND JAAR < 2000' if k == 'WEEKDAG' else ''} GROUP BY ALL"
-        for k in _BREAKDOWNS
+        f"SELECT '{sheet}' AS dim, JAAR AS Jaar, sum({measure}) AS n FROM src"
+        f" WHERE LETSELERNST_IVO2 = 1 AND JAAR >= 1996{' AND JAAR < 2000' if sheet == 'Dag' else ''} GROUP BY ALL"
+        for sheet in codes.RATE_TABLES
     )
-    cells = ", ".join(f"CAST(max(n) FILTER (WHERE dim = '{k}') AS DOUBLE) AS {k}" for k in _BREAKDOWNS)
-    equal = " AND ".join(f"VVM_IVO = {k}" for k in _BREAKDOWNS)
+    cells = ", ".join(f"CAST(max(n) FILTER (WHERE dim = '{s}') AS DOUBLE) AS {s}" for s in codes.RATE_TABLES)
+    equal = " AND ".join(f"Geslacht = {s}" for s in codes.RATE_TABLES)
     return (
         f"SELECT '{name}' AS maat, *, CAST(coalesce({equal}, false) AS INTEGER) AS all_equal"
         f" FROM (SELECT Jaar, {cells} FROM ({dims}) GROUP BY Jaar)"
@@ -243,7 +228,7 @@ def _reconcile_sql(measure: str, name: str) -> str:
 )
 def rate_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _rate_tables(spark, sf_dir, published=False)
-    tables["WEEKDAG"] = tables["WEEKDAG"].where("Jaar < 2000")
+    tables["Dag"] = tables["Dag"].where("Jaar < 2000")
     both = reconcile_rates(tables)
     out = append_filled(*[tagged(df, maat=name) for name, df in both.items()])
     return out.withColumn("all_equal", F.col("all_equal").cast("int"))
@@ -301,7 +286,7 @@ def two_period_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         standins.OLD_ACCIDENTS.read(spark, sf_dir),
         late_accidents(standins.LATE_ACCIDENTS.read(spark, sf_dir)),
         standins.regions(spark, sf_dir),
-        standins.lookup(standins.codebook(spark), "authority", numeric=False, label="Wegbeheerder"),
+        variable_lookup(standins.codebook(spark), "authority"),
     )
 
 
@@ -349,7 +334,7 @@ named AS (
 )
 def casualty_series_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = standins.codebook(spark)
-    tables = casualty_series(
+    base = casualty_base(
         standins.NEW_CASUALTIES.read(spark, sf_dir),
         standins.OLD_CASUALTIES.read(spark, sf_dir),
         late_casualties(
@@ -358,11 +343,11 @@ def casualty_series_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         standins.regions(spark, sf_dir),
         spark.sql(standins.NEW_MODES_SQL),
         spark.sql(standins.OLD_MODES_SQL),
-        standins.lookup(book, "mode", numeric=False, label="Vervoerswijze"),
-        standins.lookup(book, "old_mode", numeric=False, label="Vervoerswijze"),
-        standins.lookup(book, "sex", numeric=False, label="Geslacht"),
+        variable_lookup(book, "mode"),
+        variable_lookup(book, "old_mode"),
+        variable_lookup(book, "sex_text"),
     )
-    return append_filled(*[tagged(df, tabel=name) for name, df in tables.items()])
+    return append_filled(*[tagged(df, tabel=name) for name, df in casualty_tables(base).items()])
 
 
 # ---------------------------------------------------------------------------------- single tables
@@ -397,8 +382,8 @@ def deaths_by_class_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return deaths_by_class(
         counted,
-        standins.lookup(book, "death_age", label="Leeftijdsklasse"),
-        standins.lookup(book, "death_mode", label="Vervoerswijze", label_en="TransportMode"),
+        variable_lookup(book, "death_age"),
+        variable_lookup(book, "death_mode"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, to_int
+from ..functions import to_int
 from ..operators import (
     append,
     attach,
@@ -17,6 +17,7 @@ from ..operators import (
     missing_from,
     with_summary,
 )
+from ..plans import variable_lookup
 from . import standins
 from .base import StandIn, checked, table
 
@@ -262,9 +263,7 @@ def successor_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def codebook_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    provinces = standins.lookup(
-        standins.codebook(spark), "rate_province", label="Provincie", repairs=codes.RATE_PROVINCE_REPAIRS
-    )
+    provinces = variable_lookup(standins.codebook(spark), "rate_province")
     suppliers = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 6).cast("int").alias("prov"))
     return left_lookup(group_count(suppliers, "prov"), provinces, {"prov": "code"})
 

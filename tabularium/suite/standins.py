@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import codes
-from ..operators import codebook_lookup
-from ..plans import region_dimension
+from ..plans import region_dimension, variable_lookup
 from .base import StandIn
 
 # municipality number: 24 turns into the one without unit, 25 is not in the list, 26 is missing
@@ -354,20 +353,13 @@ def codebook(spark: SparkSession) -> DataFrame:
     return spark.sql(CODEBOOK_SQL)
 
 
-def lookup(book: DataFrame, which: str, numeric: bool = True, repairs=None, **labels) -> DataFrame:
-    number, name = codes.CODEBOOK[which]
-    return codebook_lookup(
-        book, number=number, name=name, numeric=numeric, repairs=repairs, **labels
-    )
-
-
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = codebook(spark)
     return region_dimension(
         MUNICIPALITIES.read(spark, sf_dir),
-        lookup(book, "province", label="Provincie", repairs=codes.PROVINCE_REPAIRS),
-        lookup(book, "police_region", label="Politieregio", repairs=codes.PROVINCE_REPAIRS),
-        lookup(book, "police_unit", label="Eenheid"),
+        variable_lookup(book, "province"),
+        variable_lookup(book, "police_region"),
+        variable_lookup(book, "police_unit"),
     )
 
 

@@ -170,6 +170,8 @@ def test_sums_skip_missing_and_empty_sum_is_zero(frame):
 def test_contingency_fills_zero_and_treats_missing(frame):
     df = frame("a string, b int", ("x", 1), ("x", 1), ("y", 2), (None, 1), ("x", None))
     assert rows(contingency(df, "a", "b", [1, 2])) == [("x", 2, 0), ("y", 0, 1)]
+    assert rows(contingency(df, "a", "b")) == [("x", 2, 0), ("y", 0, 1)]
+    assert contingency(df, "a", "b", missing_level=True).columns == ["a", "1", "2", "NA"]
     with_na = contingency(df, "a", "b", [1, 2], missing_level=True)
     assert with_na.columns == ["a", "1", "2", "NA"]
     assert rows(with_na) == [("NA", 1, 0, 0), ("x", 2, 0, 1), ("y", 0, 1, 0)]
@@ -180,6 +182,7 @@ def test_wide_count_keeps_absent_cells_missing(frame):
     wide = wide_count(df, "g", period="y", periods=[2001, 2000], weight="m", prefix="j")
     assert wide.columns == ["g", "j2001", "j2000"]
     assert rows(wide) == [("a", 5, None), ("b", None, 0)]
+    assert wide_count(df, "g", period="y").columns == ["g", "2000", "2001"]
 
 
 def test_reshape_and_back_is_the_identity(frame):

@@ -3,11 +3,12 @@
 import pytest
 from conftest import rows
 
-from tabularium.operators import codebook_lookup
+from tabularium.functions import codes
 from tabularium.plans import (
     accident_series,
     casualties_by_road_type,
-    casualty_series,
+    casualty_base,
+    casualty_tables,
     data_overview,
     deaths_by_class,
     delivery_summary,
@@ -20,6 +21,7 @@ from tabularium.plans import (
     population_tables,
     profile_tables,
     rate_table,
+    rate_tables,
     rate_wide,
     reconcile_rates,
     region_dimension,
@@ -205,7 +207,7 @@ def test_casualty_series_counts_every_row_once(frame, regions):
         frame("VORNUM int, KEY_OBJ int, VVM int", (1, 1, 2), (2, None, 1)),
         1992,
     )
-    out = casualty_series(
+    base = casualty_base(
         new,
         old,
         late,
@@ -216,6 +218,7 @@ def test_casualty_series_counts_every_row_once(frame, regions):
         frame("code string, Vervoerswijze string", ("0", "Auto"), ("5", "Snorfiets")),
         frame("code string, Geslacht string", ("1", "Man"), ("2", "Vrouw"), ("3", "Onbekend")),
     )
+    out = casualty_tables(base)
     assert rows(out["Vervoerswijze"]) == [
         (1986, "Overleden", "Drenthe", "Auto/bestel", "80+", "Vrouw", 1),
         (1987, None, "Drenthe", None, None, "Vrouw", 1),
@@ -462,7 +465,16 @@ def test_codebook_lookup_feeds_a_plan(frame):
         "var_nr int, var_naam string, code string, oms string, omsgb string",
         (419, "maand", "1", "januari", "January"),
         (419, "maand", "??", "fout", "wrong"),
+        (556, None, "1", "Overyssel", ""),
     )
-    lookup = codebook_lookup(book, 419, "maand", label="Maand", label_en="Month")
-    out = rate_table(frame(RATE, (2000, 1, 1, 1.0, 2.0)), "MAAND", lookup)
-    assert rows(out) == [(2000, "januari", "January", 2.0, 1.0, 50.0)]
+    counted = frame(
+        "JAAR int, LETSELERNST_IVO2 int, k int, SLA_VOR double, SLA_IVO double",
+        *[(year, 1, 1, 1.0, 2.0) for year in (1995, 1996, 2000, 2001, 2021, 2022)],
+    )
+    sources = {key: counted.withColumnRenamed("k", key) for key, _, _, _ in codes.RATE_TABLES.values()}
+    out = rate_tables(sources, book)
+    assert rows(out["Maand"])[0] == (1996, "januari", "January", 2.0, 1.0, 50.0)
+    assert rows(out["Provincie"], "Jaar", "Provincie")[0] == (1996, "Overijssel")
+    years = {sheet: [r[0] for r in rows(df, "Jaar")] for sheet, df in out.items()}
+    assert years["Dag"] == [1996, 2000, 2001, 2021] and years["Tijdstip"] == [2001, 2021]
+    assert years["Leeftijd"] == [1996, 2000, 2001, 2021, 2022]
