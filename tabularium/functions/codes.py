@@ -145,6 +145,37 @@ WEEKTIME_OUTCOMES = [
 WEEKTIME_SEXES = [([1], "Man"), ([2], "Vrouw")]
 
 # motorcycle study
+STUDY_PROVINCE = "Zuid-Holland"
+STUDY_TOWNS = [
+    "'s-Gravenhage",
+    "Delft",
+    "Leidschendam-Voorburg",
+    "Midden-Delfland",
+    "Pijnacker-Nootdorp",
+    "Rijswijk",
+    "Wassenaar",
+    "Westland",
+    "Zoetermeer",
+    "Alphen aan den Rijn",
+    "Bodegraven-Reeuwijk",
+    "Gouda",
+    "Hillegom",
+    "Kaag en Braassem",
+    "Katwijk",
+    "Krimpenerwaard",
+    "Leiden",
+    "Leiderdorp",
+    "Lisse",
+    "Nieuwkoop",
+    "Noordwijk",
+    "Oegstgeest",
+    "Teylingen",
+    "Voorschoten",
+    "Waddinxveen",
+    "Zoeterwoude",
+    "Zuidplas",
+]
+STUDY_EXTRA_ACCIDENTS = ["20220126097"]
 MOTOR_CODES = [31, 32, 33]
 STUDY_OUTCOMES = [
     (range(0, 6), "dood"),

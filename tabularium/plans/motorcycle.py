@@ -32,9 +32,9 @@ OUTPUT = [
 def motorcycle_cases(
     casualties: DataFrame,
     accidents: DataFrame,
-    province: str,
-    towns: Sequence[str],
-    extra_accidents: Sequence[str] = (),
+    province: str = codes.STUDY_PROVINCE,
+    towns: Sequence[str] = codes.STUDY_TOWNS,
+    extra_accidents: Sequence[str] = codes.STUDY_EXTRA_ACCIDENTS,
 ) -> DataFrame:
     """One row per casualty, with recoded columns.
 
