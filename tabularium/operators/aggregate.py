@@ -19,7 +19,7 @@ from .union import append
 
 def group_count(df: DataFrame, *by: str | Column, name: str = "n") -> DataFrame:
     """Rows per group."""
-    return df.groupBy(*by).agg(F.expr(f"count(1) AS {name}"))
+    return df.groupBy(*by).agg(F.expr(f"count(1) AS `{name}`"))
 
 
 def total(measure: str) -> str:
@@ -29,7 +29,7 @@ def total(measure: str) -> str:
 
 def group_sum(df: DataFrame, *by: str | Column, measure: str, name: str | None = None) -> DataFrame:
     """Sum of a measure per group, see :func:`total`."""
-    return df.groupBy(*by).agg(F.expr(f"{total(measure)} AS {name or measure}"))
+    return df.groupBy(*by).agg(F.expr(f"{total(measure)} AS `{name or measure}`"))
 
 
 def weighted_count(df: DataFrame, *by: str | Column, weight: str | None = None, name: str = "n") -> DataFrame:
@@ -54,10 +54,10 @@ def contingency(
         if levels is not None:
             levels = [str(v) for v in levels] + [MISSING]
         pairs = df.selectExpr(
-            *[f"coalesce(cast({c} AS STRING), {literal(MISSING)}) AS {c}" for c in (rows, columns)]
+            *[f"coalesce(cast(`{c}` AS STRING), {literal(MISSING)}) AS `{c}`" for c in (rows, columns)]
         )
     else:
-        pairs = df.where(f"{rows} IS NOT NULL AND {columns} IS NOT NULL").select(rows, columns)
+        pairs = df.where(f"`{rows}` IS NOT NULL AND `{columns}` IS NOT NULL").select(rows, columns)
     counted = pairs.groupBy(rows).pivot(columns, levels and list(levels)).agg(F.expr("count(1)"))
     return counted.na.fill(0, counted.columns[1:])
 
@@ -92,7 +92,7 @@ def reshape_wide(
     """
     ids = [c for c in df.columns if c not in (names_from, values_from)]
     message = literal(f"two values of {values_from} for one cell")
-    cell = f"CASE WHEN count(1) <= 1 THEN any_value({values_from}) ELSE raise_error({message}) END"
+    cell = f"CASE WHEN count(1) <= 1 THEN any_value(`{values_from}`) ELSE raise_error({message}) END"
     wide = df.groupBy(*ids).pivot(names_from, periods and list(periods)).agg(F.expr(cell))
     return wide.withColumnsRenamed({c: f"{prefix}{c}" for c in wide.columns[len(ids) :]})
 
@@ -120,8 +120,8 @@ def reconcile(breakdowns: Mapping[str, DataFrame], year: str, measure: str) -> D
     ]
     names = list(breakdowns)
     wide = append(*rows).groupBy(year).pivot("_dim", names).agg(F.expr(total("n")))
-    same = " AND ".join(f"{n} <=> {names[0]}" for n in names)
-    return wide.selectExpr("*", f"{same} AND {names[0]} IS NOT NULL AS all_equal")
+    same = " AND ".join(f"`{n}` <=> `{names[0]}`" for n in names)
+    return wide.selectExpr("*", f"{same} AND `{names[0]}` IS NOT NULL AS all_equal")
 
 
 def same_total(output: DataFrame, measure: str, *inputs: DataFrame) -> DataFrame:

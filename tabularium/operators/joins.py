@@ -31,7 +31,7 @@ def _set_aside(right: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
 def _matches(pairs: Mapping[str, str], null_safe: bool | Iterable[str]) -> Column:
     """Join condition; ``null_safe`` is True, False, or the left keys that may be missing."""
     safe = set(pairs) if null_safe is True else set(null_safe or ())
-    return F.expr(" AND ".join(f"{a} {'<=>' if a in safe else '='} {_aside(b)}" for a, b in pairs.items()))
+    return F.expr(" AND ".join(f"`{a}` {'<=>' if a in safe else '='} `{_aside(b)}`" for a, b in pairs.items()))
 
 
 def sized_broadcast(
@@ -71,7 +71,7 @@ def attach(
 
 
 def _distinct_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.selectExpr(*[f"{n} AS {_aside(n)}" for n in names]).distinct()
+    return df.selectExpr(*[f"`{n}` AS `{_aside(n)}`" for n in names]).distinct()
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: Keys, few: bool = False) -> DataFrame:
@@ -96,7 +96,7 @@ def flag_present(df: DataFrame, other: DataFrame, on: Keys, name: str = "present
     pairs = key_pairs(on)
     found = _distinct_keys(other, list(pairs.values())).selectExpr("*", "true AS _found")
     out = df.join(found, _matches(pairs, True), "left")
-    return out.selectExpr(*df.columns, f"_found IS NOT NULL AS {name}")
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], f"_found IS NOT NULL AS `{name}`")
 
 
 def full_merge(many: DataFrame, few: DataFrame, on: str | Sequence[str]) -> DataFrame:

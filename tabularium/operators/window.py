@@ -32,7 +32,7 @@ def pack_years(
 
     A chunk is closed when the next year would take it over the limit; a year that is above the limit
     by itself gets its own chunk. ``counts`` must hold one row per year. All years are folded in one
-    row, which is why more than ``MAX_YEARS`` of them are refused.
+    row, which is why the job fails when there are more than ``MAX_YEARS`` of them.
     """
     newest_first = f"sort_array(collect_list(struct({year} AS y, cast({measure} AS BIGINT) AS n)), false)"
     entries = "array<struct<y:bigint,n:bigint,cum:bigint,chunk:int>>"
@@ -45,7 +45,8 @@ def pack_years(
     )
     start = f"struct(0L AS size, 1 AS chunk, 0L AS cum, cast(array() AS {entries}) AS out)"
     packed = (
-        counts.agg(F.expr(f"{newest_first} AS years"))
+        counts.limit(MAX_YEARS + 1)  # one too many is enough to fail below
+        .agg(F.expr(f"{newest_first} AS years"))
         .selectExpr(
             f"CASE WHEN size(years) <= {MAX_YEARS} THEN aggregate(years, {start}, (acc, row) -> {step}).out"
             f" ELSE raise_error('more than {MAX_YEARS} years') END AS out"

@@ -4,9 +4,9 @@ from .deaths import deaths_by_class
 from .dimensions import add_age_labels, region_dimension, variable_lookup
 from .motorcycle import motorcycle_cases
 from .population import municipality_count, population_base, population_tables
-from .profile import profile_tables
+from .profile import profile_catalog, profile_tables
 from .registration import rate_table, rate_tables, rate_wide, reconcile_rates, yearly_rate
-from .registry import data_overview, delivery_summary, system_tables, table_registry, update_frequency
+from .registry import data_overview, delivery_summary, listed_tables, system_tables, table_registry, update_frequency
 from .roadtype import casualties_by_road_type, location_study, road_type_wide
 from .weektime import weektime_class, weektime_table
 
@@ -21,11 +21,13 @@ __all__ = [
     "delivery_summary",
     "late_accidents",
     "late_casualties",
+    "listed_tables",
     "location_study",
     "motorcycle_cases",
     "municipality_count",
     "population_base",
     "population_tables",
+    "profile_catalog",
     "profile_tables",
     "rate_table",
     "rate_tables",

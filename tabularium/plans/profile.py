@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, first_match, literal
-from ..sources.catalog import column_list
+from ..sources import column_list, settle
 
 # pairs of columns that bound a period, tried in this order when there is no year column
 PERIOD_COLUMNS = [("BEGDAT", "ENDDAT"), ("WVK_BEGDAT", "WVK_EINDDAT")]
 ROW_ID = "ROWID"
 YEAR = "JAAR"
+MEASURES = {"rijen": "BIGINT", "kolommen": "INT", "minY": "INT", "maxY": "INT"}
 
 
 def period_columns(columns: Collection[str]) -> tuple[str, str]:
@@ -29,20 +30,25 @@ def period_columns(columns: Collection[str]) -> tuple[str, str]:
     return "cast(NULL AS INT)", "cast(NULL AS INT)"
 
 
-def profile_table(schema: str, name: str, df: DataFrame) -> DataFrame:
+def profile_table(schema: str, name: str, df: DataFrame | None) -> DataFrame:
     """One aggregate over one scan: rows, columns, first and last year.
 
-    A table on the list of tables that cannot be profiled is not read, and shows missing values.
+    Without a table the row shows missing values.
     """
+    head = [f"{literal(schema)} AS schema", f"{literal(name.upper())} AS dmx_naam"]
+    if df is None:
+        empty = [f"cast(NULL AS {kind}) AS {c}" for c, kind in MEASURES.items()]
+        return SparkSession.active().range(1).selectExpr(*head, *empty)
     columns = column_list(df)
     first, last = period_columns(columns)
     width = len([c for c in columns if c != ROW_ID])
-    measures = {"rijen": "count(1)", "kolommen": f"{width}", "minY": first, "maxY": last}
-    if name.upper() in codes.UNPROFILED:
-        df = df.limit(0)
-        measures = dict.fromkeys(measures, "cast(NULL AS INT)") | {"rijen": "cast(NULL AS BIGINT)"}
-    head = {"schema": literal(schema), "dmx_naam": literal(name.upper())}
-    return df.agg(*[F.expr(f"{e} AS {c}") for c, e in (head | measures).items()])
+    measures = ["count(1) AS rijen", f"{width} AS kolommen", f"{first} AS minY", f"{last} AS maxY"]
+    return df.agg(*[F.expr(e) for e in [*head, *measures]])
+
+
+def profiled(name: str) -> bool:
+    """Whether a table can be profiled; some risk tables and copies cannot."""
+    return name.upper() not in codes.UNPROFILED
 
 
 def correct_periods(profile: DataFrame) -> DataFrame:
@@ -63,10 +69,28 @@ def correct_periods(profile: DataFrame) -> DataFrame:
     )
 
 
-def profile_tables(tables: Mapping[tuple[str, str], DataFrame]) -> DataFrame:
+def profile_tables(tables: Mapping[tuple[str, str], DataFrame | None]) -> DataFrame:
     """One row per ``(schema, name)``.
 
     All aggregates are branches of one union, so they run as one job and their scans side by side.
     """
-    rows = [profile_table(schema, name, df) for (schema, name), df in tables.items()]
+    rows = [
+        profile_table(schema, name, df if profiled(name) else None) for (schema, name), df in tables.items()
+    ]
     return correct_periods(reduce(DataFrame.unionByName, rows))
+
+
+def profile_catalog(spark: SparkSession, databases: Sequence[str], batch: int = 50) -> DataFrame:
+    """Profile of all tables of the databases, ``batch`` tables per job.
+
+    Each batch is settled, so that a failing table costs one batch and no plan grows without bound.
+    """
+    names = [(db, t.name) for db in databases for t in spark.catalog.listTables(db) if not t.isTemporary]
+    parts = []
+    for start in range(0, len(names), batch):
+        tables = {
+            (db, name): spark.table(f"`{db}`.`{name}`") if profiled(name) else None
+            for db, name in names[start : start + batch]
+        }
+        parts.append(settle(profile_tables(tables), "profile"))
+    return reduce(DataFrame.unionByName, parts)

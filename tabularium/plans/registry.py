@@ -71,10 +71,15 @@ def system_tables(catalog: DataFrame) -> DataFrame:
     )
 
 
+def listed_tables(tables: DataFrame) -> DataFrame:
+    """The same from a table list of the Spark catalogue."""
+    return tables.selectExpr("tabelnaam AS dmx_naam", "dmx_naam AS Udmx_naam", "schema AS schema_naam")
+
+
 def table_registry(tables: DataFrame, profile: DataFrame, matrices: DataFrame) -> DataFrame:
     """All tables, with their profile, merged with the described matrices.
 
-    ``tables`` comes from :func:`system_tables`, ``profile`` from the table profile, ``matrices`` has
+    ``tables`` comes from :func:`system_tables` or :func:`listed_tables`, ``profile`` from the table profile, ``matrices`` has
     ``dmx_nr, dmx_naam, dmx_type`` and descriptions.
     """
     profiled = left_lookup(tables, profile, {"Udmx_naam": "dmx_naam", "schema_naam": "schema"})

@@ -58,4 +58,4 @@ def year_range(col: str, first: int | None = None, last: int | None = None) -> s
 
 def tagged(df: DataFrame, **tags: Any) -> DataFrame:
     """Add literal columns, such as the year of a side file that does not hold it."""
-    return df.selectExpr("*", *[f"{literal(value)} AS {name}" for name, value in tags.items()])
+    return df.selectExpr("*", *[f"{literal(value)} AS `{name}`" for name, value in tags.items()])

@@ -14,11 +14,13 @@ from tabularium.plans import (
     delivery_summary,
     late_accidents,
     late_casualties,
+    listed_tables,
     location_study,
     motorcycle_cases,
     municipality_count,
     population_base,
     population_tables,
+    profile_catalog,
     profile_tables,
     rate_table,
     rate_tables,
@@ -33,6 +35,7 @@ from tabularium.plans import (
     yearly_rate,
 )
 from tabularium.plans.motorcycle import OUTPUT
+from tabularium.sources import table_list
 
 
 @pytest.fixture(scope="module")
@@ -387,6 +390,40 @@ def test_profile_finds_period_and_leaves_out_what_cannot_be_read(frame):
     }
 
 
+def test_profile_of_a_catalogue_feeds_the_registry(spark, frame):
+    spark.sql("CREATE DATABASE IF NOT EXISTS register")
+    spark.sql("CREATE TABLE register.ongeval USING parquet AS SELECT cast(id AS INT) + 2000 AS jaar, id FROM range(5)")
+    spark.sql("CREATE TABLE register.weg (a INT, rowid INT) USING parquet")
+    spark.sql("CREATE TABLE register.politie (jaar INT) USING parquet")
+    profile = profile_catalog(spark, ["register"], batch=2)
+    assert rows(profile) == [
+        ("register", "ONGEVAL", 5, 2, 2000, 2004),
+        ("register", "POLITIE", None, None, None, None),
+        ("register", "WEG", 0, 1, None, None),
+    ]
+    listed = listed_tables(table_list(spark, ["register"]))
+    matrices = frame("dmx_nr int, dmx_naam string, dmx_type int", (1, "Weg", 3), (2, "elders", 3))
+    # the list holds names as stored; the registry merges on the stored name
+    registry = table_registry(listed.selectExpr("Udmx_naam AS dmx_naam", "Udmx_naam", "schema_naam"), profile, matrices)
+    assert rows(registry, "dmx_naam", "dmx_nr", "rijen") == [
+        ("ELDERS", 2, None),
+        ("ONGEVAL", None, 5),
+        ("POLITIE", None, None),
+        ("WEG", 1, 0),
+    ]
+
+
+def test_source_years_reach_the_scan(spark, regions, frame, capsys, tmp_path):
+    spark.sql("SELECT 1990 AS jaar, 1 AS ernong5, 1 AS PVrapp, 1 AS key_gem, 1 AS wegbeh, 'x' AS extra").write.parquet(f"{tmp_path}/n")
+    spark.sql("SELECT 1980 AS Jaar, 1 AS Ndood, 1 AS gemeente_nr, 1 AS wegbeh, 'x' AS extra").write.parquet(f"{tmp_path}/o")
+    authorities = frame("code string, Wegbeheerder string", ("1", "Rijk"))
+    out = accident_series(spark.read.parquet(f"{tmp_path}/n"), spark.read.parquet(f"{tmp_path}/o"), None, regions, authorities)
+    out.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(jaar,1987)" in plan and "LessThan(Jaar,1987)" in plan and "extra" not in plan
+    assert out.agg({"Aantal": "sum"}).first()[0] == 2
+
+
 DELIVERY = (
     "prod_nr int, lever_datum string, lever_omschrijving string, lever_archief string, lever_periode int,"
     " lever_voorwaarde string, lever_bewaartermijn int, lever_IB_klasse int, lever_IB_opvolging int, nr int"
