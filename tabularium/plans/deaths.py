@@ -13,7 +13,8 @@ def deaths_by_class(
 ) -> DataFrame:
     """Positive counts of deaths with their labels.
 
-    ``deaths`` has ``JAAR, LEEFTIJD_4_75, VERVOER2, DOOD``; the lookups translate ``code`` to ``Leeftijdsklasse``, and ``Vervoerswijze`` with ``TransportMode``.
+    ``deaths`` has ``JAAR, LEEFTIJD_4_75, VERVOER2, DOOD``; the lookups translate ``code`` to
+    ``Leeftijdsklasse``, and to ``Vervoerswijze`` with ``TransportMode``.
     """
     rows = deaths.where("DOOD > 0").selectExpr(
         "JAAR AS Jaar", "LEEFTIJD_4_75", "VERVOER2", "DOOD AS Verkeersdoden"

@@ -41,7 +41,8 @@ def motorcycle_cases(
     ``accidents`` has the join keys and ``ernong5, datum, N_motor, vervoersw_detail_A,
     vervoersw_detail_B, gme_naam, pve_naam``; ``casualties`` has the join keys and ``ernstsl, ote_sl,
     botspartner, vervoersw_detail, tegenpartij_detail, sexesl, lftsl, func``. Accident keys are text on
-    both sides. Accidents with damage only are left out. ``extra_accidents`` are taken in although no motorcycle was coded.
+    both sides. Accidents with damage only are left out. ``extra_accidents`` are taken in although no
+    motorcycle was coded.
     """
     motor = literals(codes.MOTOR_CODES)
     involved = f"N_motor > 0 OR vervoersw_detail_A IN {motor} OR vervoersw_detail_B IN {motor}"

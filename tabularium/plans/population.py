@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, literal, strict_if
-from ..operators import group_sum, left_lookup, rollups
+from ..operators import arrange, group_sum, left_lookup, rollups
 from .dimensions import add_age_labels
 
 RECENT = [
@@ -68,20 +68,19 @@ def population_base(population: DataFrame, sexes: DataFrame, regions: DataFrame)
     )
 
 
-def population_tables(base: DataFrame) -> dict[str, DataFrame]:
-    """The three published tables.
+def population_tables(base: DataFrame, ordered: bool = False) -> dict[str, DataFrame]:
+    """The three published tables, sorted by their keys when ``ordered`` (for files).
 
     Settle ``base`` when each is written by its own job, or the population is counted three times.
     """
-    out = rollups(
-        base,
-        {
-            "Gemeenten_historisch": HISTORIC,
-            "Gemeenten_recent_lft_sex": RECENT,
-            "Inwoners_regio_leeftijd": [*REGION, "lft_inw"],
-        },
-        "Inwoners",
-    )
+    levels = {
+        "Gemeenten_historisch": HISTORIC,
+        "Gemeenten_recent_lft_sex": RECENT,
+        "Inwoners_regio_leeftijd": [*REGION, "lft_inw"],
+    }
+    out = rollups(base, levels, "Inwoners")
+    if ordered:
+        out = {name: arrange(df, *levels[name]) for name, df in out.items()}
     region = out["Inwoners_regio_leeftijd"].withColumnRenamed("lft_inw", "Leeftijd")
     return {**out, "Inwoners_regio_leeftijd": region}
 

@@ -18,7 +18,7 @@ from ..functions import (
     paste,
     period_text,
 )
-from ..operators import arrange, attach, full_merge, left_lookup
+from ..operators import arrange, full_merge, left_lookup
 from ..operators.aggregate import last_values
 from ..sources import settle
 
@@ -79,7 +79,8 @@ def listed_tables(tables: DataFrame) -> DataFrame:
 def table_registry(tables: DataFrame, profile: DataFrame, matrices: DataFrame) -> DataFrame:
     """All tables, with their profile, merged with the described matrices.
 
-    ``tables`` comes from :func:`system_tables` or :func:`listed_tables`, ``profile`` from the table profile, ``matrices`` has
+    ``tables`` comes from :func:`system_tables` or :func:`listed_tables`, ``profile`` from the table
+    profile, ``matrices`` has
     ``dmx_nr, dmx_naam, dmx_type`` and descriptions.
     """
     profiled = left_lookup(tables, profile, {"Udmx_naam": "dmx_naam", "schema_naam": "schema"})

@@ -104,5 +104,7 @@ def write_chunks(
     # pack_years bounds the number of years, so the broadcast stays small
     keyed = attach(df, F.broadcast(chunks.select(year, "serie")), year)
     # rebalance gathers a chunk in few tasks, and splits it again where it is large
-    keyed.hint("rebalance", F.col("serie")).write.mode(mode).option("maxRecordsPerFile", limit).partitionBy("serie").format(fmt).save(path)
+    gathered = keyed.hint("rebalance", F.col("serie"))
+    writer = gathered.write.mode(mode).option("maxRecordsPerFile", limit).partitionBy("serie")
+    writer.format(fmt).save(path)
     return chunks

@@ -101,6 +101,9 @@ def test_population_tables_hold_the_same_total(population):
         assert df.agg({"Inwoners": "sum"}).first()[0] == 45
     recent = rows(tables["Gemeenten_recent_lft_sex"], "Jaar", "gemeente_nr_recent", "Geslacht", "Inwoners")
     assert (1978, 2, "Man", 21) in recent
+    ordered = population_tables(population, ordered=True)["Inwoners_regio_leeftijd"].collect()
+    assert [r["Jaar"] for r in ordered] == sorted(r["Jaar"] for r in ordered)
+    assert [r["Leeftijd"] for r in ordered if r["Geslacht"] == "Vrouw"] == [32760, 31]
 
 
 def test_municipality_count(population):

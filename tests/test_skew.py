@@ -109,10 +109,26 @@ def test_counting_per_accident_shuffles_the_events_once(spark, facts, capsys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_hot_partition_is_split(spark, threshold):
-    if threshold != "-1":
-        pytest.skip("a broadcast join has no partitions to split")
+def test_bucketed_event_tables_join_without_a_shuffle(spark, capsys):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = spark.range(300).selectExpr("id % 100 AS vornum", "if(id % 7 = 0, NULL, id % 3) AS wegbeh")
+        accidents = spark.range(100).selectExpr("id AS vornum", "if(id % 7 = 0, NULL, id % 3) AS wegbeh", "id AS w")
+        events.write.bucketBy(4, "vornum").saveAsTable("b_events")
+        accidents.write.bucketBy(4, "vornum").saveAsTable("b_accidents")
+        out = attach(spark.table("b_events"), spark.table("b_accidents").drop("wegbeh"), "vornum", null_safe=False)
+        out.explain()
+        assert "Exchange" not in capsys.readouterr().out
+        assert out.where("w = vornum").count() == 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hot_partition_is_split(spark):
     settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
