@@ -74,15 +74,14 @@ def _distinct_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.selectExpr(*[f"`{n}` AS `{_aside(n)}`" for n in names]).distinct()
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, on: Keys, few: bool = False) -> DataFrame:
+def keep_keys(df: DataFrame, keys: DataFrame, on: Keys) -> DataFrame:
     """Rows whose key occurs in ``keys``. The keys are made distinct before they travel.
 
-    With ``few`` the distinct keys are counted now, and broadcast when there are few indeed: for keys
-    that come out of an event table, of which Catalyst cannot foresee how few they are.
+    Of keys that come out of an event table Catalyst cannot foresee how few they are: settle them
+    first, and their known size decides between a broadcast and a shuffle.
     """
     pairs = key_pairs(on)
-    wanted = _distinct_keys(keys, list(pairs.values()))
-    return df.join(sized_broadcast(wanted) if few else wanted, _matches(pairs, True), "left_semi")
+    return df.join(_distinct_keys(keys, list(pairs.values())), _matches(pairs, True), "left_semi")
 
 
 def missing_from(df: DataFrame, other: DataFrame, on: Keys) -> DataFrame:
@@ -106,7 +105,7 @@ def full_merge(many: DataFrame, few: DataFrame, on: str | Sequence[str]) -> Data
     join cannot be broadcast and adaptive execution cannot split its hot keys; the left join can do
     both, and the second part needs only the distinct keys of ``many``. So pass the table that is
     larger, or repeats its keys, as ``many``. Both are read twice: settle a result with a long history
-    in a table first.
+    first, which also tells the planner whether ``few`` is small enough to broadcast.
     """
     names = [on] if isinstance(on, str) else list(on)
     matched = attach(many, few, names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_YEARS = 10_000
@@ -13,12 +13,16 @@ def running_total(
 ) -> DataFrame:
     """Running total over the years, newest first.
 
-    ``counts`` holds one row per calendar year, so the unpartitioned window sees at most a few
-    thousand rows whatever the size of the table that was counted.
+    ``counts`` holds one row per calendar year, so the unpartitioned window sees a few thousand rows
+    whatever the size of the table that was counted. The job fails above ``MAX_YEARS`` rows.
     """
-    newest_first = Window.orderBy(F.desc_nulls_last(year))
-    frame = newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn(name, F.sum(measure).over(frame))
+    newest_first = f"(ORDER BY `{year}` DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return counts.limit(MAX_YEARS + 1).selectExpr(
+        "*",
+        f"CASE WHEN row_number() OVER (ORDER BY `{year}` DESC NULLS LAST) <= {MAX_YEARS}"
+        f" THEN sum(`{measure}`) OVER {newest_first}"
+        f" ELSE raise_error('more than {MAX_YEARS} years') END AS `{name}`",
+    )
 
 
 def pack_years(

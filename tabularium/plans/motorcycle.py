@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import codes, first_match, literal, literals, recode, strict_if
 from ..operators import attach, keep_keys
+from ..sources import settle
 
 JOIN_KEYS = ["jaar", "vornum", "wegbeh", "loctypon", "bebouw", "maxsne", "key_gem"]
 OUTPUT = [
@@ -48,14 +49,16 @@ def motorcycle_cases(
     involved = f"N_motor > 0 OR vervoersw_detail_A IN {motor} OR vervoersw_detail_B IN {motor}"
     if extra_accidents:
         involved += f" OR vornum IN {literals(extra_accidents)}"
-    chosen = (
+    # settled: read twice below, and usually found small enough to spare the casualties a shuffle
+    chosen = settle(
         accidents.where(f"ernong5 < {codes.DAMAGE_ONLY}")
         .where(f"pve_naam = {literal(province)} AND gme_naam IN {literals(towns)}")
         .where(involved)
-        .select(*JOIN_KEYS, "ernong5", "datum", "N_motor", "gme_naam")
+        .select(*JOIN_KEYS, "ernong5", "datum", "N_motor", "gme_naam"),
+        "cases",
     )
     # towns are compared before the wide join, which then only sees casualties of those towns
-    local = keep_keys(casualties, chosen, "key_gem", few=True)
+    local = keep_keys(casualties, chosen, "key_gem")
     joined = attach(local, chosen, JOIN_KEYS).where(
         f"ernong5 IS NOT NULL OR ote_sl IN {motor} OR botspartner IN {motor}"
         f" OR vervoersw_detail IN {motor} OR tegenpartij_detail IN {motor}"

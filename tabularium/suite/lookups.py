@@ -12,12 +12,14 @@ from ..operators import (
     flag_present,
     full_merge,
     group_count,
+    group_sum,
     keep_keys,
     left_lookup,
     missing_from,
     with_summary,
 )
 from ..plans import variable_lookup
+from ..sources import settle
 from . import standins
 from .base import StandIn, checked, table
 
@@ -122,11 +124,11 @@ def keys_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = table(spark, sf_dir, "customer").where(
         (F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 0)
     )
-    kept = keep_keys(table(spark, sf_dir, "orders"), chosen, {"o_custkey": "c_custkey"})
-    # counted per customer first, so that no distinct set is built per priority
-    per_customer = group_count(kept, "o_orderpriority", "o_custkey")
-    return per_customer.groupBy(F.col("o_orderpriority").alias("prioriteit")).agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("klanten")
+    # counted per customer first: a hot customer is one row in the join, and no distinct set is built
+    per_customer = group_count(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey")
+    kept = keep_keys(per_customer, chosen, {"o_custkey": "c_custkey"})
+    return kept.groupBy(F.col("o_orderpriority").alias("prioriteit")).agg(
+        F.expr("sum(n) AS n"), F.expr("count(1) AS klanten")
     )
 
 
@@ -146,12 +148,11 @@ def keys_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     name = F.when(F.col("p_size") <= 10, "ONTBREEKT").otherwise(F.col("p_name"))
-    described = part.select(F.upper(name).alias("naam"))
+    described = group_count(part.select(F.upper(name).alias("naam")), "naam")
     present = part.where(F.col("p_size") > 30).select(F.upper("p_name").alias("naam"))
-    absent = group_count(missing_from(described, present, "naam"), "naam")
+    absent = missing_from(described, present, "naam")
     flagged = flag_present(described, present, "naam", "aanwezig")
-    answer = F.when(F.col("aanwezig"), "ja").otherwise("nee")
-    counts = group_count(flagged.select(answer.alias("soort")), "soort")
+    counts = group_sum(flagged.selectExpr("if(aanwezig, 'ja', 'nee') AS soort", "n"), "soort", measure="n")
     return append(
         absent.select(F.lit("afwezig").alias("soort"), "naam", "n"),
         counts.select("soort", F.lit(None).cast("string").alias("naam"), "n"),
@@ -209,7 +210,8 @@ def full_outer_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def full_outer_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = group_count(_SUPPLIER_NATIONS.read(spark, sf_dir), "land", name="leveranciers")
-    return full_merge(_CUSTOMER_NATIONS.read(spark, sf_dir), suppliers, "land")
+    # settled, so that its size is known and the customers need no shuffle
+    return full_merge(_CUSTOMER_NATIONS.read(spark, sf_dir), settle(suppliers, "suppliers"), "land")
 
 
 @checked(

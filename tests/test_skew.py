@@ -14,6 +14,7 @@ from tabularium.operators import (
     wide_count,
 )
 from tabularium.plans import casualties_by_road_type
+from tabularium.sources import settle
 
 HOT = 7
 
@@ -76,7 +77,7 @@ def test_membership(spark, facts, expected, threshold):
     keys = facts.where("k IS NULL OR k = 7").select("k")
     hot = expected[HOT] + expected[None]
     assert keep_keys(facts, keys, "k").count() == hot
-    assert keep_keys(facts, keys, "k", few=True).count() == hot
+    assert keep_keys(facts, settle(keys, "keys"), "k").count() == hot
     assert missing_from(facts, keys, "k").count() == 30_000 - hot
 
 
