@@ -16,7 +16,6 @@ from .joins import (
     full_merge,
     keep_keys,
     missing_from,
-    sized_broadcast,
     with_summary,
 )
 from .lookup import codebook_lookup, codebook_slice, left_lookup, require_unique, successors
@@ -47,7 +46,6 @@ __all__ = [
     "rollups",
     "running_total",
     "same_total",
-    "sized_broadcast",
     "successors",
     "two_periods",
     "weighted_count",

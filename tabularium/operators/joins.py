@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 Keys = str | Sequence[str] | Mapping[str, str]
 
-BROADCAST_ROWS = 200_000
-
 
 def key_pairs(on: Keys) -> dict[str, str]:
     """Left key to right key."""
@@ -34,19 +32,6 @@ def _matches(pairs: Mapping[str, str], null_safe: bool | Iterable[str]) -> Colum
     return F.expr(" AND ".join(f"`{a}` {'<=>' if a in safe else '='} `{_aside(b)}`" for a, b in pairs.items()))
 
 
-def sized_broadcast(
-    ref: DataFrame, max_rows: int = BROADCAST_ROWS, counted: DataFrame | None = None
-) -> DataFrame:
-    """Hint a broadcast when ``ref`` holds at most ``max_rows`` rows, counted now; else leave it.
-
-    For lookups that are themselves made by joins, whose size Catalyst can only overestimate. Plain
-    slices of a small table need no hint: the size of their files is known. ``counted`` may name a
-    cheaper table with as many rows.
-    """
-    small = (ref if counted is None else counted).limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(ref) if small else ref
-
-
 def attach(
     left: DataFrame,
     right: DataFrame,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import band, codes
-from ..operators import codebook_lookup, left_lookup, sized_broadcast, successors
+from ..operators import codebook_lookup, left_lookup, successors
+from ..sources import settle
 
 REGION_COLUMNS = [
     "gemeente_nr_recent",
@@ -42,8 +43,7 @@ def region_dimension(
     dim = left_lookup(dim, provinces, {"prov_nr": "code"})
     dim = left_lookup(dim, police_regions, {"regio_nr": "code"})
     dim = left_lookup(dim, police_units, {"eenheid_nr": "code"})
-    # every lookup above has unique keys, so the dimension has as many rows as the list
-    return sized_broadcast(dim.select("gemeente_nr", *REGION_COLUMNS), counted=municipalities)
+    return settle(dim.select("gemeente_nr", *REGION_COLUMNS), "regions")
 
 
 def add_age_labels(df: DataFrame, age: str) -> DataFrame:

@@ -26,7 +26,6 @@ from tabularium.operators import (
     rollups,
     running_total,
     same_total,
-    sized_broadcast,
     successors,
     two_periods,
     weighted_count,
@@ -144,13 +143,6 @@ def test_membership(frame):
     assert rows(flag_present(a, b, {"k": "q"})) == [(None, True), (1, False), (2, True), (2, True)]
 
 
-def test_sized_broadcast_gives_way_above_its_bound(frame):
-    ref = frame("k int", (1,), (2,), (3,))
-    hinted = sized_broadcast(ref, 3)._jdf.queryExecution().analyzed().toString()
-    plain = sized_broadcast(ref, 2)._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in hinted and "broadcast" not in plain
-
-
 def test_summary_next_to_details(frame):
     detail = frame("k int, v int", (1, 1), (1, 2), (None, 3))
     summary = group_count(detail, "k")

@@ -143,6 +143,8 @@ def test_shared_dir_comes_from_the_session(spark):
     first, second = shared_dir(spark, "x"), shared_dir(spark, "x")
     assert first != second and first.startswith(root.rstrip("/"))
     settled = settle(spark.range(5), "five")
+    empty = settle(spark.range(5).where("id > 9"), "empty")
+    assert empty.count() == 0 and empty.columns == ["id"]
     assert settled.count() == 5 and os.path.basename(settled.inputFiles()[0]).endswith(".parquet")
 
 
