@@ -9,7 +9,21 @@ AGE_BANDS = [
     (12, 14, "12-14 jaar"),
     (15, 17, "15-17 jaar"),
     (18, 19, "18-19 jaar"),
-    *[(lo, lo + 4, f"{lo}-{lo + 4} jaar") for lo in range(20, 95, 5)],
+    (20, 24, "20-24 jaar"),
+    (25, 29, "25-29 jaar"),
+    (30, 34, "30-34 jaar"),
+    (35, 39, "35-39 jaar"),
+    (40, 44, "40-44 jaar"),
+    (45, 49, "45-49 jaar"),
+    (50, 54, "50-54 jaar"),
+    (55, 59, "55-59 jaar"),
+    (60, 64, "60-64 jaar"),
+    (65, 69, "65-69 jaar"),
+    (70, 74, "70-74 jaar"),
+    (75, 79, "75-79 jaar"),
+    (80, 84, "80-84 jaar"),
+    (85, 89, "85-89 jaar"),
+    (90, 94, "90-94 jaar"),
     (95, 120, "95+"),
 ]
 
@@ -19,7 +33,11 @@ AGE_BANDS_STATISTICAL = [
     (15, 19, "15-19 jaar"),
     (20, 24, "20-24 jaar"),
     (25, 29, "25-29 jaar"),
-    *[(lo, lo + 9, f"{lo}-{lo + 9} jaar") for lo in range(30, 80, 10)],
+    (30, 39, "30-39 jaar"),
+    (40, 49, "40-49 jaar"),
+    (50, 59, "50-59 jaar"),
+    (60, 69, "60-69 jaar"),
+    (70, 79, "70-79 jaar"),
     (80, 120, "80+"),
 ]
 
@@ -47,9 +65,9 @@ CUTOVER_YEAR = 1987
 
 # casualty outcome
 OUTCOMES = [
-    (range(0, 6), "Overleden"),
-    (range(6, 9), "Naar ziekenhuis"),
-    (range(9, 11), "Licht letsel"),
+    ([0, 1, 2, 3, 4, 5], "Overleden"),
+    ([6, 7, 8], "Naar ziekenhuis"),
+    ([9, 10], "Licht letsel"),
 ]
 INJURED = {"Naar ziekenhuis": "Letsel", "Licht letsel": "Letsel"}
 
@@ -138,9 +156,9 @@ WEEKTIME_OPPONENTS = [
     ([32761], "geen"),
 ]
 WEEKTIME_OUTCOMES = [
-    (range(0, 6), "Dood"),
-    (range(6, 9), "NaarZH"),
-    (range(9, 11), "Licht"),
+    ([0, 1, 2, 3, 4, 5], "Dood"),
+    ([6, 7, 8], "NaarZH"),
+    ([9, 10], "Licht"),
 ]
 WEEKTIME_SEXES = [([1], "Man"), ([2], "Vrouw")]
 
@@ -178,9 +196,9 @@ STUDY_TOWNS = [
 STUDY_EXTRA_ACCIDENTS = ["20220126097"]
 MOTOR_CODES = [31, 32, 33]
 STUDY_OUTCOMES = [
-    (range(0, 6), "dood"),
-    (range(6, 9), "naar ZH"),
-    (range(9, 11), "licht"),
+    ([0, 1, 2, 3, 4, 5], "dood"),
+    ([6, 7, 8], "naar ZH"),
+    ([9, 10], "licht"),
 ]
 STUDY_LOCATIONS = [([20], "Kruispunt"), ([21], "Wegvak")]
 STUDY_MOTORS = [([31], "Motor"), ([32], "Motor 3wielen")]

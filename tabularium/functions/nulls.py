@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from .text import literal, literals
@@ -15,9 +16,10 @@ def member(col: str, values: Iterable) -> str:
 def lacks_text(col: str, *markers: str) -> str:
     """None of the markers occurs in ``col``. Missing text holds no marker, so it passes.
 
-    Markers are literal: an underscore is an underscore.
+    Markers are literal: an underscore is an underscore. All are looked for in one pass.
     """
-    return " AND ".join(f"({col} IS NULL OR NOT contains({col}, {literal(m)}))" for m in markers)
+    pattern = literal("|".join(re.escape(m) for m in markers))
+    return f"({col} IS NULL OR NOT {col} RLIKE {pattern})"
 
 
 def lacks_prefix(col: str, *prefixes: str) -> str:

@@ -17,6 +17,7 @@ def running_total(
     whatever the size of the table that was counted. The job fails above ``MAX_YEARS`` rows.
     """
     newest_first = f"(ORDER BY `{year}` DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    # a table with one row too many fails below, so the limit never hides a row
     return counts.limit(MAX_YEARS + 1).selectExpr(
         "*",
         f"CASE WHEN row_number() OVER (ORDER BY `{year}` DESC NULLS LAST) <= {MAX_YEARS}"
@@ -49,7 +50,8 @@ def pack_years(
     )
     start = f"struct(0L AS size, 1 AS chunk, 0L AS cum, cast(array() AS {entries}) AS out)"
     packed = (
-        counts.limit(MAX_YEARS + 1)  # one too many is enough to fail below
+        # a table with one row too many fails below, so the limit never hides a row
+        counts.limit(MAX_YEARS + 1)
         .agg(F.expr(f"{newest_first} AS years"))
         .selectExpr(
             f"CASE WHEN size(years) <= {MAX_YEARS} THEN aggregate(years, {start}, (acc, row) -> {step}).out"

@@ -229,15 +229,8 @@ SOURCES = StandIn(
 )
 # table names that hold every marker of the overview, in both cases, or are missing
 _NAME = (
-    "case p_partkey % 25 when 0 then concat('TRANS_', cast(p_partkey as string))"
-    " when 1 then concat('T_', cast(p_partkey as string))"
-    " when 2 then concat('weg_', cast(p_partkey as string), '_old')"
-    " when 3 then concat('REF_', cast(p_partkey as string))"
-    " when 4 then concat('TxRANS_', cast(p_partkey as string))"
-    " when 5 then concat('bck', cast(p_partkey as string))"
-    " when 6 then concat('COPY', cast(p_partkey as string))"
-    " when 7 then concat('tabel_', cast(p_partkey as string))"
-    " else concat('TABEL_', cast(p_partkey as string)) end"
+    "concat(split_part('TRANS_,T_,weg_,REF_,TxRANS_,bck,COPY,tabel_,TABEL_', ',', cast(least(p_partkey % 25, 8) + 1 as int)),"
+    " cast(p_partkey as string), case when p_partkey % 25 = 2 then '_old' else '' end)"
 )
 CATALOG = StandIn(
     "part",

@@ -51,6 +51,13 @@ def test_marker_is_literal_and_missing_name_stays(value, name, shown):
     assert value(lacks_text("x", "TRANS_", "REF_"), name, "string") is shown
 
 
+@pytest.mark.parametrize("marker", ["a.b", "(x", "a|b", "\\d", "it's", "^a", "[z]", "a+"])
+def test_marker_is_no_pattern(value, marker):
+    test = lacks_text("x", marker, "other")
+    assert value(test, f"..{marker}..", "string") is False
+    assert value(test, "aab 5 xz", "string") is True
+
+
 def test_prefix_and_code_exclusion_keep_missing(value):
     assert value(lacks_prefix("x", "T_"), "T_A", "string") is False
     assert value(lacks_prefix("x", "T_"), "AT_", "string") is True
