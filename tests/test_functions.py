@@ -84,6 +84,13 @@ def test_round_to_nearest_then_even(value, x, expected):
     assert value(round_to("x"), x, "double") == expected
 
 
+def test_percentages_are_correctly_rounded(spark):
+    pairs = spark.range(1, 301).selectExpr("id AS a").join(spark.range(1, 301).selectExpr("id AS b"))
+    got = pairs.selectExpr("a", "b", f"{percentage('a', 'b')} AS p").collect()
+    wrong = [(r["a"], r["b"], r["p"]) for r in got if r["p"] != round(r["a"] * 100 / r["b"], 1)]
+    assert len(got) == 90_000 and wrong == []
+
+
 def test_percentage_of_nothing_is_missing(spark):
     df = spark.sql("SELECT * FROM VALUES (1, 3), (5, 0), (NULL, 2), (337, 400) AS t(a, b)")
     got = [r[0] for r in df.selectExpr(f"{percentage('a', 'b')} AS p").collect()]
