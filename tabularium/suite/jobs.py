@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -470,7 +468,6 @@ def case_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROAD_YEARS = list(range(1995, 2002))
 
 
-@cache
 def _wide_sql(select: str, value: str) -> str:
     cells = ", ".join(
         f"CAST(CASE WHEN count(*) FILTER (WHERE jaar = {y}) = 0 THEN NULL"
