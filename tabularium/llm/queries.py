@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import crosspolytope, simhash, stable
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,3 +24,35 @@ def query(fn: Query) -> Query:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document: three-word shingles, three bits."""
     return simhash.components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every fiftieth one, against all rows."""
+    return stable.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at cosine 0.98 within a label."""
+    return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_vectors"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (
+    SELECT * FROM v
+    WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+),
+link AS (
+    SELECT a.vec_id AS a, b.vec_id AS b
+    FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+many AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id,
+       vec_id <= coalesce(low.b, vec_id) AS kept
+FROM v LEFT JOIN low ON low.a = vec_id LEFT JOIN many ON many.a = vec_id
+"""
