@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, simhash, stable
+from . import crosspolytope, licenses, simhash, stable
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,12 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id))
        vec_id <= coalesce(low.b, vec_id) AS kept
 FROM v LEFT JOIN low ON low.a = vec_id LEFT JOIN many ON many.a = vec_id
 """
+
+
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan_digest(licenses.license_spans(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op4_licenses"] = licenses.scan_sql()
