@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, licenses, simhash, stable
+from . import crosspolytope, licenses, simhash, stable, token_counts
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def vocabulary(name: str) -> bytes:
+    """A vocabulary file, read where the query is planned; executors get its bytes with their tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as file:
+        return file.read()
+
+
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document: three-word shingles, three bits."""
@@ -65,3 +73,9 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_licenses"] = licenses.scan_sql()
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the word-level vocabulary."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json").decode())
