@@ -31,7 +31,7 @@ TEMPLATES = [
 
 def words(text: Column) -> Column:
     """The words of a text with A-Z lower-cased; the one other sign whose small form is an ASCII letter is kept apart."""
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("é"))), F.lit(WORD), 0)
+    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(chr(0x212A)), F.lit(chr(0xE9)))), F.lit(WORD), 0)
 
 
 def positions(spark, base, templates) -> DataFrame:

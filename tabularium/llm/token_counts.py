@@ -25,9 +25,10 @@ POSTINGS = "deal long, word string, block long, docs binary, times binary, ids a
 SUMS = "block long, docs binary, sums binary, ids array<long>, sizes array<long>, extra array<long>"
 #: Signs that Python's split() takes for white space and the vocabulary's rules don't.
 ODD = re.compile("[\x1c-\x1f]")
-SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+SPACE = re.compile(f"[{''.join(map(chr, WHITE))}]+")
 #: From here on signs can compose or lie in classes that depend on the Unicode version: left to the library.
-UNUSUAL = re.compile("[ɐ-\U0010ffff]")
+UNUSUAL = re.compile(f"[{chr(0x250)}-{chr(0x10FFFF)}]")
 
 
 class Numbers(dict):
