@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, licenses, simhash, stable, token_counts
+from . import crosspolytope, licenses, sentencepiece, simhash, stable, token_counts
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,9 @@ ORACLES["op4_licenses"] = licenses.scan_sql()
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the word-level vocabulary."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json").decode())
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under the piece vocabulary, and whether they decode to it."""
+    return sentencepiece.encoded_rows(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))

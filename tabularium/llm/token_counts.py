@@ -20,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .numbers import Numbers
+
 BLOCK_BYTES, BLOCK_DOCS, SPAN, SUMS_HELD = 32 << 20, 1 << 16, 256, 64
 POSTINGS = "deal long, word string, block long, docs binary, times binary, ids array<long>, sizes array<long>, extra array<long>"
 SUMS = "block long, docs binary, sums binary, ids array<long>, sizes array<long>, extra array<long>"
@@ -31,14 +33,6 @@ SPACE = re.compile(f"[{''.join(map(chr, WHITE))}]+")
 UNUSUAL = re.compile(f"[{chr(0x250)}-{chr(0x10FFFF)}]")
 
 
-class Numbers(dict):
-    """Numbers things in the order of their first use."""
-
-    def __missing__(self, thing):
-        self[thing] = n = len(self)
-        return n
-
-
 def byte_signs() -> dict[int, str]:
     """The sign that stands for each byte in byte-level vocabularies: printable ones for themselves, then from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
