@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, licenses, sentencepiece, simhash, stable, token_counts
+from . import crosspolytope, licenses, sentencepiece, simhash, stable, suffix, token_counts
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under the piece vocabulary, and whether they decode to it."""
     return sentencepiece.encoded_rows(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings of 100 bytes that start earlier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.digest(suffix.repeats(docs))
