@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, licenses, sentencepiece, simhash, stable, suffix, token_counts
+from . import crosspolytope, licenses, sentencepiece, simhash, stable, suffix, token_counts, toxicity
 from .storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,9 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the strings of 100 bytes that start earlier."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix.digest(suffix.repeats(docs))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside the held-out fold."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
