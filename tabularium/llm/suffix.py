@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from .storage import settled
 
 GRAM, PIECE, RUN = 24, 1 << 21, 96
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-ANCHORS = "deal long, anchor long, print long, d long, r long, run long"
+ANCHORS = "deal long, known boolean, anchor long, print long, d long, r long, run long"
 FOUND = "kind int, anchor long, sub long, d long, r long, run long"
 STRETCHES = "anchor long, sub long, d long, r long, run long, stretch binary"
 REMOVED = "kind int, string binary, d long, r long, run long"
@@ -176,7 +177,7 @@ def packed(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def record(schema: str, *columns) -> pa.RecordBatch:
     fields = [f.split() for f in schema.split(", ")]
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) if not isinstance(c, pa.Array) else c for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
@@ -223,9 +224,8 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
             same = np.r_[False, ~new[1:] & (row_d[1:] == row_d[:-1]) & (row_r[1:] == row_r[:-1]) & (start[1:] == start[:-1])]
             deal = np.where(new, anchor, row_d ^ row_r)
             run = packed(start, count)
-            none = pa.array(anchor, mask=~new)
             keep = np.flatnonzero(~same)
-            whole = record(ANCHORS, deal, none, hashed, row_d, row_r, run)
+            whole = record(ANCHORS, deal, new, anchor, hashed, row_d, row_r, run)
             for k in range(0, len(keep), 1 << 16):
                 yield whole.take(pa.array(keep[k : k + (1 << 16)]))
 
@@ -242,10 +242,10 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
         """Of sorted anchors: copies of a stretch go, and the stretches of an anchor with several are asked for."""
         last, count, waiting = None, 0, None  # the last row, and the stretches of its anchor so far; a single one waits
         for batch in batches:
-            known = np.asarray(batch.column("anchor").is_valid())
-            lost = batch.filter(pa.array(~known))
+            known = batch.column("known")
+            lost = batch.filter(pc.invert(known))
             yield record(FOUND, *marks(REMOVE, lost.num_rows), *(lost.column(c) for c in ("d", "r", "run")))
-            batch = batch.filter(pa.array(known))
+            batch = batch.filter(known)
             if not batch.num_rows:
                 continue
             now = [batch.column(c).to_numpy() for c in ("anchor", "print", "d", "r", "run")]
@@ -277,8 +277,6 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
         for batch in batches:
             lines, d_, r_ = batch.column("doc").field(text), batch.column("d"), batch.column("r")
             for i, asked in enumerate(batch.column("asked")):
-                if not asked.is_valid:
-                    continue
                 line, asked = content_of(lines[i]), asked.values
                 anchor, sub, run = (asked.field(c) for c in ("anchor", "sub", "run"))
                 stretches = [line[x >> 7 : (x >> 7) + (x & 127) + length - 1] for x in run.to_pylist()]
@@ -339,8 +337,7 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
             at, where = position[gone], where[gone]
             split = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (where[1:] != where[:-1])][: len(at)])
             count, at, where = np.diff(np.r_[split, len(at)]), at[split], where[split]
-            none = pa.nulls(len(at), pa.binary())
-            yield record(REMOVED, np.full(len(at), REMOVE), none, row_d[where], row_r[where], packed((run[where] >> 7) + at - begin[where], count))
+            yield record(REMOVED, np.full(len(at), REMOVE), [b""] * len(at), row_d[where], row_r[where], packed((run[where] >> 7) + at - begin[where], count))
         yield from finish(open_, seen, before)
 
     def finish(open_, seen, before):
@@ -355,10 +352,9 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
         """Of sorted first places of one string all but the first go."""
         last = None
         for batch in batches:
-            said = batch.column("string")
             again = []
-            for value in said.to_pylist():
-                again.append(value is None or value == last)
+            for value in batch.column("string").to_pylist():
+                again.append(value in (b"", last))
                 last = value
             yield batch.filter(pa.array(again, pa.bool_())).select(["d", "r", "run"])
 
@@ -371,25 +367,26 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
                 some = batch.slice(at, 512)
                 for line, lost in zip(lines.slice(at, 512), some.column("lost")):
                     line = content_of(line)
-                    first, end = covered(lost.values.to_numpy() if lost.is_valid else np.empty(0, np.int64), length)
+                    first, end = covered(lost.values.to_numpy(), length)
                     spans.append([{"first": int(a), "end": int(b)} for a, b in zip(first, end)])
                     kept.append(b"".join([line[a:b] for a, b in zip(np.r_[0, end].tolist(), np.r_[first, len(line)].tolist())]))
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([docs_.slice(at, 512), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc", "spans", "kept"])
 
-    dealt = rows.mapInArrow(anchors, ANCHORS).repartition("deal").sortWithinPartitions("anchor", "print", "d", "r", "run")
+    dealt = rows.mapInArrow(anchors, ANCHORS).repartition("deal").sortWithinPartitions("known", "anchor", "print", "d", "r", "run")
     found = settled(dealt.mapInArrow(compare, FOUND), "stretches")
     # the documents move once; both joins below read the same exchange
     moved = docs.select(F.struct(*docs.columns).alias("doc"), d, F.xxhash64(content).alias("r")).repartition("d", "r")
     asked = found.where(F.col("kind") == ASK).groupBy("d", "r").agg(F.collect_list(F.struct("anchor", "sub", "run")).alias("asked"))
-    stretches = moved.join(asked.hint("shuffle_hash"), ["d", "r"], "left").mapInArrow(cut, STRETCHES)
+    stretches = moved.join(asked.hint("shuffle_hash"), ["d", "r"]).mapInArrow(cut, STRETCHES)
     stretches = stretches.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "d", "r", "run")
     ends = stretches.mapInArrow(sort_out, REMOVED)
-    ends = ends.repartition(F.coalesce(F.xxhash64("string"), F.xxhash64("d", "r"))).sortWithinPartitions("string", "d", "r", "run")
+    ends = ends.repartition(F.when(F.col("kind") == FIRST, F.xxhash64("string")).otherwise(F.xxhash64("d", "r"))).sortWithinPartitions("string", "d", "r", "run")
     lost = ends.mapInArrow(merge, "d long, r long, run long").unionByName(found.where(F.col("kind") == REMOVE).select("d", "r", "run"))
     lost = lost.groupBy("d", "r").agg(F.collect_list("run").alias("lost"))
     fields = docs.select(F.struct(*docs.columns).alias("doc")).schema["doc"].dataType.simpleString()
-    out = moved.join(lost.hint("shuffle_hash"), ["d", "r"], "left").mapInArrow(strip, f"doc {fields}, spans array<struct<first: long, end: long>>, kept binary")
+    all_ = moved.join(lost.hint("shuffle_hash"), ["d", "r"], "left").withColumn("lost", F.coalesce("lost", F.expr("array()")))
+    out = all_.mapInArrow(strip, f"doc {fields}, spans array<struct<first: long, end: long>>, kept binary")
     return out.select("doc.*", "spans", "kept")
 
 

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .numbers import Numbers
 
 BLOCK_BYTES, BLOCK_DOCS, SPAN, SUMS_HELD = 32 << 20, 1 << 16, 256, 64
-POSTINGS = "deal long, word string, block long, docs binary, times binary, ids array<long>, sizes array<long>, extra array<long>"
-SUMS = "block long, docs binary, sums binary, ids array<long>, sizes array<long>, extra array<long>"
+#: A block's own row has the word "", and as ``docs`` its keys, which of them are missing, sizes and special tokens.
+POSTINGS = "word string, block long, docs binary, times binary"
+SUMS = "block long, own boolean, docs binary, sums binary"
 #: Signs that Python's split() takes for white space and the vocabulary's rules don't.
 ODD = re.compile("[\x1c-\x1f]")
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -134,25 +135,20 @@ def token_counts(docs: DataFrame, spec: str, limit: int = 2048, key: str = "doc_
         docs_ = pa.BinaryArray.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(2 * ends), pa.py_buffer(doc.astype("<u2"))])
         times_ = pa.BinaryArray.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends), pa.py_buffer(rest.astype(np.uint8))])
         words = pa.array(list(tokens), pa.string())
-        lists = pa.nulls(8192, pa.list_(pa.int64()))
         for k in range(0, len(tokens), 8192):
             m = min(8192, len(tokens) - k)
-            own = pa.array(np.full(m, number))
-            none = lists.slice(0, m)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), words.slice(k, m), own, docs_.slice(k, m), times_.slice(k, m), none, none, none], names=names(POSTINGS))
-        lists = [pa.array([x], pa.list_(pa.int64())) for x in (ids, sizes, extra)]
-        yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.string()), pa.array([number]), *[pa.nulls(1, pa.binary())] * 2, *lists], names=names(POSTINGS))
+            yield pa.RecordBatch.from_arrays([words.slice(k, m), pa.array(np.full(m, number)), docs_.slice(k, m), times_.slice(k, m)], names=names(POSTINGS))
+        own = np.array([[i or 0 for i in ids], [i is None for i in ids], sizes, extra], "<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([number]), pa.array([own]), pa.array([b""])], names=names(POSTINGS))
 
     def count(batches):
         rules, last, pieces, held = Rules(spec), None, 0, {}
         for batch in batches:
-            words, blocks = batch.column("word"), batch.column("block").to_numpy()
-            head = np.asarray(words.is_null())
-            if head.any():
-                rows = batch.filter(pa.array(head))
-                none = pa.nulls(rows.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([rows.column("block"), none, none, *[rows.column(c) for c in ("ids", "sizes", "extra")]], names=names(SUMS))
-            batch = batch.filter(pa.array(~head))
+            head = pc.equal(batch.column("word"), "")
+            rows = batch.filter(head)
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([rows.column("block"), pa.array([True] * rows.num_rows), rows.column("docs"), rows.column("times")], names=names(SUMS))
+            batch = batch.filter(pc.invert(head))
             if not batch.num_rows:
                 continue
             per = np.empty(batch.num_rows, np.int64)
@@ -176,33 +172,33 @@ def token_counts(docs: DataFrame, spec: str, limit: int = 2048, key: str = "doc_
     def emit(held):
         for number, sums in held.items():
             doc = np.flatnonzero(sums)
-            none = pa.nulls(1, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([doc.astype("<u2").tobytes()]), pa.array([sums[doc].astype("<i8").tobytes()]), none, none, none], names=names(SUMS))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([False]), pa.array([doc.astype("<u2").tobytes()]), pa.array([sums[doc].astype("<i8").tobytes()])], names=names(SUMS))
 
     def assemble(batches):
-        at, row, sums = None, None, None
+        at, own, sums = None, None, None
         for batch in batches:
             for new in batch.to_pylist():
-                if new["ids"] is not None:
-                    if row:
-                        yield table_of(row, sums)
-                    at, row, sums = new["block"], new, np.array(new["extra"], np.int64)
+                if new["own"]:
+                    if own is not None:
+                        yield table_of(own, sums)
+                    at, own = new["block"], np.frombuffer(new["docs"], "<i8").reshape(4, -1)
+                    sums = own[3].copy()
                 elif new["block"] == at:
                     np.add.at(sums, np.frombuffer(new["docs"], "<u2"), np.frombuffer(new["sums"], "<i8"))
                 else:
                     raise RuntimeError(f"sums of block {new['block']} without its documents")
-        if row:
-            yield table_of(row, sums)
+        if own is not None:
+            yield table_of(own, sums)
 
-    def table_of(row, sums):
-        columns = [pa.array(row["ids"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(sums), pa.array(sums > limit)]
+    def table_of(own, sums):
+        columns = [pa.array(own[0], mask=own[1] == 1), pa.array(own[2]), pa.array(sums), pa.array(sums > limit)]
         return pa.RecordBatch.from_arrays(columns, names=["key", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     posted = rows.mapInArrow(postings, POSTINGS)
-    posted = posted.withColumn("deal", F.coalesce("deal", F.xxhash64("word", F.expr(f"block div {SPAN << 24}"))))
-    dealt = posted.repartition("deal").sortWithinPartitions("deal", "word")
-    sums = dealt.mapInArrow(count, SUMS).repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
+    deal = F.when(F.col("word") == "", F.xxhash64("block")).otherwise(F.xxhash64("word", F.expr(f"block div {SPAN << 24}")))
+    dealt = posted.withColumn("deal", deal).repartition("deal").sortWithinPartitions("deal", "word").drop("deal")
+    sums = dealt.mapInArrow(count, SUMS).repartition("block").sortWithinPartitions("block", F.desc("own"))
     return sums.mapInArrow(assemble, "key long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)
 
 
