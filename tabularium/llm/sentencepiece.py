@@ -21,13 +21,14 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numbers import Numbers
 
 MARK = chr(0x2581)  # stands for a space
-TEXT_AT_ONCE, KNOWN_STRETCHES, MATRIX_ROWS, MATRIX_WIDTH = 8 << 20, 300_000, 8192, 48
+TEXT_AT_ONCE, KNOWN_STRETCHES, MATRIX_ROWS, MATRIX_WIDTH, LISTS_AT_ONCE = 2 << 20, 200_000, 4096, 48, 128
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -250,15 +251,8 @@ def gather(flat: np.ndarray, many: np.ndarray, which: np.ndarray) -> tuple[np.nd
     return flat[np.repeat(first - (end - many), many) + np.arange(int(end[-1]) if len(end) else 0)], many
 
 
-def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with one more column ``ids`` (array of int): the ids of the library for the model file ``model``.
-
-    A missing or empty text has no ids. Rows and all other columns stay as they are; a column that already has the
-    name of the new one is an error. An empty table gives an empty table.
-    """
-    if ids in docs.columns:
-        raise ValueError(f"column {ids} exists")
-    place, columns = docs.columns.index(text), [*docs.columns, ids]
+def encoder(model: bytes, place: int, names: list[str]):
+    """Adds the ids of the texts in column number ``place`` to record batches."""
 
     def run(batches):
         pieces = Pieces.read(model)
@@ -284,23 +278,14 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
                 out, many = gather(flat, np.diff(ends), np.concatenate(rows))
                 offsets = np.concatenate([[0], np.cumsum(many)])[np.cumsum([0, *map(len, rows)])]
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out, pa.int32()))
-                some = batch.slice(at, stop - at)
-                yield pa.RecordBatch.from_arrays([*some.columns, lists], names=columns)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, stop - at).columns, lists], names=names)
                 at = stop
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{ids}` array<int>")
+    return run
 
 
-def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with one more column ``text``: what the ids stand for.
-
-    Bytes that are no UTF-8 become U+FFFD, begin and end marks nothing, the unknown piece its sign; a missing list or an
-    id outside the vocabulary is an error in no case: it gives a missing text. Other columns stay.
-    """
-    if text in df.columns:
-        raise ValueError(f"column {text} exists")
-    place, columns = df.columns.index(ids), [*df.columns, text]
+def decoder(model: bytes, place: int, names: list[str]):
+    """Adds the texts of the ids in column number ``place`` to record batches."""
 
     def run(batches):
         pieces = Pieces.read(model)
@@ -315,17 +300,50 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
             return (line[1:] if pieces.prefix and line[:1] == b" " else line).decode("utf-8", "replace")
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, LISTS_AT_ONCE):
+                some = batch.slice(at, LISTS_AT_ONCE)
                 lines = pa.array([one(row) for row in some.column(place).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*some.columns, lines], names=columns)
+                yield pa.RecordBatch.from_arrays([*some.columns, lines], names=names)
+
+    return run
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, `{text}` string")
+def extended(df: DataFrame, name: str, kind: str) -> tuple[list[str], str]:
+    """Column names and schema of ``df`` with one more column."""
+    if name in df.columns:
+        raise ValueError(f"column {name} exists")
+    return [*df.columns, name], ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{name}` {kind}"])
+
+
+def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``docs`` with one more column ``ids`` (array of int): the ids of the library for the model file ``model``.
+
+    A missing or empty text has no ids. Rows and all other columns stay as they are; a column that already has the
+    name of the new one is an error. An empty table gives an empty table.
+    """
+    names, schema = extended(docs, ids, "array<int>")
+    return docs.mapInArrow(encoder(model, docs.columns.index(text), names), schema)
+
+
+def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``df`` with one more column ``text``: what the ids stand for.
+
+    Bytes that are no UTF-8 become U+FFFD, begin and end marks nothing, the unknown piece its sign. A missing list, and
+    a list with a missing id or one outside the vocabulary, give a missing text. Other columns stay.
+    """
+    names, schema = extended(df, text, "string")
+    return df.mapInArrow(decoder(model, df.columns.index(ids), names), schema)
 
 
 def encoded_rows(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_ids, ids and whether decoding gives the text back, for every row of ``docs``."""
-    rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    both = decode(encode(rows, model), model)
-    return both.select(key, F.size("ids").cast("long").alias("n_ids"), "ids", (F.col("decoded") == F.col("text")).alias("exact"))
+    """Key, n_ids, ids and whether decoding gives the text back (a missing one: as empty), for every row of ``docs``."""
+    into, back = encoder(model, 1, ["key", "text", "ids"]), decoder(model, 2, ["key", "text", "ids", "decoded"])
+
+    def run(batches):
+        for batch in back(into(batches)):
+            key_, line, ids, decoded = batch.columns
+            yield pa.RecordBatch.from_arrays([key_, pc.list_value_length(ids).cast(pa.int64()), ids, pc.equal(line, decoded)], names=["key", "n_ids", "ids", "exact"])
+
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, f"key {kind}, n_ids long, ids array<int>, exact boolean").withColumnRenamed("key", key)
