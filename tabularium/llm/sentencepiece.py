@@ -72,6 +72,7 @@ class Pieces:
         inside = {sign for name in self.ids if len(name) > 1 for sign in name}
         alone = "".join(re.escape(s) for s in "\n\t" if s not in inside)  # ends a stretch, as no piece joins it
         ends = f"|[{alone}]" if alone else ""
+        self.cuts = re.compile(f"[{alone}]" if alone else "(?!)").search
         self.stretch = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+{ends}")
         self.low = np.float32(min((self.scores[i] for i in self.ids.values()), default=0) - 10)
         self.keys, self.values = np.zeros((1 << SLOT_BITS) + 64, np.uint64), np.full((1 << SLOT_BITS) + 64, -1, np.int32)
@@ -97,12 +98,22 @@ class Pieces:
         line = MARK * (self.prefix and line != "") + line.replace(" ", MARK)
         return [(s,) for s in self.stretch.findall(line)]
 
+    def parts(self, unit) -> list:
+        """The stretches of a unit."""
+        if not isinstance(unit, str):
+            return unit
+        return self.stretch.findall(MARK + unit) if self.cuts(unit) else (MARK + unit,)
+
     def join(self, h: np.ndarray) -> np.ndarray:
         """The pieces of substrings given by their hash, -1 where there is none."""
         at = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        out = np.where(self.keys[at] == h, self.values[at], -1)
+        key = self.keys[at]
+        out = np.where(key == h, self.values[at], -1)
+        more = np.nonzero((key != h) & (key != 0))  # another piece has the slot: the next ones are tried
         for probe in range(1, self.probes):
-            out = np.where(self.keys[at + probe] == h, self.values[at + probe], out)
+            again = at[more] + probe
+            hit = self.keys[again] == h[more]
+            out[tuple(m[hit] for m in more)] = self.values[again[hit]]
         return out
 
     def edges(self, signs: np.ndarray) -> np.ndarray:
@@ -269,10 +280,8 @@ def encoder(model: bytes, place: int, names: list[str]):
                     size += len(line)
                     rows.append(np.fromiter(map(known.__getitem__, found := pieces.units(line)), np.int64, len(found)))
                     stop += 1
-                parts = [pieces.stretch.findall(MARK + u) if isinstance(u, str) else u for u in islice(known, new, None)]
-                distinct = Numbers()
-                inner = np.fromiter((distinct[s] for part in parts for s in part), np.int64)
-                more, counts = gather(*pieces.fold(list(distinct)), inner)
+                parts = [pieces.parts(u) for u in islice(known, new, None)]
+                more, counts = pieces.fold([s for part in parts for s in part])
                 counts = np.add.reduceat(np.append(counts, 0), np.cumsum([0, *map(len, parts)])[:-1]) if parts else counts
                 flat, ends = np.concatenate([flat, more]), np.concatenate([ends, ends[-1] + np.cumsum(counts)])
                 out, many = gather(flat, np.diff(ends), np.concatenate(rows))
@@ -293,17 +302,36 @@ def decoder(model: bytes, place: int, names: list[str]):
         for b, i in enumerate(pieces.bytes):
             said[i] = bytes([b])
 
-        def one(row):
-            if row is None or not all(i is not None and 0 <= i < len(said) for i in row):
-                return None
-            line = b"".join([said[i] for i in row])
-            return (line[1:] if pieces.prefix and line[:1] == b" " else line).decode("utf-8", "replace")
+        size = np.fromiter(map(len, said), np.int64, len(said))
+        table = np.frombuffer(b"".join(said), np.uint8)
+
+        def texts(lists: pa.Array) -> pa.Array:
+            ids = lists.flatten()
+            many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            owner = np.repeat(np.arange(len(lists)), many)
+            plain = ids.fill_null(-1).to_numpy()
+            wrong = (plain < 0) | (plain >= len(said))
+            lost = np.bincount(owner[wrong], minlength=len(lists)) > 0
+            lost |= lists.is_null().to_numpy(zero_copy_only=False)
+            out, long = gather(table, size, np.where(wrong, 0, plain))
+            per = np.bincount(owner, weights=long, minlength=len(lists)).astype(np.int64)
+            if pieces.prefix:
+                first = (np.cumsum(per) - per)[per > 0]
+                first = first[out[first] == 32]
+                out = np.delete(out, first)
+                per[np.searchsorted(np.cumsum(per), first, side="right")] -= 1
+            ends = np.r_[0, np.cumsum(per)]
+            lines = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+            try:
+                lines = lines.cast(pa.string())
+            except pa.ArrowInvalid:
+                lines = pa.array([x.decode("utf-8", "replace") for x in lines.to_pylist()], pa.string())
+            return pc.if_else(pa.array(lost), None, lines) if lost.any() else lines
 
         for batch in batches:
             for at in range(0, batch.num_rows, LISTS_AT_ONCE):
                 some = batch.slice(at, LISTS_AT_ONCE)
-                lines = pa.array([one(row) for row in some.column(place).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*some.columns, lines], names=names)
+                yield pa.RecordBatch.from_arrays([*some.columns, texts(some.column(place))], names=names)
 
     return run
 
