@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, licenses, sentencepiece, simhash, stable, suffix, token_counts, toxicity
-from .storage import table
+from . import crosspolytope, licenses, mixing, ordering, sentencepiece, simhash, stable, suffix, token_counts, toxicity
+from .storage import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,3 +98,16 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels outside the held-out fold."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
+
+
+@query
+def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte sequences of all documents in training order, as read back from their shards."""
+    return ordering.ordered(table(spark, sf_dir, "documents"), shared_path(spark, "shards"))
+
+
+@query
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents mixed by source: no source is passed more than twice as often as another, no document is lost."""
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"), repeats=2.0)
+    return mixed.select("doc.doc_id", "doc.source", "n_tokens", "weight", "epoch", "block", "at", "turn")

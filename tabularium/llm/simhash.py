@@ -188,11 +188,12 @@ def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket: int
     Rows without a key come after all others; of rows with the same key (or none) one stays. Columns are those
     of ``docs``.
     """
-    numbered = settled(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    ids = numbered.select("_row", key)
-    prints = settled(fingerprints(numbered, shingle, "_row", text), "fingerprints")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = settled(rows, "numbered")
+    prints = settled(fingerprints(rows.select("row", F.col("doc")[text].alias("text")), shingle, "row"), "fingerprints")
     group = connected_components(links(prints, radius, bucket)).withColumnsRenamed({"node": "fp", "component": "root"})
-    order = F.struct(F.col(key).isNull(), F.col(key), F.col("_row"))
-    first = prints.join(ids, "_row").groupBy("fp").agg(F.min(order).alias("first"))
+    ids = rows.select("row", F.col("doc")[key].alias("key"))
+    order = F.struct(F.col("key").isNull(), F.col("key"), F.col("row"))
+    first = prints.join(ids, "row").groupBy("fp").agg(F.min(order).alias("first"))
     first = first.join(group, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
-    return numbered.join(first.select("first._row"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(first.select("first.row"), "row", "left_semi").select("doc.*")
