@@ -4,7 +4,7 @@ The distinct stretches of a block of texts (a run of spaces and what follows it;
 exploded to their substrings of bounded length, which are joined with the piece table; what is found are the edges of
 one lattice per stretch. A fold over each lattice gives its pieces:
 
-* unigram vocabularies: Viterbi, the path of the highest sum of scores;
+* unigram vocabularies: Viterbi, the path of the highest sum of scores (of equal paths, not always the library's);
 * BPE vocabularies: of two neighbouring pieces whose union is an edge, the pair of the highest score is joined, the
   leftmost of equals, until none is left. The best path is not what these vocabularies mean, and not what the
   library gives.

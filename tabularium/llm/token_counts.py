@@ -99,8 +99,8 @@ def token_counts(docs: DataFrame, spec: str, limit: int = 2048, key: str = "doc_
                 ids.append(id_)
                 sizes.append(size or 0)
                 extra.append(special)
-                which.append(np.fromiter(map(raw.__getitem__, bag), np.int64, len(bag)))
-                times.append(np.fromiter(bag.values(), np.int64, len(bag)))
+                which.append(np.fromiter(map(raw.__getitem__, bag), np.int32, len(bag)))
+                times.append(np.fromiter(bag.values(), np.int32, len(bag)))
                 total += size or 0
                 if total >= BLOCK_BYTES or len(ids) == BLOCK_DOCS:
                     yield from block(rules, (part << 24) + blocks, raw, ids, sizes, extra, which, times)
@@ -113,16 +113,23 @@ def token_counts(docs: DataFrame, spec: str, limit: int = 2048, key: str = "doc_
         tokens, parts = Numbers(), []
         for word in raw:
             parts.append([tokens[t] for t in rules.tokens(word)])
-        many = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((t for p in parts for t in p), np.int64, int(many.sum()))
-        start = np.cumsum(many) - many
-        doc = np.repeat(np.arange(len(ids)), [len(w) for w in which])
+        many = np.fromiter(map(len, parts), np.int32, len(parts))
+        flat = np.fromiter((t for p in parts for t in p), np.int32, int(many.sum()))
+        start = (np.cumsum(many) - many).astype(np.int32)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(w) for w in which])
         which, times = np.concatenate(which), np.concatenate(times)
         n = many[which]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        both = flat[np.repeat(start[which], n) + inside] * len(ids) + np.repeat(doc, n)
+        inside = np.arange(int(n.sum()), dtype=np.int32) - np.repeat((np.cumsum(n) - n).astype(np.int32), n)
+        inside += np.repeat(start[which], n)
+        del which
+        both = flat[inside].astype(np.int64)
+        both *= len(ids)
+        both += np.repeat(doc, n)
+        times = np.repeat(times, n)
+        del inside, doc, n
         order = np.argsort(both, kind="stable")
-        both, times = both[order], np.repeat(times, n)[order]
+        both, times = both[order], times[order]
+        del order
         first = np.flatnonzero(np.diff(both, prepend=-1))
         times = np.add.reduceat(times, first) if len(first) else times
         both = both[first]
