@@ -37,6 +37,22 @@ def weighted_count(df: DataFrame, *by: str | Column, weight: str | None = None,
     return group_count(df, *by, name=name) if weight is None else group_sum(df, *by, measure=weight, name=name)
 
 
+def listed(column: str, values: Sequence[Any] | None) -> str:
+    """The column itself, but the job fails on a value that is not among ``values`` (None: any value)."""
+    if values is None:
+        return f"`{column}`"
+    known = " OR ".join(f"`{column}` <=> {literal(v)}" for v in values) or "false"
+    message = f"concat({literal(f'value of {column} without a column: ')}, coalesce(cast(`{column}` AS STRING), 'missing'))"
+    return f"CASE WHEN {known} THEN `{column}` ELSE raise_error({message}) END"
+
+
+def spread(df: DataFrame, by: Sequence[str], column: str, values: Sequence[Any] | None, cell: str) -> DataFrame:
+    """Pivot with one column per value. Given values fix the columns; any other value fails the job."""
+    rest = [f"`{c}`" for c in df.columns if c != column]
+    checked = df.selectExpr(*rest, f"{listed(column, values)} AS `{column}`")
+    return checked.groupBy(*by).pivot(column, values and list(values)).agg(F.expr(cell))
+
+
 def contingency(
     df: DataFrame,
     rows: str,
@@ -47,8 +63,8 @@ def contingency(
     """Counts of two variables against each other, zero where a combination does not occur.
 
     Missing values are left out, or form a level called ``NA`` when ``missing_level``. ``levels`` fixes
-    the columns and their order and saves the job that looks them up; give all of them, as others are
-    not shown.
+    the columns and their order and saves the job that looks them up; a value that is not among them
+    fails the job.
     """
     if missing_level:
         if levels is not None:
@@ -58,7 +74,7 @@ def contingency(
         )
     else:
         pairs = df.where(f"`{rows}` IS NOT NULL AND `{columns}` IS NOT NULL").select(rows, columns)
-    counted = pairs.groupBy(rows).pivot(columns, levels and list(levels)).agg(F.expr("count(1)"))
+    counted = spread(pairs, [rows], columns, levels, "count(1)")
     return counted.na.fill(0, counted.columns[1:])
 
 
@@ -72,10 +88,11 @@ def wide_count(
 ) -> DataFrame:
     """One column per period with the (weighted) count; an absent cell is missing, not zero.
 
-    ``periods`` fixes the columns and their order and saves the job that looks them up.
+    ``periods`` fixes the columns and their order and saves the job that looks them up; a period that
+    is not among them fails the job.
     """
     measure = "count(1)" if weight is None else total(weight)
-    wide = df.groupBy(*by).pivot(period, periods and list(periods)).agg(F.expr(measure))
+    wide = spread(df, by, period, periods, measure)
     return wide.withColumnsRenamed({c: f"{prefix}{c}" for c in wide.columns[len(by) :]})
 
 
@@ -88,12 +105,12 @@ def reshape_wide(
 ) -> DataFrame:
     """Spread one column over period columns; all other columns identify the row.
 
-    The job fails when a cell would have to hold two values.
+    The job fails when a cell would have to hold two values, or a value is not among ``periods``.
     """
     ids = [c for c in df.columns if c not in (names_from, values_from)]
     message = literal(f"two values of {values_from} for one cell")
     cell = f"CASE WHEN count(1) <= 1 THEN any_value(`{values_from}`) ELSE raise_error({message}) END"
-    wide = df.groupBy(*ids).pivot(names_from, periods and list(periods)).agg(F.expr(cell))
+    wide = spread(df, ids, names_from, periods, cell)
     return wide.withColumnsRenamed({c: f"{prefix}{c}" for c in wide.columns[len(ids) :]})
 
 

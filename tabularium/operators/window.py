@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_YEARS = 10_000
+LAST_YEAR = 9999
+
+
+def only_years(counts: DataFrame, year: str) -> DataFrame:
+    """``counts`` itself, but the job fails on a year that is no calendar year (0 to 9999, or missing).
+
+    This bounds the rows of a table with one row per year, whatever the size of the table that was
+    counted, and drops none.
+    """
+    valid = f"`{year}` IS NULL OR cast(`{year}` AS BIGINT) BETWEEN 0 AND {LAST_YEAR}"
+    return counts.where(f"assert_true({valid}, 'not a calendar year') IS NULL")
 
 
 def running_total(
@@ -14,16 +24,10 @@ def running_total(
     """Running total over the years, newest first.
 
     ``counts`` holds one row per calendar year, so the unpartitioned window sees a few thousand rows
-    whatever the size of the table that was counted. The job fails above ``MAX_YEARS`` rows.
+    whatever the size of the table that was counted. The job fails on what is no calendar year.
     """
     newest_first = f"(ORDER BY `{year}` DESC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    # a table with one row too many fails below, so the limit never hides a row
-    return counts.limit(MAX_YEARS + 1).selectExpr(
-        "*",
-        f"CASE WHEN row_number() OVER (ORDER BY `{year}` DESC NULLS LAST) <= {MAX_YEARS}"
-        f" THEN sum(`{measure}`) OVER {newest_first}"
-        f" ELSE raise_error('more than {MAX_YEARS} years') END AS `{name}`",
-    )
+    return only_years(counts, year).selectExpr("*", f"sum(`{measure}`) OVER {newest_first} AS `{name}`")
 
 
 def pack_years(
@@ -37,7 +41,7 @@ def pack_years(
 
     A chunk is closed when the next year would take it over the limit; a year that is above the limit
     by itself gets its own chunk. ``counts`` must hold one row per year. All years are folded in one
-    row, which is why the job fails when there are more than ``MAX_YEARS`` of them.
+    row, which is why the job fails on what is no calendar year.
     """
     newest_first = f"sort_array(collect_list(struct({year} AS y, cast({measure} AS BIGINT) AS n)), false)"
     entries = "array<struct<y:bigint,n:bigint,cum:bigint,chunk:int>>"
@@ -50,14 +54,9 @@ def pack_years(
     )
     start = f"struct(0L AS size, 1 AS chunk, 0L AS cum, cast(array() AS {entries}) AS out)"
     packed = (
-        # a table with one row too many fails below, so the limit never hides a row
-        counts.limit(MAX_YEARS + 1)
+        only_years(counts, year)
         .agg(F.expr(f"{newest_first} AS years"))
-        .selectExpr(
-            f"CASE WHEN size(years) <= {MAX_YEARS} THEN aggregate(years, {start}, (acc, row) -> {step}).out"
-            f" ELSE raise_error('more than {MAX_YEARS} years') END AS out"
-        )
-        .selectExpr("inline(out)")
+        .selectExpr(f"inline(aggregate(years, {start}, (acc, row) -> {step}).out)")
     )
     kind = counts.schema[year].dataType.simpleString()
     return packed.selectExpr(

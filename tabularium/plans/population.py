@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, literal, strict_if
 from ..operators import arrange, group_sum, left_lookup, rollups
+from ..operators.aggregate import spread
 from .dimensions import add_age_labels
 
 RECENT = [
@@ -88,11 +89,12 @@ def population_tables(base: DataFrame, ordered: bool = False) -> dict[str, DataF
 def municipality_count(historic: DataFrame, provinces: Sequence[str], first_year: int) -> DataFrame:
     """Number of municipalities per year and province, with the row total ``sum``.
 
-    ``historic`` is made distinct before it is counted, so the count needs no per-group sets.
+    ``historic`` is made distinct before it is counted, so the count needs no per-group sets. A province
+    that is not among ``provinces`` fails the job, as the total would lack it.
     """
     seen = (
         historic.where(f"Jaar >= {first_year}").select("Jaar", "Provincie", "gemeente_nr").distinct()
     )
-    wide = seen.groupBy("Jaar").pivot("Provincie", list(provinces)).agg(F.expr("count(gemeente_nr)"))
+    wide = spread(seen, ["Jaar"], "Provincie", provinces, "count(gemeente_nr)")
     filled = wide.na.fill(0, list(provinces))
     return filled.selectExpr("*", f"{' + '.join(f'`{p}`' for p in provinces)} AS sum")

@@ -69,12 +69,11 @@ def group_sum_nullsafe(spark: SparkSession, sf_dir: str) -> DataFrame:
     "weighted_count",
     f"""
     SELECT jaar, nummer, CAST(coalesce(sum(aantal), 0) AS BIGINT) AS n
-    FROM ({_LINES.sql}) WHERE jaar > 1996 GROUP BY ALL
+    FROM ({_LINES.sql}) GROUP BY ALL
     """,
 )
 def weighted_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _LINES.read(spark, sf_dir).where(F.col("jaar") > 1996)
-    return weighted_count(rows, "jaar", "nummer", weight="aantal")
+    return weighted_count(_LINES.read(spark, sf_dir), "jaar", "nummer", weight="aantal")
 
 
 @checked(
@@ -132,13 +131,16 @@ _WEIGHTED_CELLS = ", ".join(
 @checked(
     "pivot_weighted",
     f"""
-    SELECT vlag, nummer, {_WEIGHTED_CELLS}
-    FROM (SELECT * FROM ({_LINES.sql}) WHERE NOT (vlag = 'A' AND jaar = 1997)) GROUP BY ALL
+    SELECT vlag, groep, {_WEIGHTED_CELLS}
+    FROM (SELECT *, CASE WHEN vlag = 'A' AND jaar = 1997 THEN 'apart' ELSE CAST(nummer AS VARCHAR) END AS groep FROM ({_LINES.sql}))
+    GROUP BY ALL
     """,
 )
 def pivot_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _LINES.read(spark, sf_dir).where(~((F.col("vlag") == "A") & (F.col("jaar") == 1997)))
-    return wide_count(rows, "vlag", "nummer", period="jaar", periods=YEARS, weight="aantal", prefix="y")
+    # one year of one flag forms a group of its own, so that there are cells without rows
+    group = "CASE WHEN vlag = 'A' AND jaar = 1997 THEN 'apart' ELSE cast(nummer AS STRING) END AS groep"
+    rows = _LINES.read(spark, sf_dir).selectExpr("*", group)
+    return wide_count(rows, "vlag", "groep", period="jaar", periods=YEARS, weight="aantal", prefix="y")
 
 
 @checked(

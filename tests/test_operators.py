@@ -266,9 +266,31 @@ def test_pack_years(frame, seed):
     assert rows(running_total(df), "Jaar", "cum") == rows(packed, "Jaar", "cum")
 
 
+def test_a_value_without_a_column_fails(frame):
+    df = frame("k string, j int, n bigint", ("a", 2000, 1), ("b", 2001, 2))
+    assert rows(wide_count(df, "k", period="j", periods=[2000, 2001], weight="n")) == [("a", 1, None), ("b", None, 2)]
+    for wide in (
+        wide_count(df, "k", period="j", periods=[2000]),
+        reshape_wide(df, "j", "n", [2000]),
+        contingency(df, "k", "j", [2000]),
+        wide_count(frame("k string, j int", ("a", None)), "k", period="j", periods=[2000]),
+    ):
+        with pytest.raises(Exception, match="without a column"):
+            wide.collect()
+
+
 def test_pack_years_refuses_what_are_no_years(spark):
-    counts = spark.range(10_001).selectExpr("id AS Jaar", "1L AS n")
-    with pytest.raises(Exception, match="more than 10000 years"):
-        pack_years(counts).collect()
-    with pytest.raises(Exception, match="more than 10000 years"):
-        running_total(counts).collect()
+    counts = spark.range(20_000).selectExpr("id AS Jaar", "1L AS n")
+    for made in (pack_years(counts), running_total(counts)):
+        with pytest.raises(Exception, match="not a calendar year"):
+            made.collect()
+        with pytest.raises(Exception, match="not a calendar year"):
+            made.count()
+
+
+def test_running_total_keeps_every_year(spark):
+    counts = spark.range(10_000).selectExpr("id AS Jaar", "1L AS n").unionByName(spark.sql("SELECT cast(NULL AS BIGINT) AS Jaar, 5L AS n"))
+    total = running_total(counts)
+    assert total.count() == total.select("Jaar").count() == 10_001
+    assert total.agg({"cum": "max"}).first()[0] == 10_005
+    assert pack_years(counts, limit=100).count() == 10_001
