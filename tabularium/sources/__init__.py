@@ -1,10 +1,11 @@
 from .catalog import column_list, table_list
-from .scan import scan, tagged, year_range
+from .scan import scan, tagged, year_bounds, year_range
 from .shared import settle, shared_dir
 from .sheets import read_sheet, sheet_table
-from .sinks import csv2_columns, read_csv2, write_chunks, write_csv2, write_dataset
+from .sinks import chunk_summary, csv2_columns, read_csv2, write_chunks, write_csv2, write_dataset
 
 __all__ = [
+    "chunk_summary",
     "column_list",
     "csv2_columns",
     "read_csv2",
@@ -18,5 +19,6 @@ __all__ = [
     "write_chunks",
     "write_csv2",
     "write_dataset",
+    "year_bounds",
     "year_range",
 ]

@@ -12,13 +12,13 @@ def table_list(
     databases: list[str] | None = None,
     containing: str | None = None,
 ) -> DataFrame:
-    """``(tabelnaam, schema, dmx_naam)`` of all tables, ``dmx_naam`` being the name in capitals.
+    """``(tabelnaam, schema, dmx_naam)`` of all tables but temporary views, ``dmx_naam`` being the name in capitals.
 
     The list is catalogue metadata, one row per table, not table data.
     """
     rows = []
     for db in databases or [spark.catalog.currentDatabase()]:
-        rows += [(t.name, db) for t in spark.catalog.listTables(db)]
+        rows += [(t.name, db) for t in spark.catalog.listTables(db) if not t.isTemporary]
     df = spark.createDataFrame(rows, "tabelnaam string, schema string")
     df = df.selectExpr("*", "upper(tabelnaam) AS dmx_naam")
     return df if containing is None else df.where(f"contains(tabelnaam, {literal(containing)})")

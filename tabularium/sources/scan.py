@@ -56,6 +56,12 @@ def year_range(col: str, first: int | None = None, last: int | None = None) -> s
     return " AND ".join(bounds)
 
 
+def year_bounds(col: str, first: int | None = None, last: int | None = None) -> str:
+    """The same for a column that holds the year as a number; true without bounds."""
+    bounds = [f"{col} {op} {int(y)}" for op, y in ((">=", first), ("<=", last)) if y is not None]
+    return " AND ".join(bounds) or "true"
+
+
 def tagged(df: DataFrame, **tags: Any) -> DataFrame:
     """Add literal columns, such as the year of a side file that does not hold it."""
     return df.selectExpr("*", *[f"{literal(value)} AS `{name}`" for name, value in tags.items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,13 @@ FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
 
 def _decimal_comma(name: str, kind: T.DataType) -> str:
     text = f"cast(`{name}` AS STRING)"
-    if isinstance(kind, FRACTIONAL):
+    if isinstance(kind, T.DecimalType):
+        # all of its digits, without trailing zeros
+        text = f"format_string('%s', {text})"
+        short = f"trim(TRAILING '.' FROM trim(TRAILING '0' FROM {text}))"
+        text = f"replace(CASE WHEN contains({text}, '.') THEN {short} ELSE {text} END, '.', ',')"
+        text = f"CASE WHEN `{name}` IS NOT NULL THEN {text} END"
+    elif isinstance(kind, FRACTIONAL):
         # as a decimal where Spark would write an exponent
         text = (
             f"CASE WHEN abs(`{name}`) >= 1e7 AND abs(`{name}`) < 1e22"
@@ -39,39 +45,53 @@ def csv2_columns(df: DataFrame) -> DataFrame:
     return df.selectExpr(*[_decimal_comma(f.name, f.dataType) for f in df.schema.fields])
 
 
+# one cell of a line: quoted, or up to the next semicolon
+CELL = r'("[^"]*+(?:""[^"]*+)*+"|[^;]*)(;|$)'
+# lines are written and read whole, by a separator and a quote that no text has
+WHOLE = {"sep": "\u0001", "quote": "", "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+ESCAPES = [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r")]
+
+
+def _cell(name: str, kind: T.DataType) -> Column:
+    text = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType):
+        for sign, escaped in [*ESCAPES, ('"', '""')]:
+            text = F.replace(text, F.lit(sign), F.lit(escaped))
+        text = F.concat(F.lit('"'), text, F.lit('"'))
+    return F.coalesce(text, F.lit("NA"))
+
+
 def write_csv2(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Semicolon, decimal comma, doubled quotes, ``NA`` for missing, a header in every part."""
-    csv2_columns(df).write.mode(mode).csv(
-        path,
-        sep=";",
-        header=True,
-        nullValue="NA",
-        escape='"',
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
+    """Semicolon, decimal comma, names and text in quotes, bare ``NA`` for missing, a header in every part.
+
+    Quotes in text are doubled; line breaks are written ``\\n`` and ``\\r``, and backslashes doubled, so
+    that a line is a row and a file can be read by many tasks.
+    """
+    cells = [_cell(f.name, f.dataType) for f in df.schema.fields]
+    doubled = [c.replace('"', '""') for c in df.columns]
+    header = ";".join(f'"{c}"' for c in doubled)
+    lines = csv2_columns(df).select(F.concat_ws(";", *cells).alias(header))
+    lines.write.mode(mode).csv(path, escapeQuotes=False, **WHOLE)
 
 
 def read_csv2(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Read what :func:`write_csv2` wrote. A text that reads ``NA`` comes back as missing."""
+    """Read what :func:`write_csv2` wrote, line by line; a quoted ``NA`` is text, a bare one is missing."""
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
-    df = spark.read.csv(
-        path,
-        schema=raw,
-        sep=";",
-        header=True,
-        nullValue="NA",
-        escape='"',
-        multiLine=any(isinstance(f.dataType, T.StringType) for f in wanted.fields),
-        ignoreLeadingWhiteSpace=False,
-        ignoreTrailingWhiteSpace=False,
-    )
-    cols = []
-    for f in wanted.fields:
-        text = f"replace(`{f.name}`, ',', '.')" if isinstance(f.dataType, FRACTIONAL) else f"`{f.name}`"
-        cols.append(f"cast({text} AS {f.dataType.simpleString()}) AS `{f.name}`")
-    return df.selectExpr(*cols)
+    cells = F.regexp_extract_all("line", F.lit(CELL), 1)
+    rows = spark.read.csv(path, schema="line string", **WHOLE).select(cells.alias("cells"))
+    out = []
+    for i, f in enumerate(wanted.fields):
+        cell = F.col("cells")[i]
+        value = cell
+        if isinstance(f.dataType, T.StringType):
+            value = F.replace(F.substring(cell, F.lit(2), F.length(cell) - 2), F.lit('""'), F.lit('"'))
+            # a doubled backslash is put aside while the other signs are read
+            for sign, escaped in [("\0", ESCAPES[0][1]), *ESCAPES[1:], (ESCAPES[0][0], "\0")]:
+                value = F.replace(value, F.lit(escaped), F.lit(sign))
+        elif isinstance(f.dataType, FRACTIONAL):
+            value = F.replace(cell, F.lit(","), F.lit("."))
+        out.append(F.when(cell != "NA", value).cast(f.dataType).alias(f.name))
+    return rows.select(*out)
 
 
 def write_dataset(
@@ -98,7 +118,7 @@ def write_chunks(
     """Write ``df`` in chunks of whole years under ``limit`` rows, newest years in chunk 1.
 
     One folder per chunk (``serie=1`` ...). A single year above the limit is a chunk of its own, and
-    no file ever holds more than ``limit`` rows. Gives the chunk table.
+    no file ever holds more than ``limit`` rows. Gives the chunk table, see :func:`chunk_summary`.
     """
     chunks = pack_years(group_count(df, year), year, "n", limit)
     # pack_years bounds the number of years, so the broadcast stays small
@@ -108,3 +128,10 @@ def write_chunks(
     writer = gathered.write.mode(mode).option("maxRecordsPerFile", limit).partitionBy("serie")
     writer.format(fmt).save(path)
     return chunks
+
+
+def chunk_summary(chunks: DataFrame, year: str = "Jaar", measure: str = "n") -> DataFrame:
+    """Rows, first and last year of every chunk of :func:`write_chunks`."""
+    return chunks.groupBy("serie").agg(
+        F.expr(f"sum(`{measure}`) AS rijen"), F.expr(f"min(`{year}`) AS minY"), F.expr(f"max(`{year}`) AS maxY")
+    )

@@ -11,6 +11,7 @@ from tabularium.sources import (
     read_sheet,
     scan,
     settle,
+    chunk_summary,
     shared_dir,
     sheet_table,
     table_list,
@@ -79,7 +80,7 @@ def test_csv2_text(frame, tmp_path):
     ).coalesce(1)
     path = f"{tmp_path}/csv2"
     write_csv2(df, path)
-    assert text_of(path) == 'i;d;t\n1;2;"zegt ""x""; y"\n2;2,5;NA\nNA;NA;"twee\nregels"\n'
+    assert text_of(path) == '"i";"d";"t"\n1;2;"zegt ""x""; y"\n2;2,5;NA\nNA;NA;"twee\\nregels"\n'
     assert rows(read_csv2(frame("x int").sparkSession, path, df.schema)) == rows(df)
 
 
@@ -88,7 +89,7 @@ def test_csv2_keeps_numbers_and_spaces(frame, spark, tmp_path):
     path = f"{tmp_path}/csv2"
     write_csv2(df, path)
     assert rows(read_csv2(spark, path, "d double, t string")) == rows(df)
-    assert 'd;t\n123456789;x \n' in text_of(path) and "0,0000001;Fryslân" in text_of(path)
+    assert '"d";"t"\n123456789;"x "\n' in text_of(path) and '0,0000001;"Fryslân"' in text_of(path)
     assert '-12345,678;""' in text_of(path)
 
 
@@ -119,7 +120,32 @@ def test_dataset_formats(frame, spark, tmp_path):
     paths = write_dataset(tables, str(tmp_path / "p"))
     assert rows(scan(spark, paths["A"])) == [(1,)]
     paths = write_dataset(tables, str(tmp_path / "c"), fmt="csv2")
-    assert text_of(paths["B"]) == "y\n1,5\n"
+    assert text_of(paths["B"]) == '"y"\n1,5\n'
+
+
+def test_csv2_text_is_kept_as_it_is(frame, spark, tmp_path):
+    texts = ["NA", "", ";", '"', '""', '";"', "a\\nb", "a\nb\r\nc", "\\", "d;e", "#x", None, "x" * 30_000 + '"' * 2_000]
+    df = frame("i int, t string, u string", *[(i, t, texts[-1 - i]) for i, t in enumerate(texts)]).repartition(3)
+    path = f"{tmp_path}/csv2"
+    write_csv2(df, path)
+    assert rows(read_csv2(spark, path, df.schema)) == rows(df)
+    assert "PartitionFilters" in read_csv2(spark, path, df.schema)._jdf.queryExecution().toString()
+
+
+def test_csv2_keeps_all_digits_of_decimals(spark, tmp_path):
+    df = spark.sql(
+        "SELECT cast('12345678.123456789012345678' AS DECIMAL(38,18)) AS a, cast('0.12345678901234567890123456789012345678' AS DECIMAL(38,38)) AS b,"
+        " cast('0' AS DECIMAL(38,18)) AS c, cast('-0.000000000000000001' AS DECIMAL(38,18)) AS d, cast(1200 AS DECIMAL(10,0)) AS e, cast(NULL AS DECIMAL(9,2)) AS f"
+    )
+    path = f"{tmp_path}/csv2"
+    write_csv2(df, path)
+    assert rows(read_csv2(spark, path, df.schema)) == rows(df)
+    assert "12345678,123456789012345678;0,12345678901234567890123456789012345678;0;-0,000000000000000001;1200;NA" in text_of(path)
+
+
+def test_chunk_summary(spark, frame):
+    chunks = frame("Jaar int, n bigint, serie int", (2003, 5, 1), (2002, 6, 1), (None, 1, 2))
+    assert rows(chunk_summary(chunks)) == [(1, 11, 2002, 2003), (2, 1, None, None)]
 
 
 def test_chunks_hold_whole_years_under_the_limit(spark, tmp_path):
@@ -148,16 +174,13 @@ def test_shared_dir_comes_from_the_session(spark):
     assert settled.count() == 5 and os.path.basename(settled.inputFiles()[0]).endswith(".parquet")
 
 
-def test_no_local_folder_on_a_cluster():
+def test_no_folder_without_the_setting():
     class Conf:
         def get(self, name, default=None):
             return default
 
-    class Context:
-        master = "yarn"
-
     class Session:
-        conf, sparkContext = Conf(), Context()
+        conf = Conf()
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Session(), "x")
