@@ -112,12 +112,12 @@ DEATH_AGE_REPAIRS = {"0  t/m  4": " 0 t/m  4", "5  t/m  9": " 5 t/m  9"}
 # codebook variables: number, name, label, English label, whether the code is a number, label repairs
 VARIABLES = {
     "sex": (493, "geslacht", "Geslacht", "Sex", True, None),
-    "sex_text": (493, "geslacht", "Geslacht", None, False, None),
+    "sex_text": (493, None, "Geslacht", None, False, None),
     "province": (25, "provincie", "Provincie", None, True, PROVINCE_REPAIRS),
     "police_region": (305, "politie_regio", "Politieregio", None, True, PROVINCE_REPAIRS),
     "police_unit": (1655, "arrondissement", "Eenheid", None, True, None),
-    "authority": (203, "wegbeh", "Wegbeheerder", None, False, None),
-    "mode": (551, "vvm_ivo", "Vervoerswijze", None, False, None),
+    "authority": (203, None, "Wegbeheerder", None, False, None),
+    "mode": (551, None, "Vervoerswijze", None, False, None),
     "old_mode": (916, None, "Vervoerswijze", None, False, None),
     "death_age": (None, "leeftijd_4_75", "Leeftijdsklasse", None, True, None),
     "death_mode": (None, "vervoer2", "Vervoerswijze", "TransportMode", True, None),

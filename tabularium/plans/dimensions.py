@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 
 from ..functions import band, codes
 from ..operators import codebook_lookup, left_lookup, successors
-from ..sources import settle
 
 REGION_COLUMNS = [
     "gemeente_nr_recent",
@@ -34,7 +33,8 @@ def region_dimension(
 
     ``municipalities`` has ``gemeente_nr, Gemeente_naam, gemeente_nr_recent, provincie, politie_regio,
     eenheid``; the lookups translate the last three (``code``) to ``Provincie``, ``Politieregio`` and
-    ``Eenheid``. The regions of a municipality that no longer exists are not used.
+    ``Eenheid``. The regions of a municipality that no longer exists are not used. Settle the result when
+    several plans use it: its size is known then, and so is whether it can be broadcast.
     """
     areas = municipalities.select(
         "gemeente_nr", "Gemeente_naam", "gemeente_nr_recent", "provincie", "politie_regio", "eenheid"
@@ -43,7 +43,7 @@ def region_dimension(
     dim = left_lookup(dim, provinces, {"prov_nr": "code"})
     dim = left_lookup(dim, police_regions, {"regio_nr": "code"})
     dim = left_lookup(dim, police_units, {"eenheid_nr": "code"})
-    return settle(dim.select("gemeente_nr", *REGION_COLUMNS), "regions")
+    return dim.select("gemeente_nr", *REGION_COLUMNS)
 
 
 def add_age_labels(df: DataFrame, age: str) -> DataFrame:

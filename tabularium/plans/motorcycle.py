@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import codes, first_match, literal, literals, recode, strict_if
 from ..operators import attach, keep_keys
-from ..sources import settle
+from ..sources import year_bounds
 
 JOIN_KEYS = ["jaar", "vornum", "wegbeh", "loctypon", "bebouw", "maxsne", "key_gem"]
 OUTPUT = [
@@ -36,6 +36,8 @@ def motorcycle_cases(
     province: str = codes.STUDY_PROVINCE,
     towns: Sequence[str] = codes.STUDY_TOWNS,
     extra_accidents: Sequence[str] = codes.STUDY_EXTRA_ACCIDENTS,
+    first_year: int | None = None,
+    last_year: int | None = None,
 ) -> DataFrame:
     """One row per casualty, with recoded columns.
 
@@ -43,22 +45,23 @@ def motorcycle_cases(
     vervoersw_detail_B, gme_naam, pve_naam``; ``casualties`` has the join keys and ``ernstsl, ote_sl,
     botspartner, vervoersw_detail, tegenpartij_detail, sexesl, lftsl, func``. Accident keys are text on
     both sides. Accidents with damage only are left out. ``extra_accidents`` are taken in although no
-    motorcycle was coded.
+    motorcycle was coded. ``first_year`` and ``last_year`` bound the scans of both tables.
     """
+    years = year_bounds("jaar", first_year, last_year)
+    accidents, casualties = accidents.where(years), casualties.where(years)
     motor = literals(codes.MOTOR_CODES)
     involved = f"N_motor > 0 OR vervoersw_detail_A IN {motor} OR vervoersw_detail_B IN {motor}"
     if extra_accidents:
         involved += f" OR vornum IN {literals(extra_accidents)}"
-    # settled: read twice below, and usually found small enough to spare the casualties a shuffle
-    chosen = settle(
+    chosen = (
         accidents.where(f"ernong5 < {codes.DAMAGE_ONLY}")
         .where(f"pve_naam = {literal(province)} AND gme_naam IN {literals(towns)}")
         .where(involved)
-        .select(*JOIN_KEYS, "ernong5", "datum", "N_motor", "gme_naam"),
-        "cases",
+        .select(*JOIN_KEYS, "ernong5", "datum", "N_motor", "gme_naam")
     )
-    # towns are compared before the wide join, which then only sees casualties of those towns
-    local = keep_keys(casualties, chosen, "key_gem")
+    # towns are compared before the wide join, which then only sees casualties of those towns; there are
+    # fewer towns than municipalities in the country, so their keys travel instead of the casualties
+    local = keep_keys(casualties, chosen, "key_gem", bounded=True)
     joined = attach(local, chosen, JOIN_KEYS).where(
         f"ernong5 IS NOT NULL OR ote_sl IN {motor} OR botspartner IN {motor}"
         f" OR vervoersw_detail IN {motor} OR tegenpartij_detail IN {motor}"

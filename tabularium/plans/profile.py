@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codes, first_match, literal
-from ..sources import column_list, settle
+from ..sources import column_list, settle, table_list
 
 # pairs of columns that bound a period, tried in this order when there is no year column
 PERIOD_COLUMNS = [("BEGDAT", "ENDDAT"), ("WVK_BEGDAT", "WVK_EINDDAT")]
 ROW_ID = "ROWID"
 YEAR = "JAAR"
+UNREADABLE = (PySparkException, Py4JJavaError)  # in the plan, and in a task
 MEASURES = {"rijen": "BIGINT", "kolommen": "INT", "minY": "INT", "maxY": "INT"}
 
 
@@ -81,16 +84,33 @@ def profile_tables(tables: Mapping[tuple[str, str], DataFrame | None]) -> DataFr
 
 
 def profile_catalog(spark: SparkSession, databases: Sequence[str], batch: int = 50) -> DataFrame:
-    """Profile of all tables of the databases, ``batch`` tables per job.
+    """Profile of all tables of the databases, ``batch`` tables per job, with an ``error`` column.
 
-    Each batch is settled, so that a failing table costs one batch and no plan grows without bound.
+    Each batch is settled, so that no plan grows without bound. When a batch fails, its tables are
+    profiled one by one: a table that cannot be read shows missing values and the first line of its error.
     """
-    names = [(db, t.name) for db in databases for t in spark.catalog.listTables(db) if not t.isTemporary]
-    parts = []
-    for start in range(0, len(names), batch):
+    names = [(r.schema, r.tabelnaam) for r in table_list(spark, list(databases)).collect()]  # metadata only
+    good = "cast(NULL AS STRING) AS error"
+
+    def run(part: Sequence[tuple[str, str]]) -> DataFrame:
         tables = {
-            (db, name): spark.table(f"`{db}`.`{name}`") if profiled(name) else None
-            for db, name in names[start : start + batch]
+            (db, name): spark.table(f"`{db}`.`{name}`") if profiled(name) else None for db, name in part
         }
-        parts.append(settle(profile_tables(tables), "profile"))
+        return settle(profile_tables(tables).selectExpr("*", good), "profile")
+
+    parts = []
+    for start in range(0, len(names), batch):
+        part = names[start : start + batch]
+        try:
+            parts.append(run(part))
+        except UNREADABLE:
+            for single in part:
+                try:
+                    parts.append(run([single]))
+                except UNREADABLE as failure:
+                    empty = correct_periods(profile_table(*single, None))
+                    said = literal(str(failure).splitlines()[0][:200])
+                    parts.append(empty.selectExpr("*", f"{said} AS error"))
+    if not parts:
+        return profile_table("", "", None).selectExpr("*", good).limit(0)
     return reduce(DataFrame.unionByName, parts)

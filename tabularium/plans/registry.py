@@ -20,8 +20,6 @@ from ..functions import (
 )
 from ..operators import arrange, full_merge, left_lookup
 from ..operators.aggregate import last_values
-from ..sources import settle
-
 LAST_VALUES = ["lever_omschrijving", "lever_archief", "lever_voorwaarde", "lever_bewaartermijn"]
 
 
@@ -119,15 +117,14 @@ def data_overview(
 
     ``summary`` comes from :func:`delivery_summary` and ``registry`` from :func:`table_registry`;
     ``sources`` links ``prod_nr`` to ``dmx_nr``. The merges run from the many side: links, then
-    products, then organisations. A merge reads its inputs twice, so what has a long history
-    is settled first.
+    products, then organisations. A merge reads its inputs twice: pass a ``registry`` and ``summary``
+    with a long history settled. Nothing runs or is written while the plan is built.
     """
-    linked = full_merge(sources.select("prod_nr", "dmx_nr"), settle(registry, "registry"), "dmx_nr")
+    linked = full_merge(sources.select("prod_nr", "dmx_nr"), registry, "dmx_nr")
     supplied = left_lookup(
         products.selectExpr("*", f"{update_frequency('prod_update')} AS Frequentie"), summary, "prod_nr"
     )
-    supplied = settle(supplied, "products")
-    merged = full_merge(settle(linked, "links"), supplied, "prod_nr")
+    merged = full_merge(linked, supplied, "prod_nr")
     merged = full_merge(merged, organisations, "org_nr")
     shown = (
         merged.where(visible_tables("dmx_naam"))

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import literals
-from ..operators import attach, group_count, wide_count
+from ..operators import attach, group_count, reshape_wide, wide_count
+from ..operators.aggregate import total
+
+
+DEATHS, FATAL = "ernstsl BETWEEN 0 AND 5", "ernong5 = 1"  # fixed values: outcomes of a casualty and of an accident
 
 
 def road_type_wide(
@@ -16,12 +20,14 @@ def road_type_wide(
 ) -> dict[str, DataFrame]:
     """Deaths and fatal accidents per road type, one column per year.
 
-    ``categories`` holds one row per fatal accident with ``jaar``, the road type and the deaths.
+    ``categories`` holds one row per accident with ``jaar``, ``ernong5``, the road type and the deaths.
+    Accidents are counted once, per road type and year; both tables are laid out from that.
     """
-    rows = categories.where(f"jaar IN {literals(years)}")
+    rows = categories.where(f"jaar IN {literals(years)} AND {FATAL}")
+    measures = {"doden": total(deaths), "ongevallen": "count(1)"}
+    counted = rows.groupBy(road_type, "jaar").agg(*[F.expr(f"{e} AS {name}") for name, e in measures.items()])
     return {
-        "doden": wide_count(rows, road_type, period="jaar", periods=years, weight=deaths),
-        "ongevallen": wide_count(rows, road_type, period="jaar", periods=years),
+        name: reshape_wide(counted.select(road_type, "jaar", name), "jaar", name, years) for name in measures
     }
 
 
@@ -32,21 +38,22 @@ def casualties_by_road_type(
     road_type: str = "wegtype",
     prefix: str = "",
 ) -> DataFrame:
-    """Casualties per road type of their accident, one column per year.
+    """Deaths per road type of their accident, one column per year.
 
-    Casualties are counted per accident before the join, so both sides meet with one row per accident
+    ``casualties`` has ``jaar``, ``vornum`` and the outcome ``ernstsl``. Deaths are counted per accident before the join, so both sides meet with one row per accident
     and year, and the join finds its left side shuffled on the keys already. The accident key is the
     primary key of ``categories``, so it is unique and never missing there: a plain comparison will do.
     """
     keys = ["jaar", "vornum"]
-    per_accident = group_count(casualties.where(f"jaar IN {literals(years)}"), *keys, name="slachtoffers")
+    died = casualties.where(f"jaar IN {literals(years)} AND {DEATHS}")
+    per_accident = group_count(died, *keys, name="slachtoffers")
     typed = attach(per_accident, categories.select(*keys, road_type), keys, null_safe=False)
     return wide_count(typed, road_type, period="jaar", periods=years, weight="slachtoffers", prefix=prefix)
 
 
 def location_study(casualties: DataFrame, year: int, speed: int) -> DataFrame:
     """Fatal accidents and deaths per location type, for one year and speed limit."""
-    rows = casualties.where(f"jaar = {year} AND maxsne = {speed}")
+    rows = casualties.where(f"jaar = {year} AND maxsne = {speed} AND {DEATHS}")
     per_accident = group_count(rows, "vornum", "loctypon", name="ndood")
     return per_accident.groupBy("loctypon").agg(
         F.expr("count(1) AS ongevallen"), F.expr("sum(ndood) AS doden")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import band, codes, first_match, literal, literals, recode
 from ..operators import group_count
+from ..sources import year_bounds
 
 SUNDAY, FRIDAY, SATURDAY = 1, 6, 7
 
@@ -26,12 +27,15 @@ def weektime_class(weekday: str, hour: str) -> str:
     )
 
 
-def weektime_table(casualties: DataFrame) -> DataFrame:
+def weektime_table(
+    casualties: DataFrame, first_year: int | None = None, last_year: int | None = None
+) -> DataFrame:
     """Casualties per outcome, mode, age, sex, week-time class and opponent.
 
     ``casualties`` has ``ernstsl, ote_sl, lftsl, sexesl, weekdag, uur, botspartner``. An opponent is
-    told only for pedestrians and cyclists.
+    told only for pedestrians and cyclists. ``first_year`` and ``last_year`` bound the scan (``jaar``).
     """
+    casualties = casualties.where(year_bounds("jaar", first_year, last_year))
     mode = recode("ote_sl", codes.WEEKTIME_MODES, literal("Anders"))
     vulnerable = literals(label for _, label in codes.WEEKTIME_MODES[:2])
     opponent = recode("botspartner", codes.WEEKTIME_OPPONENTS, literal("anders"))

@@ -481,8 +481,8 @@ def _wide_sql(select: str, value: str) -> str:
     "road_type_by_year",
     f"""
     WITH c AS ({standins.ROAD_CATEGORIES.sql}), s AS ({standins.ROAD_CASUALTIES.sql}),
-    t AS (SELECT s.jaar, c.wegtype FROM s LEFT JOIN c ON c.jaar = s.jaar AND c.vornum = s.vornum),
-    k AS (SELECT * FROM c WHERE jaar BETWEEN 1995 AND 2001)
+    t AS (SELECT s.jaar, c.wegtype FROM s LEFT JOIN c ON c.jaar = s.jaar AND c.vornum = s.vornum WHERE s.ernstsl IN (0, 1, 2, 3, 4, 5)),
+    k AS (SELECT * FROM c WHERE jaar BETWEEN 1995 AND 2001 AND ernong5 = 1)
     {_wide_sql("'doden' AS tabel, wegtype", "sum(n_slacht_dood)")} FROM k GROUP BY wegtype
     UNION ALL {_wide_sql("'ongevallen' AS tabel, wegtype", "count(*)")} FROM k GROUP BY wegtype
     UNION ALL {_wide_sql("'slachtoffers' AS tabel, wegtype", "count(*)")} FROM t GROUP BY wegtype
@@ -503,7 +503,7 @@ def road_type_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 @checked(
     "location_study",
     f"""
-    WITH s AS (SELECT vornum, loctypon, count(*) AS ndood FROM ({standins.ROAD_CASUALTIES.sql}) WHERE jaar = 1998 AND maxsne = 50 GROUP BY ALL)
+    WITH s AS (SELECT vornum, loctypon, count(*) AS ndood FROM ({standins.ROAD_CASUALTIES.sql}) WHERE jaar = 1998 AND maxsne = 50 AND ernstsl IN (0, 1, 2, 3, 4, 5) GROUP BY ALL)
     SELECT loctypon, count(*) AS ongevallen, CAST(sum(ndood) AS BIGINT) AS doden FROM s GROUP BY ALL
     """,
 )

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import data_overview, delivery_summary, profile_tables, system_tables, table_registry
+from ..operators import left_lookup
+from ..plans import (
+    data_overview,
+    delivery_summary,
+    listed_tables,
+    profile_catalog,
+    profile_tables,
+    system_tables,
+    table_registry,
+)
+from ..sources import settle, table_list
 from . import standins
 from .base import checked, table
 from .basics import visible_sql
@@ -125,6 +137,29 @@ def table_registry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LISTED = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+
+
+@checked(
+    "catalogue_profile",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS tabelnaam, upper('{name}') AS dmx_naam, (SELECT count(*) FROM {name}) AS rijen,"
+        f" (SELECT CAST(count(*) AS INTEGER) FROM information_schema.columns WHERE table_name = '{name}') AS kolommen"
+        for name in _LISTED
+    ),
+)
+def catalogue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given tables as a catalogue: listed, and profiled from the list."""
+    database = f"catalogus_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database}")
+    for name in _LISTED:
+        spark.catalog.createTable(f"{database}.{name}", f"{sf_dir}/{name}.parquet", "parquet")
+    tables = listed_tables(table_list(spark, [database]))
+    profile = profile_catalog(spark, [database]).drop("error")
+    both = left_lookup(tables, profile, {"Udmx_naam": "dmx_naam", "schema_naam": "schema"})
+    return both.selectExpr("dmx_naam AS tabelnaam", "Udmx_naam AS dmx_naam", "rijen", "kolommen")
+
+
 @checked(
     "data_overview",
     f"""
@@ -163,8 +198,8 @@ def data_overview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = data_overview(
         standins.ORGANISATIONS.read(spark, sf_dir),
         standins.PRODUCTS.read(spark, sf_dir),
-        delivery_summary(standins.DELIVERIES.read(spark, sf_dir), tie_break=["lever_nr"]),
+        settle(delivery_summary(standins.DELIVERIES.read(spark, sf_dir), tie_break=["lever_nr"]), "summary"),
         standins.SOURCES.read(spark, sf_dir),
-        _registry(spark, sf_dir),
+        settle(_registry(spark, sf_dir), "registry"),
     )
     return out.withColumn("LaatsteLevering", F.col("LaatsteLevering").cast("string"))

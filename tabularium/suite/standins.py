@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import codes
 from ..plans import region_dimension, variable_lookup
+from ..sources import settle
 from .base import StandIn
 
 # municipality number: 24 turns into the one without unit, 25 is not in the list, 26 is missing
@@ -175,6 +176,7 @@ ROAD_CASUALTIES = StandIn(
         "vornum": "l_orderkey",
         "maxsne": "cast(case l_orderkey % 3 when 0 then 50 when 1 then 80 else null end as int)",
         "loctypon": "cast(nullif(20 + l_orderkey % 4, 23) as int)",
+        "ernstsl": "cast(nullif((l_linenumber * 3 + l_orderkey) % 12, 11) as int)",
     },
 )
 ROAD_CATEGORIES = StandIn(
@@ -184,6 +186,7 @@ ROAD_CATEGORIES = StandIn(
         "vornum": "o_orderkey",
         "wegtype": "nullif(o_orderpriority, '5-LOW')",
         "n_slacht_dood": "cast(nullif(o_custkey % 4, 3) as bigint)",
+        "ernong5": "cast(nullif(1 + o_orderkey % 6, 6) as int)",
     },
 )
 
@@ -348,12 +351,13 @@ def codebook(spark: SparkSession) -> DataFrame:
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = codebook(spark)
-    return region_dimension(
+    dimension = region_dimension(
         MUNICIPALITIES.read(spark, sf_dir),
         variable_lookup(book, "province"),
         variable_lookup(book, "police_region"),
         variable_lookup(book, "police_unit"),
     )
+    return settle(dimension, "regions")
 
 
 def codebook_sql(number: int, key: str, numeric: bool = True) -> str:

@@ -338,22 +338,29 @@ def test_motorcycle_cases(frame):
 
 def test_road_types(frame):
     categories = frame(
-        "jaar int, vornum bigint, wegtype string, n_slacht_dood int",
-        (2020, 1, "A", 2),
-        (2021, 2, "A", None),
-        (2021, 3, None, 1),
-        (2019, 4, "A", 5),
+        "jaar int, vornum bigint, wegtype string, n_slacht_dood int, ernong5 int",
+        (2020, 1, "A", 2, 1),
+        (2021, 2, "A", None, 1),
+        (2021, 3, None, 1, 1),
+        (2019, 4, "A", 5, 1),
+        (2020, 5, "A", 7, 2),
+        (2020, 6, "B", 7, None),
     )
     wide = road_type_wide(categories, [2020, 2021])
     assert rows(wide["doden"]) == [(None, None, 1), ("A", 2, 0)]
     assert rows(wide["ongevallen"]) == [(None, None, 1), ("A", 1, 1)]
     casualties = frame(
-        "jaar int, vornum bigint, maxsne int, loctypon int",
-        *[(2020, 1, 50, 20)] * 5,
-        (2020, 2, 50, 20),
-        (2021, 2, 50, 21),
-        (2021, None, 50, 21),
-        (2020, 9, 80, 20),
+        "jaar int, vornum bigint, maxsne int, loctypon int, ernstsl int",
+        *[(2020, 1, 50, 20, i) for i in range(5)],
+        (2020, 2, 50, 20, 5),
+        (2021, 2, 50, 21, 3),
+        (2021, None, 50, 21, 0),
+        (2020, 9, 80, 20, 1),
+        # no deaths
+        (2020, 1, 50, 20, 6),
+        (2020, 3, 50, 20, 9),
+        (2020, 4, 50, 22, None),
+        (2021, 2, 50, 21, 10),
     )
     assert rows(casualties_by_road_type(casualties, categories, [2020, 2021], prefix="j")) == [
         (None, 2, 1),
@@ -400,10 +407,11 @@ def test_profile_of_a_catalogue_feeds_the_registry(spark, frame):
     spark.sql("CREATE TABLE register.politie (jaar INT) USING parquet")
     profile = profile_catalog(spark, ["register"], batch=2)
     assert rows(profile) == [
-        ("register", "ONGEVAL", 5, 2, 2000, 2004),
-        ("register", "POLITIE", None, None, None, None),
-        ("register", "WEG", 0, 1, None, None),
+        ("register", "ONGEVAL", 5, 2, 2000, 2004, None),
+        ("register", "POLITIE", None, None, None, None, None),
+        ("register", "WEG", 0, 1, None, None, None),
     ]
+    profile = profile.drop("error")
     listed = listed_tables(table_list(spark, ["register"]))
     matrices = frame("dmx_nr int, dmx_naam string, dmx_type int", (1, "Weg", 3), (2, "elders", 3))
     # the list holds names as stored; the registry merges on the stored name
@@ -416,6 +424,19 @@ def test_profile_of_a_catalogue_feeds_the_registry(spark, frame):
     ]
 
 
+def test_a_broken_table_costs_its_own_row(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS gebroken")
+    spark.sql("CREATE TABLE gebroken.goed USING parquet AS SELECT 1999 AS jaar")
+    spark.sql(f"CREATE TABLE gebroken.stuk (jaar INT) USING parquet LOCATION '{tmp_path}/stuk'")
+    (tmp_path / "stuk").mkdir(exist_ok=True)
+    (tmp_path / "stuk" / "part-0.parquet").write_bytes(b"no parquet at all")
+    spark.range(3).createOrReplaceTempView("tijdelijk")
+    got = profile_catalog(spark, ["gebroken"]).collect()
+    assert [tuple(r)[1:6] for r in sorted(got, key=lambda r: r.dmx_naam)] == [("GOED", 1, 1, 1999, 1999), ("STUK", None, None, None, None)]
+    assert [bool(r.error) for r in sorted(got, key=lambda r: r.dmx_naam)] == [False, True]
+    assert profile_catalog(spark, []).count() == 0
+
+
 def test_source_years_reach_the_scan(spark, regions, frame, capsys, tmp_path):
     spark.sql("SELECT 1990 AS jaar, 1 AS ernong5, 1 AS PVrapp, 1 AS key_gem, 1 AS wegbeh, 'x' AS extra").write.parquet(f"{tmp_path}/n")
     spark.sql("SELECT 1980 AS Jaar, 1 AS Ndood, 1 AS gemeente_nr, 1 AS wegbeh, 'x' AS extra").write.parquet(f"{tmp_path}/o")

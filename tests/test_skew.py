@@ -98,7 +98,7 @@ def test_counting_per_accident_shuffles_the_events_once(spark, facts, capsys):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        casualties = facts.selectExpr("j AS jaar", "cast(k AS BIGINT) AS vornum")
+        casualties = facts.selectExpr("j AS jaar", "cast(k AS BIGINT) AS vornum", "0 AS ernstsl")
         types = spark.range(1000).selectExpr("cast(2000 + id % 2 AS INT) AS jaar", "id AS vornum", "concat('t', id % 3) AS wegtype")
         out = casualties_by_road_type(casualties, types, [2000, 2001])
         out.explain()
