@@ -59,14 +59,16 @@ def _distinct_keys(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.selectExpr(*[f"`{n}` AS `{_aside(n)}`" for n in names]).distinct()
 
 
-def keep_keys(df: DataFrame, keys: DataFrame, on: Keys) -> DataFrame:
+def keep_keys(df: DataFrame, keys: DataFrame, on: Keys, bounded: bool = False) -> DataFrame:
     """Rows whose key occurs in ``keys``. The keys are made distinct before they travel.
 
     Of keys that come out of an event table Catalyst cannot foresee how few they are: settle them
-    first, and their known size decides between a broadcast and a shuffle.
+    first, and their known size decides between a broadcast and a shuffle. Pass ``bounded=True`` only
+    for keys of a fixed set (municipalities, for one): they are then broadcast.
     """
     pairs = key_pairs(on)
-    return df.join(_distinct_keys(keys, list(pairs.values())), _matches(pairs, True), "left_semi")
+    wanted = _distinct_keys(keys, list(pairs.values()))
+    return df.join(F.broadcast(wanted) if bounded else wanted, _matches(pairs, True), "left_semi")
 
 
 def missing_from(df: DataFrame, other: DataFrame, on: Keys) -> DataFrame:

@@ -8,9 +8,8 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry_points
+from tabularium.suite import ORACLES, QUERIES
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE"}
 
 
@@ -50,6 +49,7 @@ def test_plan_has_no_pairing_python_or_whole_table_window(spark, capsys, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry_gives_rows(spark):
