@@ -141,6 +141,22 @@ def reconcile(breakdowns: Mapping[str, DataFrame], year: str, measure: str) -> D
     return wide.selectExpr("*", f"{same} AND `{names[0]}` IS NOT NULL AS all_equal")
 
 
+def reconcile_measures(
+    breakdowns: Mapping[str, DataFrame], year: str, measures: Sequence[str], name: str = "maat"
+) -> DataFrame:
+    """:func:`reconcile` for several measures at once, named in a column; every breakdown is read once."""
+    rows = [
+        df.groupBy(year).agg(*[F.expr(f"{total(m)} AS `{m}`") for m in measures]).withColumn("_dim", F.lit(dim))
+        for dim, df in breakdowns.items()
+    ]
+    cells = ", ".join(f"struct({literal(m)} AS `{name}`, cast(`{m}` AS DOUBLE) AS n)" for m in measures)
+    long = append(*rows).selectExpr(year, "_dim", f"inline(array({cells}))")
+    names = list(breakdowns)
+    wide = long.groupBy(name, year).pivot("_dim", names).agg(F.expr("sum(n)"))
+    same = " AND ".join(f"`{n}` <=> `{names[0]}`" for n in names)
+    return wide.selectExpr("*", f"{same} AND `{names[0]}` IS NOT NULL AS all_equal")
+
+
 def same_total(output: DataFrame, measure: str, *inputs: DataFrame) -> DataFrame:
     """Whether the measure adds up to the number of input rows: one row ``(total, rows, equal)``."""
     out = output.agg(F.expr(f"cast({total(measure)} AS BIGINT) AS total"), F.expr("0L AS rows"))

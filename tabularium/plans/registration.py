@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, percentage
-from ..operators import arrange, left_lookup, reconcile, reshape_wide
-from ..operators.aggregate import total
+from ..operators import arrange, left_lookup, reshape_wide
+from ..operators.aggregate import reconcile_measures, total
 from .dimensions import variable_lookup
 
 DEATHS = 1
@@ -70,9 +70,9 @@ def rate_wide(rated: DataFrame, measure: str, years: Sequence[int], prefix: str
     return reshape_wide(rated.drop(*others), "Jaar", measure, years, prefix)
 
 
-def reconcile_rates(breakdowns: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Yearly totals of the true and the registered numbers over all breakdowns."""
-    return {m: reconcile(breakdowns, "Jaar", m) for m in ("Werkelijk", "Geregistreerd")}
+def reconcile_rates(breakdowns: Mapping[str, DataFrame]) -> DataFrame:
+    """Yearly totals of the true and the registered numbers (``maat``) over all breakdowns, each read once."""
+    return reconcile_measures(breakdowns, "Jaar", ["Werkelijk", "Geregistreerd"])
 
 
 def yearly_rate(source: DataFrame, registered: str, true: str, year: str = "Jaar") -> DataFrame:

@@ -147,11 +147,20 @@ def _rate_tables(spark: SparkSession, sf_dir: str, published: bool) -> dict[str,
     return rate_tables(sources, standins.codebook(spark), years, ordered=False)
 
 
+# for the SQL, apart from the code under test: key, sheet, codebook variable, first and last year, English label
+_RATE_SHEETS = {
+    "MAAND": ("Maand", 419, 1996, 9999, "b.omsgb"),
+    "WEEKDAG": ("Dag", 200, 1996, 1999, "b.omsgb"),
+    "UUR_IVO2": ("Tijdstip", 930, 1998, 2000, "b.omsgb"),
+    "PROV_IVO": ("Provincie", 556, 1996, 9999, "NULL"),
+    "VVM_IVO": ("Vervoerswijze", 551, 1996, 9999, "b.omsgb"),
+    "LEEFTIJD_IVO2": ("Leeftijd", 929, 1996, 9999, "b.omsgb"),
+    "SEXE": ("Geslacht", 264, 1996, 9999, "b.omsgb"),
+}
+
+
 def _rate_sql(key: str) -> str:
-    sheet, variable = _KEYS[key]
-    number, _, _, label_en, _, _ = codes.VARIABLES[variable]
-    first, last = _YEARS.get(sheet, (1996, 9999))
-    english = "b.omsgb" if label_en else "NULL"
+    sheet, number, first, last, english = _RATE_SHEETS[key]
     return f"""
     SELECT '{sheet}' AS tabel, Jaar, label, label_en, Werkelijk, Geregistreerd, {round1_sql('pct')} AS Registratiegraad
     FROM (
@@ -168,7 +177,7 @@ def _rate_sql(key: str) -> str:
 _RATE_CTE = f"WITH codebook AS ({standins.CODEBOOK_SQL}), src AS ({_RATES.sql})"
 
 
-@checked("registration_rate", _RATE_CTE + " UNION ALL ".join(_rate_sql(k) for k in _KEYS))
+@checked("registration_rate", _RATE_CTE + " UNION ALL ".join(_rate_sql(k) for k in _RATE_SHEETS))
 def registration_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for sheet, df in _rate_tables(spark, sf_dir, published=True).items():
@@ -207,13 +216,14 @@ def registration_rate_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reconcile_sql(measure: str, name: str) -> str:
+    sheets = [sheet for sheet, *_ in _RATE_SHEETS.values()]
     dims = " UNION ALL ".join(
         f"SELECT '{sheet}' AS dim, JAAR AS Jaar, sum({measure}) AS n FROM src"
         f" WHERE LETSELERNST_IVO2 = 1 AND JAAR >= 1996{' AND JAAR < 2000' if sheet == 'Dag' else ''} GROUP BY ALL"
-        for sheet in codes.RATE_TABLES
+        for sheet in sheets
     )
-    cells = ", ".join(f"CAST(max(n) FILTER (WHERE dim = '{s}') AS DOUBLE) AS {s}" for s in codes.RATE_TABLES)
-    equal = " AND ".join(f"Geslacht = {s}" for s in codes.RATE_TABLES)
+    cells = ", ".join(f"CAST(max(n) FILTER (WHERE dim = '{s}') AS DOUBLE) AS {s}" for s in sheets)
+    equal = " AND ".join(f"Geslacht = {s}" for s in sheets)
     return (
         f"SELECT '{name}' AS maat, *, CAST(coalesce({equal}, false) AS INTEGER) AS all_equal"
         f" FROM (SELECT Jaar, {cells} FROM ({dims}) GROUP BY Jaar)"
@@ -227,9 +237,7 @@ def _reconcile_sql(measure: str, name: str) -> str:
 def rate_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _rate_tables(spark, sf_dir, published=False)
     tables["Dag"] = tables["Dag"].where("Jaar < 2000")
-    both = reconcile_rates(tables)
-    out = append_filled(*[tagged(df, maat=name) for name, df in both.items()])
-    return out.withColumn("all_equal", F.col("all_equal").cast("int"))
+    return reconcile_rates(tables).withColumn("all_equal", F.col("all_equal").cast("int"))
 
 
 @checked(

@@ -146,8 +146,7 @@ def test_rates_reconcile(frame):
     a = frame("Jaar int, Werkelijk double, Geregistreerd double", (2000, 2.0, 1.0), (2000, 3.0, 1.0))
     b = frame("Jaar int, Werkelijk double, Geregistreerd double", (2000, 5.0, 3.0))
     out = reconcile_rates({"maand": a, "sexe": b})
-    assert rows(out["Werkelijk"]) == [(2000, 5.0, 5.0, True)]
-    assert rows(out["Geregistreerd"]) == [(2000, 2.0, 3.0, False)]
+    assert rows(out) == [("Geregistreerd", 2000, 2.0, 3.0, False), ("Werkelijk", 2000, 5.0, 5.0, True)]
 
 
 def test_yearly_rate_is_a_fraction(frame):
