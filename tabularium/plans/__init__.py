@@ -1,7 +1,7 @@
 from .accidents import accident_series, late_accidents
 from .casualties import casualty_base, casualty_tables, late_casualties
 from .deaths import deaths_by_class
-from .dimensions import add_age_labels, region_dimension, variable_lookup
+from .dimensions import add_age_labels, mode_groups, region_dimension, variable_lookup
 from .motorcycle import motorcycle_cases
 from .population import municipality_count, population_base, population_tables
 from .profile import profile_catalog, profile_tables
@@ -23,6 +23,7 @@ __all__ = [
     "late_casualties",
     "listed_tables",
     "location_study",
+    "mode_groups",
     "motorcycle_cases",
     "municipality_count",
     "population_base",

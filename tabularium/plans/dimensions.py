@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import band, codes
-from ..operators import codebook_lookup, left_lookup, successors
+from ..operators import arrange, codebook_lookup, left_lookup, successors
 
 REGION_COLUMNS = [
     "gemeente_nr_recent",
@@ -46,6 +46,15 @@ def region_dimension(
     return dim.select("gemeente_nr", *REGION_COLUMNS)
 
 
+def mode_groups(modes: DataFrame) -> DataFrame:
+    """Main group, code and label of every transport mode, by group number and code.
+
+    ``modes`` has ``cob_code, cob_label, hoofdgroep, hoofdgroep_code``.
+    """
+    named = modes.withColumnsRenamed({"cob_code": "code", "cob_label": "oms"})
+    return arrange(named, "hoofdgroep_code", "code").select("hoofdgroep", "code", "oms")
+
+
 def add_age_labels(df: DataFrame, age: str) -> DataFrame:
     """Fine and statistical age band; unknown ages get a label, ages outside all bands their number."""
     special = {codes.AGE_UNKNOWN: codes.UNKNOWN}

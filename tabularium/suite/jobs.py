@@ -16,6 +16,7 @@ from ..plans import (
     late_accidents,
     late_casualties,
     location_study,
+    mode_groups,
     motorcycle_cases,
     municipality_count,
     population_base,
@@ -471,6 +472,17 @@ def case_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@checked(
+    "mode_groups",
+    f"""
+    SELECT hoofdgroep, cob_code AS code, cob_label AS oms FROM ({standins.MODES.sql})
+    ORDER BY hoofdgroep_code NULLS LAST, cob_code
+    """,
+)
+def mode_groups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mode_groups(standins.MODES.read(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------------- road types
 
 _ROAD_YEARS = list(range(1995, 2002))

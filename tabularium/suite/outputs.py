@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import append, group_count
+from ..operators import append, group_count, pack_years
 from ..sources import (
+    chunk_summary,
     read_csv2,
     read_sheet,
     scan,
@@ -82,6 +83,26 @@ def chunked_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_count(scan(spark, path), F.col("serie").cast("int").alias("serie"), "Jaar")
 
 
+@checked(
+    "chunk_summary",
+    """
+    WITH RECURSIVE y AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS Jaar, count(*) AS n FROM lineitem GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (ORDER BY Jaar DESC) AS rn FROM y),
+    f AS (
+      SELECT Jaar, n, rn, CAST(n AS BIGINT) AS size, CAST(1 AS INTEGER) AS serie FROM o WHERE rn = 1
+      UNION ALL
+      SELECT o.Jaar, o.n, o.rn, CAST(CASE WHEN f.size + o.n > 20000 THEN o.n ELSE f.size + o.n END AS BIGINT),
+             CAST(CASE WHEN f.size + o.n > 20000 THEN f.serie + 1 ELSE f.serie END AS INTEGER)
+      FROM f JOIN o ON o.rn = f.rn + 1)
+    SELECT serie, CAST(sum(n) AS BIGINT) AS rijen, min(Jaar) AS minY, max(Jaar) AS maxY FROM f GROUP BY serie
+    """,
+)
+def chunk_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    years = F.year("l_shipdate").alias("Jaar")
+    counts = group_count(table(spark, sf_dir, "lineitem"), years)
+    return chunk_summary(pack_years(counts, limit=20_000))
+
+
 @checked(
     "sheet_table",
     """

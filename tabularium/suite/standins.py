@@ -190,6 +190,16 @@ ROAD_CATEGORIES = StandIn(
     },
 )
 
+MODES = StandIn(
+    "part",
+    {
+        "cob_code": "cast(p_partkey as int)",
+        "cob_label": "nullif(p_type, 'STANDARD')",
+        "hoofdgroep": "p_brand",
+        "hoofdgroep_code": "cast(nullif(p_size % 7, 3) as int)",
+    },
+)
+
 DELIVERIES = StandIn(
     "orders",
     {

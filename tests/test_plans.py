@@ -16,6 +16,7 @@ from tabularium.plans import (
     late_casualties,
     listed_tables,
     location_study,
+    mode_groups,
     motorcycle_cases,
     municipality_count,
     population_base,
@@ -423,6 +424,11 @@ def test_profile_of_a_catalogue_feeds_the_registry(spark, frame):
     ]
 
 
+def test_mode_groups_come_in_order(frame):
+    modes = frame("cob_code int, cob_label string, hoofdgroep string, hoofdgroep_code int", (5, "e", "B", 2), (7, None, "A", 1), (3, "c", "B", 2), (1, "a", None, None))
+    assert [tuple(r) for r in mode_groups(modes).collect()] == [("A", 7, None), ("B", 3, "c"), ("B", 5, "e"), (None, 1, "a")]
+
+
 def test_a_broken_table_costs_its_own_row(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS gebroken")
     spark.sql("CREATE TABLE gebroken.goed USING parquet AS SELECT 1999 AS jaar")
