@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     edges, mark = settled(edges, "edges"), None
     for _ in range(rounds):
         seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(seen) == mark:
+        if not seen[0] or tuple(seen) == mark:
             break
         mark = tuple(seen)
         both = edges.unionByName(edges.selectExpr("v AS u", "u AS v"))
