@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,19 +112,21 @@ def data_overview(
     sources: DataFrame,
     registry: DataFrame,
     ordered: bool = True,
+    store: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per product and table, for all organisations, products and tables.
 
     ``summary`` comes from :func:`delivery_summary` and ``registry`` from :func:`table_registry`;
     ``sources`` links ``prod_nr`` to ``dmx_nr``. The merges run from the many side: links, then
-    products, then organisations. A merge reads its inputs twice: pass a ``registry`` and ``summary``
-    with a long history settled. Nothing runs or is written while the plan is built.
+    products, then organisations. A merge reads its inputs twice: pass ``store=settle`` to have what
+    has a long history written first. Without it nothing runs or is written while the plan is built.
     """
-    linked = full_merge(sources.select("prod_nr", "dmx_nr"), registry, "dmx_nr")
+    store = store or (lambda df, name: df)
+    linked = full_merge(sources.select("prod_nr", "dmx_nr"), store(registry, "registry"), "dmx_nr")
     supplied = left_lookup(
         products.selectExpr("*", f"{update_frequency('prod_update')} AS Frequentie"), summary, "prod_nr"
     )
-    merged = full_merge(linked, supplied, "prod_nr")
+    merged = full_merge(store(linked, "links"), store(supplied, "products"), "prod_nr")
     merged = full_merge(merged, organisations, "org_nr")
     shown = (
         merged.where(visible_tables("dmx_naam"))

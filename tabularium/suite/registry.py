@@ -198,8 +198,9 @@ def data_overview_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = data_overview(
         standins.ORGANISATIONS.read(spark, sf_dir),
         standins.PRODUCTS.read(spark, sf_dir),
-        settle(delivery_summary(standins.DELIVERIES.read(spark, sf_dir), tie_break=["lever_nr"]), "summary"),
+        delivery_summary(standins.DELIVERIES.read(spark, sf_dir), tie_break=["lever_nr"]),
         standins.SOURCES.read(spark, sf_dir),
-        settle(_registry(spark, sf_dir), "registry"),
+        _registry(spark, sf_dir),
+        store=settle,
     )
     return out.withColumn("LaatsteLevering", F.col("LaatsteLevering").cast("string"))
