@@ -185,15 +185,21 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket: int =
 def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest key stays.
 
-    Rows without a key come after all others; of rows with the same key (or none) one stays. Columns are those
-    of ``docs``.
+    Rows without a key come after all others; of rows with the same key (or none) the one with the smallest hash
+    of all its columns stays. Columns are those of ``docs``.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    rows = settled(rows, "numbered")
-    prints = settled(fingerprints(rows.select("row", F.col("doc")[text].alias("text")), shingle, "row"), "fingerprints")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"), F.xxhash64(*docs.columns).alias("hash"))
+    named = rows.select(F.struct("key", "hash").alias("id"), F.col("doc")[text].alias("text"))
+    prints = settled(fingerprints(named, shingle, "id").select("id.*", "fp"), "fingerprints")
     group = connected_components(links(prints, radius, bucket)).withColumnsRenamed({"node": "fp", "component": "root"})
-    ids = rows.select("row", F.col("doc")[key].alias("key"))
-    order = F.struct(F.col("key").isNull(), F.col("key"), F.col("row"))
-    first = prints.join(ids, "row").groupBy("fp").agg(F.min(order).alias("first"))
+    # rows that are equal throughout are counted, and one of them is taken at the end
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
+    equal = prints.groupBy("key", "hash", "fp").agg(F.count("*").alias("equal"))
+    first = equal.groupBy("fp").agg(F.min(F.struct(order.alias("order"), "equal")).alias("first"))
     first = first.join(group, "fp", "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
-    return rows.join(first.select("first.row"), "row", "left_semi").select("doc.*")
+    first = settled(first.select("first.order.key", "first.order.hash", "first.equal"), "first")
+    kept = rows.join(first.withColumnsRenamed({"key": "k", "hash": "h"}), F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")))
+    if first.where("equal > 1").limit(1).count():
+        once = kept.where("equal > 1").dropDuplicates(["key", "hash"])
+        kept = kept.where("equal = 1").unionByName(once)
+    return kept.select("doc.*")

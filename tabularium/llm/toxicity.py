@@ -184,28 +184,29 @@ def toxicity(
     chosen = marking_terms(sample.select("text", "mark"), least, share, vocabulary)
     number = {t: i for i, t in enumerate(chosen)}
 
-    def read(batches):
+    def read(texts, memory: dict[str, tuple]):
+        """Terms and their counts of each text; ``memory`` holds the terms of words seen before."""
+        for line in texts:
+            bag: Counter = Counter()
+            for word, n in Counter(WORD.findall(line.as_py().lower())).items():
+                terms = memory.get(word)
+                if terms is None:
+                    if len(memory) >= MEMORY:
+                        memory.clear()
+                    terms = memory[word] = tuple(number[t] for t in terms_of(word) if t in number)
+                for t in terms:
+                    bag[t] += n
+            order = sorted(bag)
+            yield order, [bag[t] for t in order]
+
+    def vector(batches):
         memory: dict[str, tuple] = {}
         for batch in batches:
-            found, times = [], []
-            for line in batch.column("text"):
-                bag: Counter = Counter()
-                for word, n in Counter(WORD.findall(line.as_py().lower())).items():
-                    terms = memory.get(word)
-                    if terms is None:
-                        if len(memory) >= MEMORY:
-                            memory.clear()
-                        terms = memory[word] = tuple(number[t] for t in terms_of(word) if t in number)
-                    for t in terms:
-                        bag[t] += n
-                order = sorted(bag)
-                found.append(order)
-                times.append([bag[t] for t in order])
-            lists = [pa.array(x, pa.list_(pa.int32())) for x in (found, times)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("id"), *lists], names=["doc", "id", "terms", "times"])
+            found = list(read(batch.column("text"), memory))
+            lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "terms", "times"])
 
-    kind = rows.schema["doc"].dataType.simpleString()
-    vectors = settled(rows.mapInArrow(read, f"doc {kind}, id long, terms array<int>, times array<int>"), "vectors")
+    vectors = settled(rows.select("id", "text").mapInArrow(vector, "id long, terms array<int>, times array<int>"), "vectors")
     total = vectors.count()
     seen = dict(vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect())  # a row per term of the vocabulary
     idf = np.array([np.log((1 + total) / (1 + seen.get(t, 0))) + 1 for t in range(len(chosen))])
@@ -217,10 +218,11 @@ def toxicity(
     index = docs.sparkSession.sparkContext.broadcast(Index.build(taken, idf, none, rate, block))
 
     def score(batches):
-        this, cache = index.value, {}
+        this, cache, memory = index.value, {}, {}
+        near_kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("mark", pa.int32())]))
         for batch in batches:
             scores, evidence = [], []
-            for terms, times in zip(batch.column("terms").to_pylist(), batch.column("times").to_pylist()):
+            for terms, times in read(batch.column("text"), memory):
                 name = (*terms, -1, *times)
                 if name not in cache:
                     if len(cache) >= MEMORY // 10:
@@ -230,10 +232,11 @@ def toxicity(
                 value, near = cache[name]
                 scores.append(value)
                 evidence.append(near)
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("mark", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("id"), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc", "id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("id"), pa.array(scores, pa.float64()), pa.array(evidence, near_kind)], names=["doc", "id", "score", "evidence"])
 
-    scored = vectors.mapInArrow(score, f"doc {kind}, id long, score double, evidence array<struct<doc_id: long, cosine: double, mark: int>>")
+    # texts are read a second time: a stored copy of them would cost more than their words
+    kind = rows.schema["doc"].dataType.simpleString()
+    scored = rows.mapInArrow(score, f"doc {kind}, id long, score double, evidence array<struct<doc_id: long, cosine: double, mark: int>>")
     out = scored.select("doc", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
     return out.select(*[F.col("doc")[c].alias(c) for c in columns], "held_out", "score", "predicted", "evidence")
 
