@@ -7,6 +7,9 @@ cosine, and stops once a closer neighbour than the worst one held would be unlik
 
 Vectors are dealt to shards of bounded size; each has its own tree, and answers all queries. Queries stream past
 the tree, so a shard holds its vectors only. The best of all shards are merged by score.
+
+Equal unit vectors are one point of a tree. It carries the ``k + 1`` smallest of their keys: no more can be among the
+``k`` nearest of a row, which may be one of them itself.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .vectors import common_size, matrix, sound, unit
 
+ROUNDING = 1e-12  # of a squared distance of unit vectors, and more
+
 
 def chi_square_quantile(p: float, degrees: int) -> float:
     """The value below which a chi-square variable with an even number of degrees falls with probability ``p``."""
@@ -77,21 +82,45 @@ class Tree:
                 yield least, *self.spans[at]
 
 
-def search(tree: Tree, ids: np.ndarray, x: np.ndarray, query: np.ndarray, own: int, point: np.ndarray, k: int, stop: float):
-    """The ``k`` nearest (id, cosine) of unit rows ``x`` (in tree order) that the stopping test lets it find."""
-    best_id, best = np.empty(0, np.int64), np.empty(0)
-    for least, a, b in tree.leaves(point):
-        if len(best) == k and least > stop * max(0.0, 2 - 2 * best[-1]):
-            break
-        some, score = ids[a:b], x[a:b] @ query
-        ok = some != own
-        if len(best) == k:
-            ok &= score >= best[-1]
-        if ok.any():
-            best_id, best = np.concatenate([best_id, some[ok]]), np.concatenate([best, score[ok]])
-            order = np.lexsort((best_id, -best))[:k]
-            best_id, best = best_id[order], best[order]
-    return best_id, best
+def points(ids: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of ``x`` that differ, which of them each kept id has, and the ``most`` smallest ids of each, in its order."""
+    x = np.ascontiguousarray(x + 0.0)  # no negative zeros
+    _, first, of = np.unique(x.view(f"V{x.itemsize * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((ids, of))
+    of = of[order]
+    few = np.arange(len(of)) - np.searchsorted(of, of) < most
+    return x[first], of[few], ids[order][few]
+
+
+class Shard:
+    """Unit vectors in the order of their tree, and the keys of each."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, way: np.ndarray, leaf: int, most: int):
+        x, of, ids = points(ids, x, most)
+        self.tree = Tree(x @ way, leaf)
+        order, size = self.tree.order, np.bincount(of, minlength=len(x))
+        place = np.empty(len(x), np.int64)
+        place[order] = np.arange(len(x))
+        self.x, self.ids = x[order], ids[np.argsort(place[of], kind="stable")]
+        self.first = np.r_[0, np.cumsum(size[order])]
+
+    def search(self, query: np.ndarray, own: int, point: np.ndarray, k: int, stop: float) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` nearest (id, cosine) that the stopping test lets it find."""
+        best_id, best = np.empty(0, np.int64), np.empty(0)
+        for least, a, b in self.tree.leaves(point):
+            if len(best) == k and least > stop * (max(0.0, 2 - 2 * best[-1]) + ROUNDING):
+                break
+            # summed row by row: equal rows have equal bits in every shard, which a matrix product does not promise
+            score = np.repeat((self.x[a:b] * query).sum(axis=1), np.diff(self.first[a : b + 1]))
+            some = self.ids[self.first[a] : self.first[b]]
+            ok = some != own
+            if len(best) == k:
+                ok &= score >= best[-1]
+            if ok.any():
+                best_id, best = np.concatenate([best_id, some[ok]]), np.concatenate([best, score[ok]])
+                order = np.lexsort((best_id, -best))[:k]
+                best_id, best = best_id[order], best[order]
+        return best_id, best
 
 
 def nearest(
@@ -121,13 +150,13 @@ def nearest(
     stop = chi_square_quantile(confidence, directions)
 
     def answer(batches):
-        tree, at, ids, vecs = None, None, [], []
+        held, at, ids, vecs = None, None, [], []
         for batch in batches:
             place, kind, id_ = (batch.column(c).to_numpy() for c in ("shard", "asks", "id"))
             edges = np.flatnonzero((place[1:] != place[:-1]) | (kind[1:] != kind[:-1])) + 1
             for a, b in zip([0, *edges], [*edges, len(place)]):
                 if place[a] != at:
-                    tree, at, ids, vecs = None, place[a], [], []
+                    held, at, ids, vecs = None, place[a], [], []
                 x = matrix(batch.column("vec").slice(a, b - a), dim)
                 if not kind[a]:
                     ids.append(id_[a:b])
@@ -135,13 +164,11 @@ def nearest(
                     continue
                 if not ids:  # a shard without vectors
                     continue
-                if tree is None:
-                    own, near = np.concatenate(ids), unit(np.concatenate(vecs))
-                    tree = Tree(near @ way, leaf)
-                    own, near, vecs = own[tree.order], near[tree.order], []
+                if held is None:
+                    held, vecs = Shard(np.concatenate(ids), unit(np.concatenate(vecs)), way, leaf, k + 1), []
                 x, found = unit(x), []
                 for q, point, name in zip(x, x @ way, id_[a:b]):
-                    found.append((name, *search(tree, own, near, q, name, point, k, stop)))
+                    found.append((name, *held.search(q, name, point, k, stop)))
                 size = [len(f[1]) for f in found]
                 columns = [np.repeat([f[0] for f in found], size), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
