@@ -181,9 +181,11 @@ def record(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) if not isinstance(c, pa.Array) else c for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int = 16384, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int = 16384, key: str = "doc_id", text: str = "text", signs: bool = False) -> DataFrame:
     """One row per row of ``docs``: its columns, ``spans`` (first, end) of the bytes that go, in order, and the ``kept`` bytes.
 
+    With ``signs`` a sign that loses some of its bytes goes whole: spans begin and end between signs.
+
     Texts are UTF-8 bytes; a missing one is empty. Rows without a key come after all others, and rows that share a key
     in the order of a hash of their text; rows with the same key and text are one document and get the same spans. An
     empty table gives no rows. A column of the table called spans or kept is an error.
@@ -368,6 +370,8 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
                 for line, lost in zip(lines.slice(at, 512), some.column("lost")):
                     line = content_of(line)
                     first, end = covered(lost.values.to_numpy(), length)
+                    if signs:
+                        first, end = whole_signs(line, first, end)
                     spans.append([{"first": int(a), "end": int(b)} for a, b in zip(first, end)])
                     kept.append(b"".join([line[a:b] for a, b in zip(np.r_[0, end].tolist(), np.r_[first, len(line)].tolist())]))
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
@@ -403,8 +407,23 @@ def covered(lost: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes under runs of starts, as spans (first, end) that do not touch."""
     lost = np.sort(lost)
     first, end = lost >> 7, np.maximum.accumulate((lost >> 7) + (lost & 127) + length - 1)
-    new = np.r_[True, first[1:] > end[:-1]][: len(lost)]
-    return first[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(lost) - 1]] if len(lost) else end
+    return joined(first, end)
+
+
+def joined(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted spans, those that touch as one."""
+    new = np.r_[True, first[1:] > end[:-1]][: len(first)]
+    return first[new], end[np.r_[np.flatnonzero(new)[1:] - 1, len(first) - 1]] if len(first) else end
+
+
+def whole_signs(line: bytes, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted spans of UTF-8 bytes, widened to whole signs: a sign has up to three bytes after its first."""
+    if not len(first):
+        return first, end
+    after = np.append((np.frombuffer(line, np.uint8) & 0xC0) == 0x80, False)
+    for _ in range(3):
+        first, end = first - (after[first] & (first > 0)), end + after[end]
+    return joined(first, end)
 
 
 def digest(found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -425,8 +444,6 @@ def stripped(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str
     ``size``, where the table has it, is the new number of signs. Every row stays, also one with nothing left, whose
     text is empty.
     """
-    found = repeats(docs, length, key=key, text=text)
-    left = F.try_validate_utf8(F.col("kept").cast("string"))
-    whole = F.coalesce(left, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), chr(0xFFFD), ""))
-    found = found.withColumn(text, whole)
+    found = repeats(docs, length, key=key, text=text, signs=True)
+    found = found.withColumn(text, F.make_valid_utf8(F.col("kept").cast("string")))
     return found.withColumn(size, F.length(text).cast(docs.schema[size].dataType)).select(*docs.columns) if size in docs.columns else found.select(*docs.columns)
