@@ -167,7 +167,8 @@ def toxicity(
     label: str = "toxic",
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """``docs`` (its columns, or ``keep``) with held_out, score, predicted and evidence (key, cosine, mark of neighbours).
+    """``docs`` (its columns, or ``keep``) with held_out, score, predicted and evidence (key, cosine, mark of all
+    neighbours that vote, the nearest first).
 
     Fitted on at most ``examples`` labelled rows outside the held-out fold, those of the smallest hash of their key, and
     at most ``vocabulary`` terms; document frequencies and scores cover all rows. A missing or empty text has no
@@ -219,20 +220,22 @@ def toxicity(
 
     def score(batches):
         this, cache, memory = index.value, {}, {}
-        near_kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("mark", pa.int32())]))
         for batch in batches:
-            scores, evidence = [], []
+            scores, places, cosines = [], [np.empty(0, np.int64)], [np.empty(0)]
             for terms, times in read(batch.column("text"), memory):
                 name = (*terms, -1, *times)
                 if name not in cache:
                     if len(cache) >= MEMORY // 10:
                         cache.clear()
-                    value, at, cosine = this.score(np.array(terms, np.int64), np.array(times, float), k, soft, prior)
-                    cache[name] = value, [{"doc_id": int(this.ids[i]), "cosine": float(c), "mark": int(this.marks[i])} for i, c in zip(at[:3], cosine)]
-                value, near = cache[name]
+                    cache[name] = this.score(np.array(terms, np.int64), np.array(times, float), k, soft, prior)
+                value, at, cosine = cache[name]
                 scores.append(value)
-                evidence.append(near)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("id"), pa.array(scores, pa.float64()), pa.array(evidence, near_kind)], names=["doc", "id", "score", "evidence"])
+                places.append(at)
+                cosines.append(cosine)
+            at, ends = np.concatenate(places), np.cumsum([len(p) for p in places])  # the first of them is empty
+            near = [pa.array(this.ids[at], pa.int64()), pa.array(np.concatenate(cosines), pa.float64()), pa.array(this.marks[at].astype(np.int32), pa.int32())]
+            evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(near, names=["doc_id", "cosine", "mark"]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("id"), pa.array(scores, pa.float64()), evidence], names=["doc", "id", "score", "evidence"])
 
     # texts are read a second time: a stored copy of them would cost more than their words
     kind = rows.schema["doc"].dataType.simpleString()
