@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crosspolytope, licenses, mixing, ordering, sentencepiece, simhash, stable, suffix, token_counts, toxicity
+from . import bitsliced, bpe, crosspolytope, licenses, mixing, ordering, sentencepiece, simhash, stable, suffix, token_counts, toxicity, whitening
 from .storage import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,3 +111,24 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed by source: no source is passed more than twice as often as another, no document is lost."""
     mixed = mixing.mixture(table(spark, sf_dir, "documents"), repeats=2.0)
     return mixed.select("doc.doc_id", "doc.source", "n_tokens", "weight", "epoch", "block", "at", "turn")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item, by integer rank scores."""
+    return bitsliced.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = bitsliced.search_sql()
+
+
+@query
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document under the word-level vocabulary, and of what they decode to."""
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json").decode(), decoded=True))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the sixteen components of the largest variance, scaled to unit variance."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
