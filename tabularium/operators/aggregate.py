@@ -114,16 +114,42 @@ def reshape_wide(
     return wide.withColumnsRenamed({c: f"{prefix}{c}" for c in wide.columns[len(ids) :]})
 
 
+def rollups_tagged(
+    base: DataFrame, levels: Mapping[str, Sequence[str]], measure: str, name: str | None = None, tag: str = "tabel"
+) -> DataFrame:
+    """Coarser totals of one counted table, all levels in one pass and one table.
+
+    ``levels`` names lists of columns; a row carries the name of its level in ``tag``, and columns that its level does not
+    have are missing. One aggregate over grouping sets: a key that is missing in the data and one that was rolled up
+    are told apart by ``grouping_id``, so levels never mix. Two levels of the same columns are one set with two names.
+    """
+    columns = list(dict.fromkeys(c for by in levels.values() for c in by))
+    sets = {tuple(c for c in columns if c in by): None for by in levels.values()}
+    # the bit of a column, first one highest, is set where a set rolls it up
+    number = {some: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in some) for some in sets}
+    names: dict[int, list[str]] = {}
+    for level, by in levels.items():
+        names.setdefault(number[tuple(c for c in columns if c in by)], []).append(level)
+    grouped = base.groupingSets([[F.col(f"`{c}`") for c in some] for some in sets], *[F.col(f"`{c}`") for c in columns])
+    out = grouped.agg(F.expr(f"{total(measure)} AS `{name or measure}`"), F.expr("grouping_id() AS _set"))
+    level = " ".join(f"WHEN {n} THEN array({', '.join(map(literal, some))})" for n, some in names.items())
+    keys = [f"`{c}`" for c in columns]
+    return out.selectExpr(f"explode(CASE _set {level} END) AS `{tag}`", *keys, f"`{name or measure}`")
+
+
 def rollups(
-    base: DataFrame, levels: Mapping[str, Sequence[str | Column]], measure: str, name: str | None = None
+    base: DataFrame, levels: Mapping[str, Sequence[str]], measure: str, name: str | None = None, store=None
 ) -> dict[str, DataFrame]:
     """Coarser totals of one counted table, one per named list of columns.
 
-    ``base`` should be an aggregate already. Within one plan its shuffle is reused by all levels; when
-    the levels are written by separate jobs, persist it.
+    ``store`` (for one, ``settle``) writes the totals of all levels in one pass, see :func:`rollups_tagged`; the tables
+    are then read from there. Without it each table is an aggregate of ``base`` by itself, for when one of them is used.
     """
+    if store is None:
+        return {level: group_sum(base, *by, measure=measure, name=name or measure) for level, by in levels.items()}
+    stored = store(rollups_tagged(base, levels, measure, name, "_level"), "rollups")
     return {
-        level: group_sum(base, *by, measure=measure, name=name or measure) for level, by in levels.items()
+        level: stored.where(F.col("_level") == level).select(*by, name or measure) for level, by in levels.items()
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +71,33 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: Keys, bounded: bool = False) -
     return df.join(F.broadcast(wanted) if bounded else wanted, _matches(pairs, True), "left_semi")
 
 
+def keep_many_keys(df: DataFrame, keys: DataFrame, on: Keys, store: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Rows whose key occurs in ``keys``, for a key set that is too large to broadcast.
+
+    The keys are stored, distinct and sound, with a range test on the first of them. That is the form for which Spark
+    builds a Bloom filter of the keys at run time and tests the rows of ``df`` against it before they are shuffled, so only
+    hits and false hits travel; the join after it is exact. It does so from ``spark.sql.optimizer.runtime.bloomFilter.
+    applicationSideScanSizeThreshold`` bytes of ``df`` on, if the keys take less than ``...creationSideThreshold``.
+    The range test also reaches the scan of ``df``, which skips row groups outside. A missing key matches a missing
+    key; those few rows are added apart, as a null-safe key cannot be filtered.
+    """
+    pairs = key_pairs(on)
+    stored = store(_distinct_keys(keys, list(pairs.values())), "keys")
+    sound = " AND ".join(f"`{_aside(b)}` IS NOT NULL" for b in pairs.values())
+    first = f"`{_aside(next(iter(pairs.values())))}`"
+    low, high, absent = stored.agg(
+        F.expr(f"min({first})"), F.expr(f"max({first})"), F.expr(f"count_if(NOT ({sound}))")
+    ).first()
+    wanted = stored.where(sound)
+    if low is not None:
+        wanted = wanted.where((F.expr(first) >= F.lit(low)) & (F.expr(first) <= F.lit(high)))
+    hits = df.join(wanted, _matches(pairs, False), "left_semi")
+    if not absent:
+        return hits
+    incomplete = " OR ".join(f"`{a}` IS NULL" for a in pairs)
+    return hits.unionByName(df.where(incomplete).join(stored.where(f"NOT ({sound})"), _matches(pairs, True), "left_semi"))
+
+
 def missing_from(df: DataFrame, other: DataFrame, on: Keys) -> DataFrame:
     """Rows whose key does not occur in ``other``."""
     pairs = key_pairs(on)

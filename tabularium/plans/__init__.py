@@ -3,11 +3,11 @@ from .casualties import casualty_base, casualty_tables, late_casualties
 from .deaths import deaths_by_class
 from .dimensions import add_age_labels, mode_groups, region_dimension, variable_lookup
 from .motorcycle import motorcycle_cases
-from .population import municipality_count, population_base, population_tables
-from .profile import profile_catalog, profile_tables
+from .population import municipality_count, population_base, population_cube, population_tables
+from .profile import profile_catalog, profile_stored, profile_tables
 from .registration import rate_table, rate_tables, rate_wide, reconcile_rates, yearly_rate
 from .registry import data_overview, delivery_summary, listed_tables, system_tables, table_registry, update_frequency
-from .roadtype import casualties_by_road_type, location_study, road_type_wide
+from .roadtype import casualties_by_road_type, deaths_by_road, location_study, road_type_wide
 from .weektime import weektime_class, weektime_table
 
 __all__ = [
@@ -18,6 +18,7 @@ __all__ = [
     "casualty_tables",
     "data_overview",
     "deaths_by_class",
+    "deaths_by_road",
     "delivery_summary",
     "late_accidents",
     "late_casualties",
@@ -27,8 +28,10 @@ __all__ = [
     "motorcycle_cases",
     "municipality_count",
     "population_base",
+    "population_cube",
     "population_tables",
     "profile_catalog",
+    "profile_stored",
     "profile_tables",
     "rate_table",
     "rate_tables",

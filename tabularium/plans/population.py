@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, literal, strict_if
-from ..operators import arrange, group_sum, left_lookup, rollups
+from ..operators import arrange, group_sum, left_lookup, rollups, rollups_tagged
 from ..operators.aggregate import spread
 from .dimensions import add_age_labels
 
@@ -69,19 +69,29 @@ def population_base(population: DataFrame, sexes: DataFrame, regions: DataFrame)
     )
 
 
-def population_tables(base: DataFrame, ordered: bool = False) -> dict[str, DataFrame]:
+LEVELS = {
+    "Gemeenten_historisch": HISTORIC,
+    "Gemeenten_recent_lft_sex": RECENT,
+    "Inwoners_regio_leeftijd": [*REGION, "lft_inw"],
+}
+
+
+def population_cube(base: DataFrame) -> DataFrame:
+    """The three published tables as one, with ``tabel`` for the name of each: one aggregate over the base.
+
+    Single ages stand in ``lft_inw``; columns that a table does not have are missing in its rows.
+    """
+    return rollups_tagged(base, LEVELS, "Inwoners")
+
+
+def population_tables(base: DataFrame, ordered: bool = False, store=None) -> dict[str, DataFrame]:
     """The three published tables, sorted by their keys when ``ordered`` (for files).
 
-    Settle ``base`` when each is written by its own job, or the population is counted three times.
+    Pass ``store=settle`` when more than one is used: all are then counted in one pass and read from there.
     """
-    levels = {
-        "Gemeenten_historisch": HISTORIC,
-        "Gemeenten_recent_lft_sex": RECENT,
-        "Inwoners_regio_leeftijd": [*REGION, "lft_inw"],
-    }
-    out = rollups(base, levels, "Inwoners")
+    out = rollups(base, LEVELS, "Inwoners", store=store)
     if ordered:
-        out = {name: arrange(df, *levels[name]) for name, df in out.items()}
+        out = {name: arrange(df, *LEVELS[name]) for name, df in out.items()}
     region = out["Inwoners_regio_leeftijd"].withColumnRenamed("lft_inw", "Leeftijd")
     return {**out, "Inwoners_regio_leeftijd": region}
 

@@ -10,8 +10,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codes, first_match, literal
-from ..sources import column_list, settle, table_list
+from ..functions import codes, first_match, literal, literals
+from ..sources import FOOTERS, column_list, footer_scan, scan, settings, settle, table_list
 
 # pairs of columns that bound a period, tried in this order when there is no year column
 PERIOD_COLUMNS = [("BEGDAT", "ENDDAT"), ("WVK_BEGDAT", "WVK_EINDDAT")]
@@ -83,6 +83,34 @@ def profile_tables(tables: Mapping[tuple[str, str], DataFrame | None]) -> DataFr
     return correct_periods(reduce(DataFrame.unionByName, rows))
 
 
+def profile_stored(spark: SparkSession, paths: Mapping[tuple[str, str], str]) -> DataFrame:
+    """One row per ``(schema, name)`` of parquet tables whose measures are stored columns, taken from file footers.
+
+    A profile asks for a row count and for the ends of a year or date column, which the footers hold: the scan opens
+    footers and reads no column (``PushedAggregation`` in its plan). A column kept as a timestamp has no usable ends there,
+    and is read as :func:`profile_tables` would. Settled, as the pushing down is decided when the job starts.
+    """
+    def run(some: Mapping[tuple[str, str], str], read) -> DataFrame:
+        tables = {key: read(spark, path) if profiled(key[1]) else None for key, path in some.items()}
+        with settings(spark, FOOTERS):
+            out = settle(profile_tables(tables), "profile")
+        # a count out of footers is a sum over row groups, and missing where there is none
+        known = literals(["", *[name.upper() for _, name in some if profiled(name)]])
+        return out.withColumn("rijen", F.expr(f"CASE WHEN rijen IS NULL AND dmx_naam IN {known} THEN 0L ELSE rijen END"))
+
+    try:
+        return run(paths, footer_scan)
+    except UNREADABLE:
+        # a file in which a column is missing throughout has no ends in its footer, and Spark then refuses
+        parts = []
+        for key, path in paths.items():
+            try:
+                parts.append(run({key: path}, footer_scan))
+            except UNREADABLE:
+                parts.append(run({key: path}, scan))
+        return reduce(DataFrame.unionByName, parts)
+
+
 def profile_catalog(spark: SparkSession, databases: Sequence[str], batch: int = 50) -> DataFrame:
     """Profile of all tables of the databases, ``batch`` tables per job, with an ``error`` column.
 

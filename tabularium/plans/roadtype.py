@@ -51,6 +51,32 @@ def casualties_by_road_type(
     return wide_count(typed, road_type, period="jaar", periods=years, weight="slachtoffers", prefix=prefix)
 
 
+def deaths_by_road(
+    casualties: DataFrame,
+    categories: DataFrame,
+    year: int,
+    by: Sequence[str],
+    across: str,
+    values: Sequence,
+    where: str = "true",
+    road_type: str = "wegtype",
+    prefix: str = "",
+) -> DataFrame:
+    """Deaths of one year with the road type of their accident, counted by ``by`` with one column per value of ``across``.
+
+    ``by=[road_type, "wegbeh"], across="maxsne"`` lays speed limits side by side, ``by=["loctypon"], across="wegbeh"``
+    road authorities. ``where`` is a test on casualties and the road type. A value that is not among ``values`` fails the
+    job; a missing one has the column ``null``, if ``values`` holds it. Deaths are counted per accident and code first, so the
+    join meets one row for each.
+    """
+    keys = ["jaar", "vornum"]
+    codes = [c for c in dict.fromkeys([*by, across, "loctypon", "maxsne", "wegbeh", "bebouw"]) if c != road_type]
+    died = casualties.where(f"jaar = {int(year)} AND {DEATHS}")
+    per_accident = group_count(died, *keys, *codes, name="doden")
+    typed = attach(per_accident, categories.select(*keys, road_type), keys, null_safe=False).where(where)
+    return wide_count(typed, *by, period=across, periods=values, weight="doden", prefix=prefix)
+
+
 def location_study(casualties: DataFrame, year: int, speed: int) -> DataFrame:
     """Fatal accidents and deaths per location type, for one year and speed limit."""
     rows = casualties.where(f"jaar = {year} AND maxsne = {speed} AND {DEATHS}")

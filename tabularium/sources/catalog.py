@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import literal
 
@@ -27,3 +31,23 @@ def table_list(
 def column_list(df: DataFrame) -> list[str]:
     """Column names in capitals, the form in which names are compared."""
     return [c.upper() for c in df.columns]
+
+
+def column_table(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``(tabelnaam, kolom, plaats)``: the columns of every table, names as stored, places from 1.
+
+    Metadata only; no table is read.
+    """
+    rows = [(name, c, i) for name, df in tables.items() for i, c in enumerate(df.columns, 1)]
+    return spark.createDataFrame(rows, "tabelnaam string, kolom string, plaats int")
+
+
+def catalog_columns(spark: SparkSession, databases: Sequence[str], containing: str | None = None) -> DataFrame:
+    """:func:`column_table` of all tables of the databases, of those whose name contains a text."""
+    listed = table_list(spark, list(databases), containing).collect()  # metadata only
+    parts = [
+        column_table(spark, {r.tabelnaam: spark.table(f"`{r.schema}`.`{r.tabelnaam}`")}).withColumn("schema", F.lit(r.schema))
+        for r in listed
+    ]
+    empty = column_table(spark, {}).withColumn("schema", F.lit(""))
+    return reduce(DataFrame.unionByName, parts, empty)

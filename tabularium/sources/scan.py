@@ -8,6 +8,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions import literal
+from .shared import settings
+
+# with it on, counts, minima and maxima of stored columns are taken from the footers of the files
+FOOTERS = {"spark.sql.parquet.aggregatePushdown": "true"}
 
 
 def scan(
@@ -42,6 +46,18 @@ def scan(
     return df.selectExpr(*[f"`{old}` AS `{new}`" for new, old in named.items()])
 
 
+def footer_scan(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table through the reader that can answer aggregates itself.
+
+    Row counts, minima and maxima of stored numbers, dates and flags then come out of the file footers, and no column is
+    read, when the job runs under ``FOOTERS`` (see :func:`settings`), without a filter and without derived columns.
+    """
+    listed = spark.conf.get("spark.sql.sources.useV1SourceList")
+    others = ",".join(name for name in listed.split(",") if name.strip().lower() != "parquet")
+    with settings(spark, {"spark.sql.sources.useV1SourceList": others}):
+        return spark.read.parquet(path)
+
+
 def year_range(col: str, first: int | None = None, last: int | None = None) -> str:
     """The date or timestamp column falls in the years ``first`` to ``last``, both included.
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, changes: Mapping[str, str]) -> Iterator[None]:
+    """Other settings for the jobs that run inside; what stood before stands again afterwards.
+
+    A plan is optimised when its job starts, so the job has to run inside too (settle its result).
+    """
+    before = {name: spark.conf.get(name, None) for name in changes}
+    try:
+        for name, value in changes.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -4,7 +4,7 @@ The private source tables of the published figures are not available, so :mod:`.
 tables of the same shape, with missing values and unknown codes, from the test tables.
 """
 
-from . import basics, groups, jobs, lookups, outputs, recodes, registry
+from . import basics, groups, jobs, lookups, outputs, recodes, registry, stored
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "basics", "groups", "jobs", "lookups", "outputs", "recodes", "registry"]
+__all__ = ["ORACLES", "QUERIES", "basics", "groups", "jobs", "lookups", "outputs", "recodes", "registry", "stored"]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import (
-    append_filled,
     contingency,
     group_count,
     group_sum,
@@ -15,12 +14,12 @@ from ..operators import (
     reconcile,
     reshape_wide,
     rollups,
+    rollups_tagged,
     running_total,
-    same_total,
     weighted_count,
     wide_count,
 )
-from ..sources import settle, tagged
+from ..sources import settle, shared_dir, write_preserving
 from .base import StandIn, checked, table
 
 YEARS = list(range(1995, 2002))
@@ -160,7 +159,7 @@ def pivot_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rollups",
     """
     WITH base AS (
-      SELECT CAST(year(o.o_orderdate) AS INTEGER) AS jaar, o.o_orderstatus AS status, o.o_orderpriority AS prioriteit,
+      SELECT CAST(nullif(year(o.o_orderdate), 1999) AS INTEGER) AS jaar, nullif(o.o_orderstatus, 'P') AS status, nullif(o.o_orderpriority, '5-LOW') AS prioriteit,
              CAST(sum(l_quantity) AS BIGINT) AS n
       FROM lineitem JOIN orders o ON l_orderkey = o.o_orderkey GROUP BY ALL)
     SELECT 'jaar' AS tabel, jaar, NULL AS status, NULL AS prioriteit, CAST(sum(n) AS BIGINT) AS n FROM base GROUP BY jaar
@@ -171,15 +170,14 @@ def pivot_reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rollups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "cast(l_quantity AS BIGINT) AS n")
     orders = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "year(o_orderdate) AS jaar", "o_orderstatus AS status", "o_orderpriority AS prioriteit"
+        "o_orderkey", "nullif(year(o_orderdate), 1999) AS jaar", "nullif(o_orderstatus, 'P') AS status", "nullif(o_orderpriority, '5-LOW') AS prioriteit"
     )
     # quantities are added up per order first; the join then finds them shuffled on its key
     per_order = group_sum(lines, "l_orderkey", measure="n")
     joined = per_order.join(orders, F.expr("l_orderkey = o_orderkey"))
     base = group_sum(joined, "jaar", "status", "prioriteit", measure="n")
     levels = {"jaar": ["jaar"], "status": ["jaar", "status"], "prioriteit": ["status", "prioriteit"]}
-    tables = rollups(base, levels, "n")
-    return append_filled(*[tagged(df, tabel=name) for name, df in tables.items()])
+    return rollups_tagged(base, levels, "n")
 
 
 @checked(
@@ -218,8 +216,11 @@ def reconcile_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def total_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("status"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"))
-    counted = group_count(lines.unionByName(orders), "status", name="Aantal")
-    out = same_total(counted, "Aantal", lines, orders)
+
+    def counted(lines: DataFrame, orders: DataFrame) -> DataFrame:
+        return group_count(lines.unionByName(orders), "status", name="Aantal")
+
+    out = write_preserving({"lines": lines, "orders": orders}, counted, shared_dir(spark, "counted"), "Aantal")
     return out.withColumn("equal", F.col("equal").cast("int"))
 
 

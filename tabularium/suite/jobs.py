@@ -13,6 +13,7 @@ from ..plans import (
     casualty_base,
     casualty_tables,
     deaths_by_class,
+    deaths_by_road,
     late_accidents,
     late_casualties,
     location_study,
@@ -20,6 +21,7 @@ from ..plans import (
     motorcycle_cases,
     municipality_count,
     population_base,
+    population_cube,
     population_tables,
     rate_tables,
     rate_wide,
@@ -32,7 +34,7 @@ from ..plans import (
 from ..sources import settle, tagged
 from . import standins
 from .base import StandIn, checked, round1_sql, table
-from .recodes import band_sql
+from .recodes import FINE_BANDS, STATISTICAL_BANDS, band_sql
 
 # ---------------------------------------------------------------------------------- population
 
@@ -42,7 +44,7 @@ counted AS (
   SELECT jaar, geslacht, lft_inw, gemeente_nr, coalesce(sum(aantal), 0) AS Inwoners
   FROM ({standins.POPULATION.sql}) GROUP BY ALL),
 named AS (
-  SELECT c.jaar AS Jaar, s.oms AS Geslacht, s.omsgb AS Sex, {band_sql('c.lft_inw', codes.AGE_BANDS)} AS Leeftijd, c.lft_inw,
+  SELECT c.jaar AS Jaar, s.oms AS Geslacht, s.omsgb AS Sex, {band_sql('c.lft_inw', FINE_BANDS)} AS Leeftijd, c.lft_inw,
          c.gemeente_nr, r.Gemeente_naam, r.gemeente_nr_recent, r.Gemeente_naam_recent, r.Provincie, r.Eenheid, r.Politieregio,
          c.Inwoners, c.jaar < 1978 AS vroeg
   FROM counted c
@@ -85,11 +87,10 @@ def _population(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM base GROUP BY ALL
     """,
 )
-def population_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = population_tables(_population(spark, sf_dir))
-    region = tables["Inwoners_regio_leeftijd"]
-    tables["Inwoners_regio_leeftijd"] = region.withColumn("Leeftijd", F.col("Leeftijd").cast("string"))
-    return append_filled(*[tagged(df, tabel=name) for name, df in tables.items()])
+def population_cube_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = population_cube(_population(spark, sf_dir))
+    age = "CASE WHEN tabel = 'Inwoners_regio_leeftijd' THEN cast(lft_inw AS STRING) ELSE Leeftijd END AS Leeftijd"
+    return cube.selectExpr(*[age if c == "Leeftijd" else f"`{c}`" for c in cube.columns if c != "lft_inw"])
 
 
 _PROVINCES = ["Groningen", "Fryslân", "Drenthe", "Overijssel", "Onbekend"]
@@ -322,7 +323,7 @@ named AS (
   SELECT a.Jaar, CASE WHEN ernstsl BETWEEN 0 AND 5 THEN 'Overleden' WHEN ernstsl BETWEEN 6 AND 8 THEN 'Naar ziekenhuis'
                       WHEN ernstsl BETWEEN 9 AND 10 THEN 'Licht letsel' END AS Afloop,
          r.Provincie, r.Gemeente_naam_recent, r.Gemeente_naam, Vervoerswijze, s.oms AS Geslacht,
-         {band_sql('lftsl', codes.AGE_BANDS_STATISTICAL)} AS Leeftijd
+         {band_sql('lftsl', STATISTICAL_BANDS)} AS Leeftijd
   FROM alles a LEFT JOIN regions r ON r.gemeente_nr = a.gemeente_nr
   LEFT JOIN codebook s ON s.var_nr = 493 AND s.code = CASE WHEN sexesl IN (1, 2) THEN CAST(sexesl AS VARCHAR) ELSE '3' END)
 """
@@ -529,3 +530,34 @@ def road_type_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def location_study_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return location_study(standins.ROAD_CASUALTIES.read(spark, sf_dir), 1998, 50)
+
+
+_SPEEDS, _AUTHORITIES = [30, 50, 80, None], [1, 2, 3, 4]
+
+
+def _road_deaths_sql(by: str, across: str, values: list, where: str) -> str:
+    cells = ", ".join(
+        f"CAST(nullif(count(*) FILTER (WHERE {across} IS NOT DISTINCT FROM {'NULL' if v is None else v}), 0) AS BIGINT) AS n{'null' if v is None else v}"
+        for v in values
+    )
+    return f"""
+    WITH c AS ({standins.ROAD_CATEGORIES.sql}), s AS ({standins.ROAD_CASUALTIES.sql})
+    SELECT {by}, {cells} FROM s LEFT JOIN c ON c.jaar = s.jaar AND c.vornum = s.vornum
+    WHERE s.jaar = 1998 AND s.ernstsl IN (0, 1, 2, 3, 4, 5) AND {where} GROUP BY {by}
+    """
+
+
+@checked("deaths_by_speed", _road_deaths_sql("wegtype, wegbeh", "maxsne", _SPEEDS, "bebouw <> 2"))
+def deaths_by_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deaths outside of rural roads by road type and authority, speed limits side by side."""
+    casualties = standins.ROAD_CASUALTIES.read(spark, sf_dir)
+    categories = standins.ROAD_CATEGORIES.read(spark, sf_dir)
+    return deaths_by_road(casualties, categories, 1998, ["wegtype", "wegbeh"], "maxsne", _SPEEDS, "bebouw <> 2", prefix="n")
+
+
+@checked("deaths_by_authority", _road_deaths_sql("loctypon", "wegbeh", _AUTHORITIES, "wegtype = '2-HIGH'"))
+def deaths_by_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deaths on one road type by kind of place, road authorities side by side."""
+    casualties = standins.ROAD_CASUALTIES.read(spark, sf_dir)
+    categories = standins.ROAD_CATEGORIES.read(spark, sf_dir)
+    return deaths_by_road(casualties, categories, 1998, ["loctypon"], "wegbeh", _AUTHORITIES, "wegtype = '2-HIGH'", prefix="n")

@@ -21,21 +21,25 @@ from ..sources import (
 from .base import checked, table
 
 
+_TEXT = "'zegt \"' || o_orderpriority || '\"; en'"
+
+
 @checked(
     "csv2_roundtrip",
-    """
+    f"""
     SELECT o_orderkey, CAST(nullif(o_custkey % 7, 0) AS INTEGER) AS code, o_totalprice AS bedrag,
-           CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'zegt "' || o_orderpriority || '"; en' END AS tekst
+           CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'a\\b\\n' WHEN 2 THEN 'twee' || chr(10) || 'regels' || chr(13) || chr(10) WHEN 3 THEN 'a' || chr(1) || 'b;' || chr(1)
+                WHEN 4 THEN 'NA' WHEN 5 THEN '' ELSE {_TEXT} END AS tekst
     FROM orders
     """,
 )
 def csv2_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quoted = F.concat(F.lit('zegt "'), F.col("o_orderpriority"), F.lit('"; en'))
-    rows = table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        F.nullif(F.col("o_custkey") % 7, F.lit(0)).cast("int").alias("code"),
-        F.col("o_totalprice").alias("bedrag"),
-        F.when(F.col("o_orderkey") % 5 != 0, quoted).alias("tekst"),
+    odd = (
+        "CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN r'a\\b\\n' WHEN 2 THEN 'twee' || chr(10) || 'regels' || chr(13) || chr(10)"
+        f" WHEN 3 THEN 'a' || chr(1) || 'b;' || chr(1) WHEN 4 THEN 'NA' WHEN 5 THEN '' ELSE {_TEXT} END AS tekst"
+    )
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "cast(nullif(o_custkey % 7, 0) AS INT) AS code", "o_totalprice AS bedrag", odd
     )
     path = shared_dir(spark, "csv2")
     write_csv2(rows, path)

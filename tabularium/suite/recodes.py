@@ -26,7 +26,19 @@ def band_sql(col: str, bands: list[tuple[int, int, str]]) -> str:
     return f"CASE {cases} WHEN {col} = 32760 THEN 'Onbekend' ELSE CAST({col} AS VARCHAR) END"
 
 
-_AGES = StandIn(
+# fixed values: the bands, written out for the SQL, so that a wrong band in the code does not agree with itself
+FINE_BANDS = [
+    (0, 5, " 0- 5 jaar"), (6, 11, " 6-11 jaar"), (12, 14, "12-14 jaar"), (15, 17, "15-17 jaar"), (18, 19, "18-19 jaar"), (20, 24, "20-24 jaar"),
+    (25, 29, "25-29 jaar"), (30, 34, "30-34 jaar"), (35, 39, "35-39 jaar"), (40, 44, "40-44 jaar"), (45, 49, "45-49 jaar"), (50, 54, "50-54 jaar"),
+    (55, 59, "55-59 jaar"), (60, 64, "60-64 jaar"), (65, 69, "65-69 jaar"), (70, 74, "70-74 jaar"), (75, 79, "75-79 jaar"), (80, 84, "80-84 jaar"),
+    (85, 89, "85-89 jaar"), (90, 94, "90-94 jaar"), (95, 120, "95+"),
+]
+STATISTICAL_BANDS = [
+    (0, 14, "0-14 jaar"), (15, 19, "15-19 jaar"), (20, 24, "20-24 jaar"), (25, 29, "25-29 jaar"), (30, 39, "30-39 jaar"), (40, 49, "40-49 jaar"),
+    (50, 59, "50-59 jaar"), (60, 69, "60-69 jaar"), (70, 79, "70-79 jaar"), (80, 120, "80+"),
+]
+
+AGES = StandIn(
     "part",
     {
         "lft": "cast(case p_size when 50 then 32760 when 49 then null else p_size * 3 end as int)",
@@ -38,13 +50,13 @@ _AGES = StandIn(
 @checked(
     "age_band",
     f"""
-    SELECT lft, {band_sql('lft', codes.AGE_BANDS)} AS Leeftijd,
-           {band_sql('lft', codes.AGE_BANDS_STATISTICAL)} AS Leeftijd_stat, count(*) AS n
-    FROM ({_AGES.sql}) GROUP BY ALL
+    SELECT lft, {band_sql('lft', FINE_BANDS)} AS Leeftijd,
+           {band_sql('lft', STATISTICAL_BANDS)} AS Leeftijd_stat, count(*) AS n
+    FROM ({AGES.sql}) GROUP BY ALL
     """,
 )
 def age_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_age_labels(group_count(_AGES.read(spark, sf_dir), "lft"), "lft")
+    return add_age_labels(group_count(AGES.read(spark, sf_dir), "lft"), "lft")
 
 
 _CODES = StandIn(

@@ -17,7 +17,7 @@ from ..plans import (
     system_tables,
     table_registry,
 )
-from ..sources import settle, table_list
+from ..sources import settle, shared_dir, table_list
 from . import standins
 from .base import checked, table
 from .basics import visible_sql
@@ -137,7 +137,7 @@ def table_registry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LISTED = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+_LISTED = sorted(_TABLES)
 
 
 @checked(
@@ -149,13 +149,17 @@ _LISTED = ["customer", "events", "lineitem", "nation", "orders", "part", "region
     ),
 )
 def catalogue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given tables as a catalogue: listed, and profiled from the list."""
+    """All given tables as a catalogue: listed, and profiled from the list. The catalogue goes when it has been read."""
     database = f"catalogus_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE DATABASE {database}")
-    for name in _LISTED:
-        spark.catalog.createTable(f"{database}.{name}", f"{sf_dir}/{name}.parquet", "parquet")
-    tables = listed_tables(table_list(spark, [database]))
-    profile = profile_catalog(spark, [database]).drop("error")
+    spark.sql(f"CREATE DATABASE {database} LOCATION :place", {"place": shared_dir(spark, database)})
+    try:
+        for name in _LISTED:
+            spark.catalog.createTable(f"{database}.{name}", f"{sf_dir}/{name}.parquet", "parquet")
+        tables = settle(listed_tables(table_list(spark, [database])), "listed")
+        profile = profile_catalog(spark, [database]).drop("error")
+    finally:
+        # its tables are external: their files stay
+        spark.sql(f"DROP DATABASE {database} CASCADE")
     both = left_lookup(tables, profile, {"Udmx_naam": "dmx_naam", "schema_naam": "schema"})
     return both.selectExpr("dmx_naam AS tabelnaam", "Udmx_naam AS dmx_naam", "rijen", "kolommen")
 

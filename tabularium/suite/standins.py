@@ -176,6 +176,8 @@ ROAD_CASUALTIES = StandIn(
         "vornum": "l_orderkey",
         "maxsne": "cast(case l_orderkey % 3 when 0 then 50 when 1 then 80 else null end as int)",
         "loctypon": "cast(nullif(20 + l_orderkey % 4, 23) as int)",
+        "wegbeh": "cast(1 + l_orderkey % 4 as int)",
+        "bebouw": "cast(nullif(1 + l_orderkey % 5, 5) as int)",
         "ernstsl": "cast(nullif((l_linenumber * 3 + l_orderkey) % 12, 11) as int)",
     },
 )

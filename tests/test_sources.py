@@ -12,6 +12,7 @@ from tabularium.sources import (
     scan,
     settle,
     chunk_summary,
+    settings,
     shared_dir,
     sheet_table,
     table_list,
@@ -36,7 +37,7 @@ DEATHS_BY_MODE = [10032, 1702, 4795, 1812, 459, 2101, 235]
 
 
 def text_of(path):
-    return "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{path}/*.csv")))
+    return "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{path}/part-*")))
 
 
 def test_scan_pushes_columns_and_predicate(spark, capsys):
@@ -80,7 +81,7 @@ def test_csv2_text(frame, tmp_path):
     ).coalesce(1)
     path = f"{tmp_path}/csv2"
     write_csv2(df, path)
-    assert text_of(path) == '"i";"d";"t"\n1;2;"zegt ""x""; y"\n2;2,5;NA\nNA;NA;"twee\\nregels"\n'
+    assert text_of(path) == '"i";"d";"t"\n1;2;"zegt ""x""; y"\n2;2,5;NA\nNA;NA;"twee\nregels"\n'
     assert rows(read_csv2(frame("x int").sparkSession, path, df.schema)) == rows(df)
 
 
@@ -124,12 +125,35 @@ def test_dataset_formats(frame, spark, tmp_path):
 
 
 def test_csv2_text_is_kept_as_it_is(frame, spark, tmp_path):
-    texts = ["NA", "", ";", '"', '""', '";"', "a\\nb", "a\nb\r\nc", "\\", "d;e", "#x", None, "x" * 30_000 + '"' * 2_000]
+    texts = ["NA", "", ";", '"', '""', '";"', "a\\nb", "a\nb\r\nc", "\\", "d;e", "#x", "a\x01b", "a\0b", "a\\\\b", "\n", "\r", " ", 'a"";"b', None, '"' * 50_000, "y" * 3_000_000, "x" * 30_000 + '"' * 2_000]
     df = frame("i int, t string, u string", *[(i, t, texts[-1 - i]) for i, t in enumerate(texts)]).repartition(3)
     path = f"{tmp_path}/csv2"
     write_csv2(df, path)
     assert rows(read_csv2(spark, path, df.schema)) == rows(df)
-    assert "PartitionFilters" in read_csv2(spark, path, df.schema)._jdf.queryExecution().toString()
+    plain = df.where("NOT contains(t, '\\n') AND NOT contains(u, '\\n')")
+    write_csv2(plain, path)
+    assert rows(read_csv2(spark, path, df.schema, line_breaks=False)) == rows(plain)
+
+
+def test_csv2_of_other_writers(spark, tmp_path):
+    path = tmp_path / "plain.csv"
+    path.write_bytes('"Jaar";"graad";"naam";"NA"\n2001;0,5;"a\\b ""q"" \r\nregel; 2";NA\n2002;NA;"NA";"x"\n2003;1e+05;"";""\n'.encode())
+    want = [(2001, 0.5, 'a\\b "q" \r\nregel; 2', None), (2002, None, "NA", "x"), (2003, 100000.0, "", "")]
+    assert rows(read_csv2(spark, str(path), "Jaar int, graad double, naam string, x string")) == want
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    for part in range(3):
+        (lines / f"{part}.csv").write_bytes(b'"k";"t"\n' + b"".join(b'%d;"k"\n' % i for i in range(part * 5000)))
+    with_small_splits = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1"}
+    with settings(spark, with_small_splits):
+        got = read_csv2(spark, str(lines), "k int, t string", line_breaks=False)
+        assert got.count() == 15_000 and got.rdd.getNumPartitions() > 3 and got.where("t != 'k'").count() == 0
+    assert read_csv2(spark, str(lines), "k int, t string").count() == 15_000
+
+
+def test_csv2_of_an_empty_table(spark, frame, tmp_path):
+    write_csv2(frame("a int, t string", (1, "x")).limit(0), f"{tmp_path}/none")
+    assert read_csv2(spark, f"{tmp_path}/none", "a int, t string").count() == 0
 
 
 def test_csv2_keeps_all_digits_of_decimals(spark, tmp_path):

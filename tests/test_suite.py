@@ -43,8 +43,8 @@ def test_plan_has_no_pairing_python_or_whole_table_window(spark, capsys, name):
     QUERIES[name](spark, SMALL).explain()
     plan = capsys.readouterr().out
     assert not re.search("CartesianProduct|BroadcastNestedLoop|PythonUDF|ArrowEval|MapInPandas", plan)
-    # windows are taken over years and months only
-    assert ("Window" in plan) == (name in {"ordered_rows", "running_total_chunks"})
+    # windows are taken over years and months, or inside ranges
+    assert ("Window" in plan) == (name in {"ordered_rows", "running_total_chunks", "running_total_groups", "row_places"})
 
 
 def test_every_query_has_sql():
