@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .numbers import Numbers
-from .storage import settled
+from .storage import quoted, settled
 
 #: What stands between terms becomes a space, and A-Z become small; all other bytes belong to terms.
 SIGNS = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -132,7 +132,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text as bytes) of a table, whatever else its columns are called."""
-    return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    return df.select(F.col(quoted(key)).cast("long").alias("key"), F.col(quoted(text)).cast("string").cast("binary").alias("text"))
 
 
 class Asked:

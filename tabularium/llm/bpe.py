@@ -13,7 +13,6 @@ word once and looks it up after that, in a table of bounded size.
 from __future__ import annotations
 
 import json
-import re
 from array import array
 from itertools import islice
 
@@ -27,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .numbers import Numbers
+from .storage import quoted
 from .token_counts import ODD, SPACE, UNUSUAL, Rules
 
 TEXT_AT_ONCE, DOCS_AT_ONCE, KNOWN_WORDS, KNOWN_IDS = 4 << 20, 8192, 400_000, 4_000_000
@@ -339,13 +339,9 @@ def decode(rows: DataFrame, spec: str, key: str = "doc_id", ids: str = "ids") ->
 def digest(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
     """Number of ids of every row, and the digests of its ids and of the text they decode to."""
     return encoded.select(
-        key,
+        F.col(quoted(key)),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
-
-def quoted(name: str) -> str:
-    """A column name that may hold dots or backquotes."""
-    return "`" + re.sub("`", "``", name) + "`"

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest_labels
-from .storage import settled
+from .storage import quoted, settled
 from .vectors import common_size, matrix, sound, unit
 
 PAIRS_AT_ONCE = 1 << 17
@@ -172,7 +172,7 @@ def near_vectors(
     group: component_id is null where no linked row has a key, and kept is false. Repeated rows link with
     each other; where they share a key, each of them is kept. Vectors of different lengths are an error.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vec).alias("vec"))
+    rows = df.select(F.col(quoted(key)).alias("id"), F.col(quoted(label)).alias("label"), F.col(quoted(vec)).alias("vec"))
     good = rows.where(sound("vec") & F.col("label").isNotNull())
     dim = common_size(good, "vec")
     classes = good.groupBy("label", "vec").agg(F.min("id").alias("low"), F.count("*").alias("copies"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import quoted
+
 # fixed values: characters that words consist of, and base phrases with their labels
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -60,7 +62,7 @@ def sections(texts: DataFrame, label: str = "label", text: str = "text") -> Data
     """Templates out of a table of whole license texts: sections of ``LONGEST + 1`` words, each from the last word of
     the one before. A last section under ``SHORTEST`` words is left out, if it isn't the only one; a missing label or
     text and a text of one word give none."""
-    said = texts.select(F.col(f"`{label}`").cast("string").alias("label"), words(F.col(f"`{text}`")).alias("w")).where("label IS NOT NULL AND size(w) > 1")
+    said = texts.select(F.col(quoted(label)).cast("string").alias("label"), words(F.col(quoted(text))).alias("w")).where("label IS NOT NULL AND size(w) > 1")
     cut = said.selectExpr("false AS base", "label", f"explode(transform(sequence(1, size(w) - 1, {LONGEST}), i -> struct(i AS i, slice(w, i, {LONGEST + 1}) AS said))) AS s")
     return cut.select("base", "label", "s.*").where(f"size(said) >= {SHORTEST} OR i = 1").select("base", "label", "said").distinct()
 
@@ -118,7 +120,7 @@ def license_spans(
     given = listed(docs.sparkSession, base, templates)
     # the built-in templates are as large as they stand here; of a table Spark knows the size
     places = F.broadcast(positions(given)) if texts is None else positions(given.unionByName(sections(texts)))
-    rows = docs.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.monotonically_increasing_id().alias("_row"), words(F.col(f"`{text}`")).alias("_words"))
+    rows = docs.select(*[F.col(quoted(k)).alias(f"_k{i}") for i, k in enumerate(keys)], F.monotonically_increasing_id().alias("_row"), words(F.col(quoted(text))).alias("_words"))
     own = ["_row", *[f"_k{i}" for i in range(len(keys))], "n_words"]
     rows = rows.withColumn("n_words", F.size("_words").cast("long"))
     pairs = F.arrays_zip(F.col("_words").alias("a"), F.slice("_words", F.lit(2), F.greatest(F.size("_words"), F.lit(1))).alias("b"))

@@ -24,8 +24,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .numbers import Numbers
+from .storage import quoted
 
 MARK = chr(0x2581)  # stands for a space
 TEXT_AT_ONCE, KNOWN_STRETCHES, MATRIX_ROWS, MATRIX_WIDTH, LISTS_AT_ONCE = 2 << 20, 200_000, 4096, 48, 128
@@ -336,11 +338,13 @@ def decoder(model: bytes, place: int, names: list[str]):
     return run
 
 
-def extended(df: DataFrame, name: str, kind: str) -> tuple[list[str], str]:
-    """Column names and schema of ``df`` with one more column."""
+def extended(df: DataFrame, work, name: str, kind: T.DataType) -> DataFrame:
+    """``df`` with one more column that ``work`` gives; columns go by number meanwhile, whatever they are called."""
     if name in df.columns:
         raise ValueError(f"column {name} exists")
-    return [*df.columns, name], ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{name}` {kind}"])
+    numbers = [str(i) for i in range(len(df.columns) + 1)]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(numbers, df.schema.fields)] + [T.StructField(numbers[-1], kind)]
+    return df.toDF(*numbers[:-1]).mapInArrow(work(numbers), T.StructType(fields)).toDF(*df.columns, name)
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -349,8 +353,8 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids")
     A missing or empty text has no ids. Rows and all other columns stay as they are; a column that already has the
     name of the new one is an error. An empty table gives an empty table.
     """
-    names, schema = extended(docs, ids, "array<int>")
-    return docs.mapInArrow(encoder(model, docs.columns.index(text), names), schema)
+    place = docs.columns.index(text)
+    return extended(docs, lambda names: encoder(model, place, names), ids, T.ArrayType(T.IntegerType()))
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -359,12 +363,15 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded")
     Bytes that are no UTF-8 become U+FFFD, begin and end marks nothing, the unknown piece its sign. A missing list, and
     a list with a missing id or one outside the vocabulary, give a missing text. Other columns stay.
     """
-    names, schema = extended(df, text, "string")
-    return df.mapInArrow(decoder(model, df.columns.index(ids), names), schema)
+    place = df.columns.index(ids)
+    return extended(df, lambda names: decoder(model, place, names), text, T.StringType())
 
 
 def encoded_rows(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_ids, ids and whether decoding gives the text back (a missing one: as empty), for every row of ``docs``."""
+    """Key, n_ids, ids and whether decoding gives the text back (a missing one: as empty), for every row of ``docs``.
+
+    Repeated rows and rows without a key are encoded each, very long texts whole; an empty table gives no rows.
+    """
     into, back = encoder(model, 1, ["key", "text", "ids"]), decoder(model, 2, ["key", "text", "ids", "decoded"])
 
     def run(batches):
@@ -372,6 +379,7 @@ def encoded_rows(docs: DataFrame, model: bytes, key: str = "doc_id", text: str =
             key_, line, ids, decoded = batch.columns
             yield pa.RecordBatch.from_arrays([key_, pc.list_value_length(ids).cast(pa.int64()), ids, pc.equal(line, decoded)], names=["key", "n_ids", "ids", "exact"])
 
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, n_ids long, ids array<int>, exact boolean").withColumnRenamed("key", key)
+    rows = docs.select(F.col(quoted(key)).alias("key"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
+    kinds = {"n_ids": T.LongType(), "ids": T.ArrayType(T.IntegerType()), "exact": T.BooleanType()}
+    schema = T.StructType([rows.schema["key"], *[T.StructField(name, kind) for name, kind in kinds.items()]])
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)

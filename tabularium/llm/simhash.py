@@ -19,9 +19,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components, forest_labels
-from .storage import settled
+from .storage import quoted, settled, whole_row
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -53,9 +54,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, key: str = "doc_id", text: s
             out = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["key", "fp"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(compute, f"key {kind}, fp long").withColumnRenamed("key", key)
+    rows = docs.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).cast("binary").alias("text"))
+    return rows.mapInArrow(compute, T.StructType([rows.schema["key"], T.StructField("fp", T.LongType())])).withColumnRenamed("key", key)
 
 
 def close_pairs(values: np.ndarray, group_end: np.ndarray, radius: int):
@@ -175,11 +175,11 @@ def components(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket: int =
     """
     prints = settled(fingerprints(docs, shingle, key, text), "fingerprints")
     group = connected_components(links(prints, radius, bucket)).withColumnsRenamed({"node": "fp", "component": "root"})
-    lowest = prints.groupBy("fp").agg(F.min(key).alias("low")).join(group, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = prints.groupBy("fp").agg(F.min(quoted(key)).alias("low")).join(group, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = settled(lowest, "groups")
     roots = lowest.groupBy("root").agg(F.min("low").alias("component_id"))
     named = lowest.join(roots, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select(F.col(quoted(key)), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,8 +188,8 @@ def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 3, bucket: int
     Rows without a key come after all others; of rows with the same key (or none) the one with the smallest hash
     of all its columns stays. Columns are those of ``docs``.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"), F.xxhash64(*docs.columns).alias("hash"))
-    named = rows.select(F.struct("key", "hash").alias("id"), F.col("doc")[text].alias("text"))
+    rows = docs.select(whole_row(docs).alias("doc"), F.col(quoted(key)).alias("key"), F.xxhash64(*[F.col(quoted(c)) for c in docs.columns]).alias("hash"))
+    named = rows.select(F.struct("key", "hash").alias("id"), F.col("doc").getField(text).alias("text"))
     prints = settled(fingerprints(named, shingle, "id").select("id.*", "fp"), "fingerprints")
     group = connected_components(links(prints, radius, bucket)).withColumnsRenamed({"node": "fp", "component": "root"})
     # rows that are equal throughout are counted, and one of them is taken at the end

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +25,20 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def quoted(name: str) -> str:
+    """A column name that may hold spaces, dots or backquotes, as it is written in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one, whatever they are called."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
+def no_clash(df: DataFrame, *names: str) -> None:
+    """An operator that adds columns cannot take a table that has them."""
+    found = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if found:
+        raise ValueError(f"columns exist: {sorted(found)}")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numbers import Numbers
+from .storage import quoted
 
 BLOCK_BYTES, BLOCK_DOCS, SPAN, SUMS_HELD = 32 << 20, 1 << 16, 256, 64
 #: A block's own row has the word "", and as ``docs`` its keys, which of them are missing, sizes and special tokens.
@@ -201,7 +202,7 @@ def token_counts(docs: DataFrame, spec: str, limit: int = 2048, key: str = "doc_
         columns = [pa.array(own[0], mask=own[1] == 1), pa.array(own[2]), pa.array(sums), pa.array(sums > limit)]
         return pa.RecordBatch.from_arrays(columns, names=["key", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(key)).cast("long").alias("key"), F.col(quoted(text)).cast("string").alias("text"))
     posted = rows.mapInArrow(postings, POSTINGS)
     deal = F.when(F.col("word") == "", F.xxhash64("block")).otherwise(F.xxhash64("word", F.expr(f"block div {SPAN << 24}")))
     dealt = posted.withColumn("deal", deal).repartition("deal").sortWithinPartitions("deal", "word").drop("deal")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .storage import settled
+from .storage import quoted, settled
 
 SCALE, SHIFT = 64, 1_000_000
 ROWS_AT_ONCE = 4096
@@ -30,9 +30,9 @@ WHOLE = "decimal(38,0)"
 
 def whole_vectors(df: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(key, x): the vectors that can be whitened, as integers. An entry too large for a long fails the job."""
-    entries = F.col(f"`{vec}`").cast("array<double>")
+    entries = F.col(quoted(vec)).cast("array<double>")
     wrong = F.exists(entries, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = df.select(F.col(f"`{key}`").alias("key"), entries.alias("c")).where(entries.isNotNull() & ~F.coalesce(wrong, F.lit(True)))
+    rows = df.select(F.col(quoted(key)).alias("key"), entries.alias("c")).where(entries.isNotNull() & ~F.coalesce(wrong, F.lit(True)))
     fits = F.forall("c", lambda c: F.abs(c) < 2.0**52)
     rows = rows.where(F.assert_true(fits, "a vector entry of 2 to the 52 or more").isNull())
     return rows.select("key", F.transform("c", lambda c: F.floor(c * SCALE).cast("long") + SHIFT).alias("x"))
