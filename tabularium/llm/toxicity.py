@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import settled
+from .storage import no_clash, quoted, settled, whole_row
 
 WORD = re.compile(r"[^\W\d_]+")
 SHORTEST, LONGEST = 4, 6
 MEMORY = 200_000  # words a task remembers the terms of
+HELD_TERMS = 32_768  # candidates that a task looks up; more are joined
 
 
 def terms_of(word: str) -> list[str]:
@@ -101,7 +103,7 @@ def weights(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 def held_out(key: str = "doc_id"):
     """Whether a row is kept from learning: crc32 of its key as text is divisible by 5."""
-    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(F.col(quoted(key)).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def marking_terms(examples: DataFrame, least: float, share: float, most: int) -> list[str]:
@@ -123,7 +125,7 @@ def marking_terms(examples: DataFrame, least: float, share: float, most: int) ->
             for line, mark in zip(batch.column("text"), batch.column("mark").to_pylist()):
                 words = ["", *WORD.findall((line.as_py() or "").lower()), ""]
                 for before, word, after in zip(words, words[1:], words[2:]):
-                    found.update((t, mark, f"{before} {after}") for t in terms_of(word) if t in candidates)
+                    found.update((t, mark, f"{before} {after}") for t in terms_of(word) if candidates is None or t in candidates)
             columns = zip(*sorted(found)) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()))], names=["term", "mark", "place"])
 
@@ -131,12 +133,15 @@ def marking_terms(examples: DataFrame, least: float, share: float, most: int) ->
     if not total or not ones or ones == total:
         return []
     counts = examples.mapInArrow(count, "term string, n long, ones long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
-    first = marked_by(counts, ones / total, least, share).orderBy(F.desc("g"), "term").limit(8 * most)
-    candidates = {r.term for r in first.collect()}
+    first = settled(marked_by(counts, ones / total, least, share).select("term"), "terms")
+    # few candidates are looked up in the tasks, many are joined: the same terms either way
+    few = first.limit(HELD_TERMS + 1).collect()
+    candidates = {r.term for r in few} if len(few) <= HELD_TERMS else None
     # copies of a text are one place; and a long text holds more of any word, so places are held against the share of words
     size = F.sum(F.octet_length("text"))
     marked, every = examples.agg(F.sum(F.when(F.col("mark") == 1, F.octet_length("text"))), size).first()
     seen = examples.mapInArrow(places, "term string, mark int, place string").distinct()
+    seen = seen if candidates is not None else seen.join(first, "term", "left_semi")
     counts = seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("mark").alias("ones"))
     chosen = marked_by(counts, (marked or 0) / max(1, every), least, share).orderBy(F.desc("g"), "term").limit(most)
     return [r.term for r in chosen.collect()]
@@ -165,6 +170,7 @@ def toxicity(
     key: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
+    label_key: str | None = None,
     keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """``docs`` (its columns, or ``keep``) with held_out, score, predicted and evidence (key, cosine, mark of all
@@ -173,14 +179,16 @@ def toxicity(
     Fitted on at most ``examples`` labelled rows outside the held-out fold, those of the smallest hash of their key, and
     at most ``vocabulary`` terms; document frequencies and scores cover all rows. A missing or empty text has no
     term and the score of examples without one; so has every text if there is no label of both kinds (score 0 without
-    any). Keys labelled twice have their largest label; labels that are missing count for nothing; rows without a key
+    any). Very long texts are read whole. Of equally near examples those that stand first in the index vote, by their terms and
+    keys. A column of ``docs`` called like one of the new ones is an error. Keys labelled twice have their largest label; labels that are missing count for nothing; rows without a key
     are scored, and repeated rows each. An empty table gives no rows.
     """
     columns = list(keep or docs.columns)
-    known = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("mark")).where("id IS NOT NULL AND mark IS NOT NULL AND mark IN (0, 1)")
+    no_clash(docs.select(*[F.col(quoted(c)) for c in columns]), "held_out", "score", "predicted", "evidence")
+    known = labels.select(F.col(quoted(label_key or key)).cast("long").alias("id"), F.col(quoted(label)).cast("int").alias("mark")).where("id IS NOT NULL AND mark IS NOT NULL AND mark IN (0, 1)")
     known = known.groupBy("id").agg(F.max("mark").alias("mark")).where(~held_out("id"))
     known = settled(known.orderBy(F.xxhash64("id"), "id").limit(examples), "examples")
-    rows = docs.select(F.struct(*columns).alias("doc"), F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in columns]).alias("doc"), F.col(quoted(key)).cast("long").alias("id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
     sample = rows.select("id", "text").join(F.broadcast(known), "id")  # at most ``examples`` rows
     chosen = marking_terms(sample.select("text", "mark"), least, share, vocabulary)
     number = {t: i for i, t in enumerate(chosen)}
@@ -238,13 +246,16 @@ def toxicity(
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("id"), pa.array(scores, pa.float64()), evidence], names=["doc", "id", "score", "evidence"])
 
     # texts are read a second time: a stored copy of them would cost more than their words
-    kind = rows.schema["doc"].dataType.simpleString()
-    scored = rows.mapInArrow(score, f"doc {kind}, id long, score double, evidence array<struct<doc_id: long, cosine: double, mark: int>>")
+    near = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("mark", T.IntegerType())])
+    schema = [rows.schema["doc"], T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(near))]
+    scored = rows.mapInArrow(score, T.StructType(schema))
     out = scored.select("doc", held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
-    return out.select(*[F.col("doc")[c].alias(c) for c in columns], "held_out", "score", "predicted", "evidence")
+    return out.select(*[F.col("doc").getField(c).alias(c) for c in columns], "held_out", "score", "predicted", "evidence")
 
 
 def tolerable(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that are not predicted to be toxic, with their columns."""
-    scored = toxicity(docs.select(F.struct(*docs.columns).alias("row"), F.col(settings.get("key", "doc_id")), F.col(settings.get("text", "text"))), labels, keep=("row",), **settings)
+    key, text = settings.pop("key", "doc_id"), settings.pop("text", "text")
+    rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
+    scored = toxicity(rows, labels, keep=("row",), key="key", text="text", label_key=settings.pop("label_key", key), **settings)
     return scored.where("predicted = 0").select("row.*")
