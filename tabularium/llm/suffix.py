@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import settled
+from .storage import no_clash, quoted, settled, whole_row
 
 GRAM, PIECE, RUN = 24, 1 << 21, 96
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -181,9 +182,12 @@ def record(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) if not isinstance(c, pa.Array) else c for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int = 16384, key: str = "doc_id", text: str = "text", signs: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int = 2048, by_hash: bool = True, key: str = "doc_id", text: str = "text", signs: bool = False) -> DataFrame:
     """One row per row of ``docs``: its columns, ``spans`` (first, end) of the bytes that go, in order, and the ``kept`` bytes.
 
+    Copies of a stretch are known by its two hashes of 64 bits; with ``by_hash`` off, all stretches of an anchor that has
+    several go through the suffix arrays and are compared byte by byte. The rows are the same.
+
     With ``signs`` a sign that loses some of its bytes goes whole: spans begin and end between signs.
 
     Texts are UTF-8 bytes; a missing one is empty. Rows without a key come after all others, and rows that share a key
@@ -192,10 +196,9 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
     """
     if not 8 <= length <= 4096:
         raise ValueError("length: 8 to 4096 bytes")
-    if {"spans", "kept"} & {*docs.columns}:
-        raise ValueError("column spans or kept exists")
-    content = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    d = F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("d")
+    no_clash(docs, "spans", "kept")
+    content = F.coalesce(F.col(quoted(text)).cast("binary"), F.lit(b""))
+    d = F.coalesce(F.col(quoted(key)).cast("long"), F.lit(LAST_KEY)).alias("d")
     rows = docs.select(d, F.xxhash64(content).alias("r"), content.alias("bytes"))
 
     def anchors(batches):
@@ -224,6 +227,7 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
             new = np.r_[True, (anchor[1:] != anchor[:-1]) | (hashed[1:] != hashed[:-1])]
             # a row that repeats is one document
             same = np.r_[False, ~new[1:] & (row_d[1:] == row_d[:-1]) & (row_r[1:] == row_r[:-1]) & (start[1:] == start[:-1])]
+            new |= not by_hash
             deal = np.where(new, anchor, row_d ^ row_r)
             run = packed(start, count)
             keep = np.flatnonzero(~same)
@@ -256,7 +260,9 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
             anchor, hashed, *place = (np.r_[b, x] for b, x in zip(last, now))
             new_anchor = anchor[1:] != anchor[:-1]
             new = new_anchor | (hashed[1:] != hashed[:-1])
-            lost = ~new & np.logical_or.reduce([x[1:] != x[:-1] for x in place])
+            other = np.logical_or.reduce([x[1:] != x[:-1] for x in place])
+            new |= other & (not by_hash)
+            lost = ~new & other
             yield record(FOUND, *marks(REMOVE, lost.sum()), *(x[1:][lost] for x in place))
             heads, groups = np.flatnonzero(new), int(new_anchor.sum())
             group = np.cumsum(new_anchor)[heads]
@@ -379,8 +385,9 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
 
     dealt = rows.mapInArrow(anchors, ANCHORS).repartition("deal").sortWithinPartitions("known", "anchor", "print", "d", "r", "run")
     found = settled(dealt.mapInArrow(compare, FOUND), "stretches")
-    # the documents move once; both joins below read the same exchange
-    moved = docs.select(F.struct(*docs.columns).alias("doc"), d, F.xxhash64(content).alias("r")).repartition("d", "r")
+    # the documents move once: both joins below need the same exchange. It is one of a join, so that adaptive execution
+    # can split it where a row is repeated very often
+    moved = docs.select(whole_row(docs).alias("doc"), d, F.xxhash64(content).alias("r"))
     asked = found.where(F.col("kind") == ASK).groupBy("d", "r").agg(F.collect_list(F.struct("anchor", "sub", "run")).alias("asked"))
     stretches = moved.join(asked.hint("shuffle_hash"), ["d", "r"]).mapInArrow(cut, STRETCHES)
     stretches = stretches.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "d", "r", "run")
@@ -388,9 +395,9 @@ def repeats(docs: DataFrame, length: int = 100, shard: int = 4096, spread: int =
     ends = ends.repartition(F.when(F.col("kind") == FIRST, F.xxhash64("string")).otherwise(F.xxhash64("d", "r"))).sortWithinPartitions("string", "d", "r", "run")
     lost = ends.mapInArrow(merge, "d long, r long, run long").unionByName(found.where(F.col("kind") == REMOVE).select("d", "r", "run"))
     lost = lost.groupBy("d", "r").agg(F.collect_list("run").alias("lost"))
-    fields = docs.select(F.struct(*docs.columns).alias("doc")).schema["doc"].dataType.simpleString()
     all_ = moved.join(lost.hint("shuffle_hash"), ["d", "r"], "left").withColumn("lost", F.coalesce("lost", F.expr("array()")))
-    out = all_.mapInArrow(strip, f"doc {fields}, spans array<struct<first: long, end: long>>, kept binary")
+    span = T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())])
+    out = all_.select("doc", "lost").mapInArrow(strip, T.StructType([all_.schema["doc"], T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]))
     return out.select("doc.*", "spans", "kept")
 
 
@@ -428,9 +435,9 @@ def whole_signs(line: bytes, first: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def digest(found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts and a hash of what is left of every row."""
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    size = F.coalesce(F.octet_length(F.col(quoted(text))), F.lit(0)).cast("long")
     return found.select(
-        key,
+        F.col(quoted(key)),
         size.alias("n_bytes"),
         (size - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
@@ -444,6 +451,7 @@ def stripped(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str
     ``size``, where the table has it, is the new number of signs. Every row stays, also one with nothing left, whose
     text is empty.
     """
-    found = repeats(docs, length, key=key, text=text, signs=True)
-    found = found.withColumn(text, F.make_valid_utf8(F.col("kept").cast("string")))
-    return found.withColumn(size, F.length(text).cast(docs.schema[size].dataType)).select(*docs.columns) if size in docs.columns else found.select(*docs.columns)
+    rows = docs.select(whole_row(docs).alias("row"), F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
+    left = repeats(rows, length, key="key", text="text", signs=True).select("row", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    new = {text: F.col("text")} | ({size: F.length("text").cast(docs.schema[size].dataType)} if size in docs.columns else {})
+    return left.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
