@@ -17,14 +17,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import settled
+from .storage import quoted, settled, whole_row
 
 POINTS = 15  # exponents tried in one job: four halvings
+LEAST_BLOCKS, BLOCK_ROWS = 1024, 65_536
 
 
 def words(text: str = "text") -> Column:
     """The number of stretches between white space: a count of tokens that any engine can make."""
-    return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
+    return F.regexp_count(F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
 
 
 def mixed_by(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
@@ -37,10 +38,13 @@ def mixed_by(shares: DataFrame, exponents: list[float]) -> list[tuple[float, flo
     return out
 
 
-def exponent(shares: DataFrame, entropy: float | None, repeats: float | None) -> float:
-    """The exponent in [0, 1] for a target: closest to 1 (entropy), closest to 0 (repeats) that meets it."""
-    if (entropy is None) == (repeats is None):
-        raise ValueError("one target: entropy or repeats")
+def exponent(shares: DataFrame, entropy: float | None, repeats: float | None, evenness: float | None = None) -> float:
+    """The exponent in [0, 1] for a target: closest to 1 (entropy, evenness), closest to 0 (repeats) that meets it."""
+    if sum(x is not None for x in (entropy, repeats, evenness)) != 1:
+        raise ValueError("one target: entropy, evenness or repeats")
+    if evenness is not None:
+        (_, even, _), (_, own, _) = mixed_by(shares, [0.0, 1.0])
+        entropy = own + evenness * (even - own)
     met = (lambda x: x[1] >= entropy) if entropy is not None else (lambda x: x[2] > repeats)
     low, high = 0.0, 1.0  # the target is met (entropy), or not (repeats), up to some point between
     ends = mixed_by(shares, [low, high])
@@ -70,9 +74,10 @@ def mixture(
     docs: DataFrame,
     entropy: float | None = None,
     repeats: float | None = None,
+    evenness: float | None = None,
     budget: int | None = None,
     tokens: Column | None = None,
-    blocks: int = 1024,
+    blocks: int | None = None,
     seed: int = 17,
     key: str = "doc_id",
     source: str = "source",
@@ -81,28 +86,31 @@ def mixture(
     """Documents once per pass that takes them: column ``doc`` (the row) and n_tokens, weight, epoch, block, at, turn.
 
     ``entropy`` (nats) or ``repeats`` (passes over the most repeated source for one over the least repeated) is the target;
-    one that no exponent meets gives the nearest one. ``budget`` is the number of tokens wanted; without it, the
+    one that no exponent meets gives the nearest one. ``evenness`` is an entropy between that of the sources as they are (0)
+    and that of equal weights (1). ``budget`` is the number of tokens wanted; without it, the
     smallest one that takes every document at least once, so that nothing is lost. ``tokens`` counts a document
     (default: words). Read in the order of (at, turn), every stretch has the sources in proportion to their weights.
 
     A missing source is the source "". Sources without any token, and without a budget also documents without any, cost
     nothing: a source without tokens is taken once, with weight 0. Rows that repeat are taken alike. A missing text has no
-    tokens; an empty table gives no rows. Extra columns stay inside ``doc``.
+    tokens, a very long one all of its own; an empty table gives no rows. A source has ``blocks`` blocks, by default as
+    many as keep a block near ``BLOCK_ROWS`` documents. Extra columns stay inside ``doc``.
     """
     rows = docs.select(
-        F.struct(*docs.columns).alias("doc"),
-        F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
+        whole_row(docs).alias("doc"),
+        F.coalesce(F.col(quoted(source)).cast("string"), F.lit("")).alias("_source"),
         (words(text) if tokens is None else tokens).cast("long").alias("n_tokens"),
-        F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text).cast("string")).alias("_hash"),
+        F.xxhash64(F.lit(seed), F.col(quoted(key)).cast("string"), F.col(quoted(text)).cast("string")).alias("_hash"),
     )
     narrow = settled(rows.select("_source", "n_tokens", "_hash"), "tokens")
+    blocks = blocks or max(LEAST_BLOCKS, -(-narrow.count() // BLOCK_ROWS))
     block = F.pmod("_hash", F.lit(blocks).cast("long")).alias("block")
     held = settled(narrow.groupBy("_source", block).agg(F.sum("n_tokens").alias("tokens")), "blocks")
     sums = settled(held.groupBy("_source").agg(F.sum("tokens").alias("total")), "sources")
     every = sums.agg(F.sum("total")).first()[0] or 0
     shares = settled(sums.where("total > 0").select("_source", "total", (F.col("total") / F.lit(every)).alias("p")), "shares")
     if every:
-        power = exponent(shares, entropy, repeats)
+        power = exponent(shares, entropy, repeats, evenness)
         ((z, _, _),) = mixed_by(shares, [power])
     else:
         power, z = 1.0, 1.0
@@ -127,7 +135,8 @@ def mixture(
     cut = cut.where(F.col("_sum") > F.col("rest")).groupBy("_source").agg(F.min_by(F.struct("block", "_order", (F.col("_sum") - F.col("tokens")).alias("before")), "_order").alias("cut"))
     plan = plan.join(cut, "_source", "left").select("_source", "weight", "length", "passes", "rest", "cut.*")
     last = narrow.withColumn("block", block).join(plan.select("_source", "block", "passes", "rest", "before"), ["_source", "block"])
-    last = last.withColumn("_turn", turn(F.col("passes")))
+    # rows that repeat have one turn, and are one row of the window
+    last = last.withColumn("_turn", turn(F.col("passes"))).groupBy("_source", "_turn", "before", "rest").agg(F.sum("n_tokens").alias("n_tokens"))
     last = last.withColumn("_sum", F.col("before") + F.sum("n_tokens").over(along.orderBy("_turn").rangeBetween(Window.unboundedPreceding, 0)))
     last = last.where(F.col("_sum") > F.col("rest")).groupBy("_source").agg(F.min("_turn").alias("last"))
     plan = plan.join(last, "_source", "left").withColumnsRenamed({"block": "cut_block", "_order": "cut_order"})

@@ -108,8 +108,8 @@ def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents mixed by source: no source is passed more than twice as often as another, no document is lost."""
-    mixed = mixing.mixture(table(spark, sf_dir, "documents"), repeats=2.0)
+    """Documents mixed by source, half way between the sources as they are and equal ones; no document is lost."""
+    mixed = mixing.mixture(table(spark, sf_dir, "documents"), evenness=0.5)
     return mixed.select("doc.doc_id", "doc.source", "n_tokens", "weight", "epoch", "block", "at", "turn")
 
 
