@@ -22,20 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import quoted
 from .vectors import common_size, matrix, sound, unit
 
 ROUNDING = 1e-12  # of a squared distance of unit vectors, and more
 
 
 def chi_square_quantile(p: float, degrees: int) -> float:
-    """The value below which a chi-square variable with an even number of degrees falls with probability ``p``."""
+    """The value below which a chi-square variable with so many degrees of freedom falls with probability ``p``."""
 
     def below(x):
-        term, total = 1.0, 1.0
-        for i in range(1, degrees // 2):
-            term *= x / 2 / i
-            total += term
-        return 1 - math.exp(-x / 2) * total
+        # the upper tail: a term for every two degrees, on top of that of one degree where their number is odd
+        half, rest = x / 2, math.erfc(math.sqrt(x / 2)) if degrees % 2 else 0.0
+        for i in range(degrees // 2):
+            a = i + degrees % 2 / 2
+            rest += math.exp(a * math.log(half) - half - math.lgamma(a + 1))
+        return 1 - rest
 
     low, high = 0.0, 1.0
     while below(high) < p:
@@ -142,7 +144,7 @@ def nearest(
     repeat a key count once, with the smallest of their vectors. An empty table gives no rows; vectors of different
     lengths are an error. ``confidence`` is the chance, for each true neighbour, not to be cut off by the stopping test.
     """
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec")).where(sound("vec") & F.col("id").isNotNull())
+    rows = df.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(vec)).alias("vec")).where(sound("vec") & F.col("id").isNotNull())
     rows = rows.groupBy("id").agg(F.min("vec").alias("vec"))
     dim, total = common_size(rows, "vec"), rows.count()
     shards = max(1, -(-total // shard))
@@ -173,9 +175,15 @@ def nearest(
                 columns = [np.repeat([f[0] for f in found], size), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-    stored = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards).cast("long")).alias("shard"), F.lit(0).alias("asks"), "id", "vec")
-    asked = rows.where(F.col("id") % every == 0).select(F.explode(F.expr(f"sequence(bigint(0), bigint({shards - 1}))")).alias("shard"), F.lit(1).alias("asks"), "id", "vec")
-    dealt = stored.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")
-    found = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
+    # a task has one shard and a part of the queries; where shards are few, several tasks hold the same one
+    slices = max(1, -(-2 * df.sparkSession.sparkContext.defaultParallelism // shards))
+    copies, every_shard = (f"sequence(bigint(0), bigint({n - 1}))" for n in (slices, shards))
+    own = F.pmod(F.xxhash64("id"), F.lit(shards).cast("long")).alias("shard")
+    stored = rows.select(own, F.explode(F.expr(copies)).alias("slice"), F.lit(0).alias("asks"), "id", "vec")
+    part = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(slices).cast("long")).alias("slice")
+    asked = rows.where(F.col("id") % every == 0).select(F.explode(F.expr(every_shard)).alias("shard"), part, F.lit(1).alias("asks"), "id", "vec")
+    place = (F.col("shard") * slices + F.col("slice")).cast("int")
+    dealt = stored.unionByName(asked).repartitionById(shards * slices, place).sortWithinPartitions("shard", "asks", "id")
+    found = dealt.select("shard", "asks", "id", "vec").mapInArrow(answer, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
