@@ -3,22 +3,29 @@
 Sequences are numbered as they are read: partition by partition, after one count per partition. A keyed Feistel
 network permutes the numbers; what falls outside their range is permuted again until it falls inside (cycle
 walking), so every sequence has one global slot and every slot one sequence, and no table of the order exists.
-Slots are cut into shards of equal size. A shard is one file of records of equal length, in the order of its slots:
-slot, key, part and size, the token ids, a line end. A reader finds any slot by arithmetic and reads on from it.
+Slots are cut into shards of equal size, and ranges of neighbouring shards are the tasks that write them. A shard is one
+file of records of equal length, in the order of its slots: slot, key, part and size, the token ids, a line end. A
+reader finds any slot by arithmetic and reads on from it. Ids take a fixed number of bytes: one, when a text's own bytes
+are its ids, or as many as a vocabulary needs (see :func:`packed_ids`).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from .storage import quoted
+
 
 ROUNDS = 6
 HEAD = np.dtype([("slot", "<i8"), ("key", "<i8"), ("part", "<i4"), ("size", "<i4")])
 NO_KEY = -(1 << 63)
+SHARDS_A_TASK = 4
 
 
 def rounds(x: np.ndarray, half: int, seed: int, backward: bool) -> np.ndarray:
@@ -50,16 +57,45 @@ def record_size(length: int) -> int:
     return HEAD.itemsize + length + 1
 
 
+def packed_ids(docs: DataFrame, ids: str = "ids", width: int = 2) -> DataFrame:
+    """``docs`` with its column of token ids packed, ``width`` bytes each, the lowest first; missing lists stay missing.
+
+    An id that is missing, negative or too large for ``width`` fails the job.
+    """
+    if width not in (1, 2, 4):
+        raise ValueError("width: 1, 2 or 4 bytes")
+    place, kind = docs.columns.index(ids), np.dtype(f"<u{width}")
+
+    def pack(batches):
+        for batch in batches:
+            lists = batch.column(place)
+            flat = lists.flatten()
+            values = flat.to_numpy(zero_copy_only=False)
+            if flat.null_count or (len(values) and not 0 <= values.min() <= values.max() <= np.iinfo(kind).max):
+                raise ValueError(f"a token id that is no number of {width} bytes")
+            sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()])
+            ends = np.cumsum(np.r_[0, sizes]) * width
+            lost = np.array([not x.is_valid for x in lists])
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(values.astype(kind).tobytes())]).cast(pa.binary())
+            blobs = pa.compute.if_else(pa.array(lost), None, blobs)
+            yield pa.RecordBatch.from_arrays([blobs if i == place else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    numbers = [str(i) for i in range(len(docs.columns))]
+    kinds = [T.BinaryType() if i == place else f.dataType for i, f in enumerate(docs.schema.fields)]
+    schema = T.StructType([T.StructField(*x) for x in zip(numbers, kinds)])
+    return docs.toDF(*numbers).mapInArrow(pack, schema).toDF(*docs.columns)
+
+
 def materialise(docs: DataFrame, path: str, length: int = 512, per_shard: int = 16384, seed: int = 5, key: str = "doc_id", text: str = "text") -> int:
     """Write the byte sequences of all texts in a keyed random order to ``path``; returns their number.
 
-    A text is cut every ``length`` bytes; ids are the bytes themselves, unused places of a record are 0. A missing or
-    empty text has no sequence; rows without a key and repeated rows are written like others. No sequences: no files.
+    A text, or binary column of packed ids, is cut every ``length`` bytes (a multiple of the bytes of an id); unused places
+    of a record are 0. A missing or empty text has no sequence, a very long one as many as it needs; rows without a key and repeated rows are written like others. No sequences: no files.
     ``docs`` must give the same rows in the same partitions when it is read again, as files do; otherwise the job fails.
     """
     spark = docs.sparkSession
-    content = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("key"), content.alias("bytes"))
+    content = F.coalesce(F.col(quoted(text)).cast("binary"), F.lit(b""))
+    rows = docs.select(F.coalesce(F.col(quoted(key)).cast("long"), F.lit(NO_KEY)).alias("key"), content.alias("bytes"))
     parts = F.ceil(F.octet_length("bytes") / F.lit(length)).cast("long")
     counts = dict(rows.groupBy(F.spark_partition_id()).agg(F.sum(parts)).collect())  # a number per partition
     total = sum(counts.values())
@@ -125,7 +161,10 @@ def materialise(docs: DataFrame, path: str, length: int = 512, per_shard: int =
             values = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((np.arange(len(some) + 1) * width).astype(np.int32)), pa.py_buffer(some.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), shard)), pa.array(slots[k : k + 2048]), values], names=["shard", "slot", "value"])
 
-    blobs = rows.mapInArrow(place, "shard long, blob binary").repartition("shard").sortWithinPartitions("shard")
+    # ranges of shards: as many tasks as the shards need, and no two of them write the same one
+    tasks = -(-total // (per_shard * SHARDS_A_TASK))
+    dealt = rows.mapInArrow(place, "shard long, blob binary").repartitionById(tasks, F.expr(f"int(shard div {SHARDS_A_TASK})"))
+    blobs = dealt.sortWithinPartitions("shard")
     filled = blobs.mapInArrow(fill, "shard long, slot long, value binary")
     # the writer puts one line end after each value, whatever bytes it has
     filled.sortWithinPartitions("shard", "slot").select("shard", F.col("value").cast("string")).write.partitionBy("shard").text(path)
