@@ -29,8 +29,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, those of small sources up to twice."""
-    return mixing.remixed(docs, repeats=2.0)
+    """All documents, those of small sources several times: half way from the sources as they are to equal ones."""
+    return mixing.remixed(docs, evenness=0.5)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
