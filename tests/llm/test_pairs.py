@@ -189,6 +189,8 @@ def test_few_candidates_ties_and_empty(frame):
 def test_chi_square_quantile():
     assert abs(stable.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
     assert abs(stable.chi_square_quantile(0.99, 2) - 9.210) < 1e-3
+    assert abs(stable.chi_square_quantile(0.98, 7) - 16.622) < 1e-3
+    assert abs(stable.chi_square_quantile(0.98, 1) - 5.412) < 1e-3
 
 
 def test_hadamard_keeps_lengths():
