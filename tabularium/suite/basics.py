@@ -225,3 +225,25 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         .where(lacks_prefix("p_type", "ECO"))
     )
     return group_count(found, "p_brand")
+
+
+@checked(
+    "bulk_names",
+    "SELECT r_regionkey AS datum, r_name AS tabelnaam FROM region",
+)
+def bulk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns named by place."""
+    return table(spark, sf_dir, "region").toDF("datum", "tabelnaam")
+
+
+@checked(
+    "arithmetic",
+    """
+    SELECT -CAST(year(o_orderdate) AS INTEGER) AS aflopend, CAST(63 - 1 AS INTEGER) AS kolommen, count(*) AS n, CAST(sum(o_custkey - 1) AS BIGINT) AS som
+    FROM orders GROUP BY ALL
+    """,
+)
+def arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negated years as a sort key, and one less of a count."""
+    rows = table(spark, sf_dir, "orders").selectExpr("-year(o_orderdate) AS aflopend", "63 - 1 AS kolommen", "o_custkey - 1 AS som")
+    return rows.groupBy("aflopend", "kolommen").agg(F.expr("count(1) AS n"), F.expr("sum(som) AS som"))
