@@ -50,7 +50,8 @@ def running_totals(
     The total is a long; one beyond it fails the job.
     """
     kept = counts.columns
-    ranged = in_ranges(counts, order, store, rows)
+    # counted once: rows are numbered, sampled for the bounds and dealt from what is stored
+    ranged = in_ranges(store(counts, "groups"), order, store, rows)
     upto = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own = ranged.withColumn("_own", F.coalesce(F.sum(F.expr(f"cast(`{measure}` AS BIGINT)")).over(upto), F.lit(0)))
     # as many rows as ranges

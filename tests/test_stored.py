@@ -164,6 +164,14 @@ def test_year_folders_outside_the_bounds_are_not_opened(spark, by_year):
     assert rows(read_by_year(spark, path, "jaar"), "jaar", "id") == rows(df, "jaar", "id")
 
 
+def test_the_series_by_year_prunes_both_sources(spark):
+    from tabularium.suite import QUERIES
+
+    plan = plan_of(QUERIES["two_periods_by_year"](spark, SMALL))
+    assert re.search(r"PartitionFilters: \[isnotnull\(jaar#\d+\), \(jaar#\d+ >= 1987\)\]", plan)
+    assert re.search(r"PartitionFilters: \[isnotnull\(Jaar#\d+\), \(Jaar#\d+ < 1987\)\]", plan)
+
+
 def test_chosen_years_prune_folders_at_run_time(spark, frame, by_year):
     path, df = by_year
     chosen = settle(frame("jaar int, n int", (1990, 1), (1991, 2), (1991, 2), (1993, 3), (None, 4), (2050, 9)), "chosen")
