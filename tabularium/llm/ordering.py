@@ -97,17 +97,18 @@ def materialise(docs: DataFrame, path: str, length: int = 512, per_shard: int =
     content = F.coalesce(F.col(quoted(text)).cast("binary"), F.lit(b""))
     rows = docs.select(F.coalesce(F.col(quoted(key)).cast("long"), F.lit(NO_KEY)).alias("key"), content.alias("bytes"))
     parts = F.ceil(F.octet_length("bytes") / F.lit(length)).cast("long")
-    counts = dict(rows.groupBy(F.spark_partition_id()).agg(F.sum(parts)).collect())  # a number per partition
-    total = sum(counts.values())
+    # a number per input partition, sent to each executor once
+    counted = np.array(rows.groupBy(F.spark_partition_id()).agg(F.sum(parts)).collect(), np.int64).reshape(-1, 2)
+    total = int(counted[:, 1].sum())
     if not total:
         return 0
-    first, seen = {}, 0
-    for part in sorted(counts):
-        first[part], seen = seen, seen + counts[part]
+    counts = np.zeros(int(counted[:, 0].max()) + 2, np.int64)
+    counts[counted[:, 0] + 1] = counted[:, 1]
+    starts = spark.sparkContext.broadcast(np.cumsum(counts))
 
     def place(batches):
-        own = TaskContext.get().partitionId()
-        number, end = first.get(own, 0), first.get(own, 0) + counts.get(own, 0)
+        own, firsts = TaskContext.get().partitionId(), starts.value
+        number, end = (int(firsts[min(at, len(firsts) - 1)]) for at in (own, own + 1))
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             keys, lines = batch.column(0).to_numpy(), batch.column(1)
