@@ -33,7 +33,9 @@ from .storage import quoted, settled
 
 #: What stands between terms becomes a space, and A-Z become small; all other bytes belong to terms.
 SIGNS = bytes(32 if b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-WORDS_AT_ONCE, DOCS_AT_ONCE, CELLS, TERMS_AT_ONCE, ITEM_BYTES = 2 << 20, 1 << 15, 1 << 24, 4096, 4 << 20
+WORDS_AT_ONCE, DOCS_AT_ONCE, CELLS = 2 << 20, 1 << 13, 1 << 24
+#: A batch of items: their terms take so many bytes, and an item at least the second number of them.
+ITEM_BYTES, LEAST_BYTES = 1 << 19, 512
 BITS_PER_ENTRY, HASHES = 20, 5
 #: A term is entered once for each of these numbers of occurrences that it reaches.
 OFTEN = np.array([1, 2, 3, *[n << i for i in range(40) for n in (4, 6)]])
@@ -173,12 +175,12 @@ class Asked:
         bits = np.frombuffer(block["bits"], np.uint8).reshape(n_rows, -1)
         sizes, of = np.unique(np.frombuffer(block["sizes"], "<i8"), return_inverse=True)
         out, may = np.zeros((len(self.items), n_docs), np.int64), {}
-        before = np.zeros(len(sizes), np.int64)
+        before, at_once = np.zeros(len(sizes), np.int64), max(64, CELLS // n_docs)
         for level in range(block["top"] + 1):
             most = np.array([self.gain(min(int(OFTEN[level + 1]) - 1, n), n) for n in sizes.tolist()])
             more, before = (most - before)[of], most
-            for a in range(0, len(self.terms), TERMS_AT_ONCE):
-                lines = slices(self.hashes[a : a + TERMS_AT_ONCE], level, n_rows)
+            for a in range(0, len(self.terms), at_once):
+                lines = slices(self.hashes[a : a + at_once], level, n_rows)
                 there = reduce(np.bitwise_and, (bits[line] for line in lines))
                 if level:  # who holds a term three times holds it twice
                     there &= may[a]
@@ -190,7 +192,7 @@ class Asked:
                 at = np.full(len(there), -1)
                 at[some] = np.arange(len(some))
                 for i, own in enumerate(self.of):
-                    mine = own[np.searchsorted(own, a) : np.searchsorted(own, a + TERMS_AT_ONCE)]
+                    mine = own[np.searchsorted(own, a) : np.searchsorted(own, a + at_once)]
                     if len(mine := mine[at[mine - a] >= 0]):
                         out[i] += more * (self.weights[mine] @ flags[at[mine - a]])
         return out
@@ -219,7 +221,8 @@ def search(
     stored = index(docs, key, text)
     n_docs, n_terms = stored.where("term IS NULL AND bits IS NULL").agg(F.sum("n_docs"), F.sum("df")).first()
     asked = settled(keyed(items, item_key, item_text).where("key IS NOT NULL").mapInArrow(item_terms, "item long, term binary").distinct(), "items")
-    size = asked.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    sizes = asked.groupBy("item").agg((F.sum(F.octet_length("term") + 16) + LEAST_BYTES).alias("size"))
+    size = sizes.agg(F.sum("size")).first()[0] or 0
     batches = -(-size // ITEM_BYTES) if n_docs else 0
     found = [scored(docs, stored, batch, n_docs, n_terms, k, probe, key, text, kept) for batch in parts(asked, batches)]
     found = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kept)

@@ -49,6 +49,7 @@ def asked(rows):
 
 def test_search_equals_scoring_every_document(frame, monkeypatch):
     monkeypatch.setattr(bitsliced, "DOCS_AT_ONCE", 64)  # several stretches and many blocks
+    monkeypatch.setattr(bitsliced, "CELLS", 4096)  # and many terms in several steps
     rng = random.Random(3)
     vocabulary_ = ["".join(rng.choices("abcdeé", k=rng.randrange(1, 5))) for _ in range(300)]
     often = [1 / (i + 1) for i in range(300)]
@@ -63,7 +64,7 @@ def test_search_equals_scoring_every_document(frame, monkeypatch):
 
 
 def test_search_in_several_batches_of_items(frame, monkeypatch):
-    monkeypatch.setattr(bitsliced, "ITEM_BYTES", 100)
+    monkeypatch.setattr(bitsliced, "ITEM_BYTES", 1200)
     docs = [(i, " ".join(f"w{j}" for j in range(i % 9, 12))) for i in range(60)]
     items = [(i, f"w{i} w{i + 3} w11") for i in range(12)]
     got = bitsliced.search(frame("doc_id long, text string", *docs), frame("item_id long, text string", *items))
