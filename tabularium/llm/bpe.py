@@ -148,10 +148,10 @@ class Encoder:
 
     def __init__(self, spec: str):
         read = json.loads(spec)
-        model, replaced = read["model"], read["normalizer"]["normalizers"][1]
+        model = read["model"]
         odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
-        if model["type"] != "BPE" or odd or (replaced["pattern"], replaced["content"]) != ({"Regex": r"\s+"}, " "):
-            raise ValueError(f"a vocabulary with other rules than this operator has: {odd or 'model or white space'}")
+        if model["type"] != "BPE" or odd:
+            raise ValueError(f"a vocabulary with other rules than this operator has: {odd or model['type']}")
         if read["decoder"] is not None or read.get("post_processor") is not None:
             raise ValueError("only vocabularies without a decoder of their own and without added ends")
         self.rules, self.vocab, self.suffix = Rules(spec), model["vocab"], model.get("end_of_word_suffix") or ""

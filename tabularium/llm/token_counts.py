@@ -53,7 +53,8 @@ class Rules:
         read = json.loads(spec)
         split, level = read["pre_tokenizer"]["pretokenizers"]
         steps = [x["type"] for x in read["normalizer"]["normalizers"]]
-        if steps != ["NFC", "Replace", "Lowercase"] or not split["invert"] or level["type"] != "ByteLevel" or level["add_prefix_space"]:
+        replaced = [(x["pattern"], x["content"]) for x in read["normalizer"]["normalizers"] if x["type"] == "Replace"]
+        if steps != ["NFC", "Replace", "Lowercase"] or replaced != [({"Regex": r"\s+"}, " ")] or not split["invert"] or level["type"] != "ByteLevel" or level["add_prefix_space"]:
             raise ValueError("a vocabulary with other rules for words than this operator has")
         added = read["added_tokens"]
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
