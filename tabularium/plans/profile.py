@@ -83,6 +83,15 @@ def profile_tables(tables: Mapping[tuple[str, str], DataFrame | None]) -> DataFr
     return correct_periods(reduce(DataFrame.unionByName, rows))
 
 
+def _settled(spark: SparkSession, tables: Mapping[tuple[str, str], DataFrame | None]) -> DataFrame:
+    """The profile, run and stored where aggregates may be answered by the source."""
+    with settings(spark, FOOTERS):
+        out = settle(profile_tables(tables), "profile")
+    # a count out of footers is a sum over row groups, and missing where there is none
+    known = literals(["", *[name.upper() for (_, name), df in tables.items() if df is not None]])
+    return out.withColumn("rijen", F.expr(f"CASE WHEN rijen IS NULL AND dmx_naam IN {known} THEN 0L ELSE rijen END"))
+
+
 def profile_stored(spark: SparkSession, paths: Mapping[tuple[str, str], str]) -> DataFrame:
     """One row per ``(schema, name)`` of parquet tables whose measures are stored columns, taken from file footers.
 
@@ -90,13 +99,9 @@ def profile_stored(spark: SparkSession, paths: Mapping[tuple[str, str], str]) ->
     footers and reads no column (``PushedAggregation`` in its plan). A column kept as a timestamp has no usable ends there,
     and is read as :func:`profile_tables` would. Settled, as the pushing down is decided when the job starts.
     """
+
     def run(some: Mapping[tuple[str, str], str], read) -> DataFrame:
-        tables = {key: read(spark, path) if profiled(key[1]) else None for key, path in some.items()}
-        with settings(spark, FOOTERS):
-            out = settle(profile_tables(tables), "profile")
-        # a count out of footers is a sum over row groups, and missing where there is none
-        known = literals(["", *[name.upper() for _, name in some if profiled(name)]])
-        return out.withColumn("rijen", F.expr(f"CASE WHEN rijen IS NULL AND dmx_naam IN {known} THEN 0L ELSE rijen END"))
+        return _settled(spark, {key: read(spark, path) if profiled(key[1]) else None for key, path in some.items()})
 
     try:
         return run(paths, footer_scan)
@@ -111,30 +116,48 @@ def profile_stored(spark: SparkSession, paths: Mapping[tuple[str, str], str]) ->
         return reduce(DataFrame.unionByName, parts)
 
 
+def footer_table(spark: SparkSession, name: str) -> DataFrame | None:
+    """A catalogue table read by :func:`footer_scan`, where it is a parquet table whose files have its columns.
+
+    None for views, other formats and partitioned tables (their year column may stand in no file).
+    """
+    said = {r.col_name.strip(): (r.data_type or "").strip() for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    if said.get("Provider", "").lower() != "parquet" or not said.get("Location") or "# Partition Information" in said:
+        return None
+    files = footer_scan(spark, said["Location"])
+    return files if column_list(files) == column_list(spark.table(name)) else None
+
+
 def profile_catalog(spark: SparkSession, databases: Sequence[str], batch: int = 50) -> DataFrame:
     """Profile of all tables of the databases, ``batch`` tables per job, with an ``error`` column.
 
-    Each batch is settled, so that no plan grows without bound. When a batch fails, its tables are
-    profiled one by one: a table that cannot be read shows missing values and the first line of its error.
+    Parquet tables are profiled from their footers, see :func:`profile_stored`. Each batch is settled, so that no plan
+    grows without bound. When a batch fails, its tables are profiled one by one, without footers if need be: a table
+    that cannot be read shows missing values and the first line of its error.
     """
     names = [(r.schema, r.tabelnaam) for r in table_list(spark, list(databases)).collect()]  # metadata only
     good = "cast(NULL AS STRING) AS error"
 
-    def run(part: Sequence[tuple[str, str]]) -> DataFrame:
-        tables = {
-            (db, name): spark.table(f"`{db}`.`{name}`") if profiled(name) else None for db, name in part
-        }
-        return settle(profile_tables(tables).selectExpr("*", good), "profile")
+    def run(part: Sequence[tuple[str, str]], footers: bool) -> DataFrame:
+        tables = {}
+        for db, name in part:
+            full = f"`{db}`.`{name}`"
+            df = footer_table(spark, full) if footers and profiled(name) else None
+            tables[db, name] = (spark.table(full) if df is None else df) if profiled(name) else None
+        return _settled(spark, tables).selectExpr("*", good)
 
     parts = []
     for start in range(0, len(names), batch):
         part = names[start : start + batch]
         try:
-            parts.append(run(part))
+            parts.append(run(part, footers=True))
         except UNREADABLE:
             for single in part:
                 try:
-                    parts.append(run([single]))
+                    try:
+                        parts.append(run([single], footers=True))
+                    except UNREADABLE:
+                        parts.append(run([single], footers=False))
                 except UNREADABLE as failure:
                     empty = correct_periods(profile_table(*single, None))
                     said = literal(str(failure).splitlines()[0][:200])

@@ -15,8 +15,8 @@ from tabularium.operators import (
     rollups_tagged,
     running_totals,
 )
-from tabularium.plans import population_cube, profile_stored
-from tabularium.plans.profile import profile_table
+from tabularium.plans import population_cube, profile_catalog, profile_stored
+from tabularium.plans.profile import footer_table, profile_table
 from tabularium.sources import (
     FOOTERS,
     catalog_columns,
@@ -74,6 +74,37 @@ def test_stored_profile_of_dates_missing_values_and_no_rows(spark, tmp_path):
     assert rows(got) == [("a", "DATES", 2, 2, 2001, 2001), ("a", "MISSING", 1, 1, None, None), ("a", "NONE", 0, 2, None, None)]
 
 
+def spoil(folder):
+    """Overwrite the column data of parquet files, and leave their footers."""
+    for f in folder.glob("*.parquet"):
+        raw = bytearray(f.read_bytes())
+        raw[4:200] = b"\xff" * 196
+        f.write_bytes(raw)
+    for crc in folder.glob(".*.crc"):
+        crc.unlink()
+
+
+def test_profiles_of_files_and_of_a_catalogue_need_no_column_data(spark, tmp_path):
+    columns = "cast(1990 + id % 30 AS INT) AS JAAR", "id AS ROWID", "cast(id AS STRING) AS tekst"
+    spark.range(2000).selectExpr(*columns).coalesce(1).write.parquet(f"{tmp_path}/t")
+    spark.range(9).selectExpr("id AS a", *columns).write.partitionBy("JAAR").parquet(f"{tmp_path}/p")
+    spark.range(3).write.json(f"{tmp_path}/j")
+    spoil(tmp_path / "t")
+    with pytest.raises(Exception):
+        spark.read.parquet(f"{tmp_path}/t").agg({"ROWID": "max", "JAAR": "min", "tekst": "max"}).collect()
+    assert rows(profile_stored(spark, {("a", "t"): f"{tmp_path}/t"})) == [("a", "T", 2000, 2, 1990, 2019)]
+    spark.sql("CREATE DATABASE voeten LOCATION :p", {"p": f"{tmp_path}/db"})
+    try:
+        for name, kind in (("t", "parquet"), ("p", "parquet"), ("j", "json")):
+            spark.catalog.createTable(f"voeten.{name}", f"{tmp_path}/{name}", kind)
+        spark.sql("MSCK REPAIR TABLE voeten.p") if spark.table("voeten.p").count() == 0 else None
+        got = rows(profile_catalog(spark, ["voeten"]).drop("error"))
+        assert got == [("voeten", "J", 3, 1, None, None), ("voeten", "P", 9, 3, 1990, 1998), ("voeten", "T", 2000, 2, 1990, 2019)]
+        assert footer_table(spark, "voeten.j") is None and footer_table(spark, "voeten.p") is None
+    finally:
+        spark.sql("DROP DATABASE voeten CASCADE")
+
+
 # totals observed while writing
 
 
