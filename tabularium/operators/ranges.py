@@ -3,6 +3,9 @@
 Rows are dealt to partitions by ranges of the order. Partition totals are added up in two steps, within stretches of
 ``STRETCH`` partitions and over the stretches, and a window inside each partition does the rest. No task sees more
 than its own range, and the driver sees one number per stretch.
+
+Spark sends the driver a few hundred sampled rows and a task's result for each range, so small ranges are made larger
+beyond ``STRETCH`` of them: what the driver gets stays the same until ranges hold ``ROWS`` rows each.
 """
 
 from __future__ import annotations
@@ -14,15 +17,21 @@ from pyspark.sql import functions as F
 
 Store = Callable[[DataFrame, str], DataFrame]
 STRETCH = 1024
+ROWS = 1_000_000
 PART, BEFORE = "_part", "_before"
 
 
+def ranges_for(count: int, rows: int) -> int:
+    """Ranges of about ``rows`` rows as far as ``STRETCH`` of them; beyond that larger ones, and more only from ``ROWS`` rows each on."""
+    return max(1, min(-(-count // rows), max(STRETCH, -(-count // ROWS))))
+
+
 def in_ranges(df: DataFrame, order: Sequence[Column], store: Store, rows: int) -> DataFrame:
-    """``df`` stored in ranges of ``order`` of about ``rows`` rows, numbered in ``_part``.
+    """``df`` stored in ranges of ``order`` of about ``rows`` rows, or more (see :func:`ranges_for`), numbered in ``_part``.
 
     Stored, because range bounds come from a sample and must not be drawn twice.
     """
-    parts = max(1, -(-df.count() // rows))
+    parts = ranges_for(df.count(), rows)
     if parts > STRETCH * STRETCH:
         raise ValueError(f"{parts} ranges; take more rows for each")
     return store(df.repartitionByRange(parts, *order).withColumn(PART, F.spark_partition_id()), "ranges")

@@ -10,6 +10,7 @@ from tabularium.operators import (
     group_count,
     interval_label,
     keep_many_keys,
+    ranges,
     row_ranks,
     rollups,
     rollups_tagged,
@@ -261,6 +262,23 @@ def test_ranks_have_no_gaps_where_one_key_holds_most_rows(spark):
     assert stored.groupBy("_part").count().agg(F.max("count")).first()[0] < 4000
 
 
+def test_small_ranges_grow_instead_of_their_number(spark, monkeypatch):
+    assert [ranges.ranges_for(n, 2000) for n in (0, 1, 2001, 2_048_000, 2_048_001, 216_000_000, 1_024_000_000)] == [1, 1, 2, 1024, 1024, 1024, 1024]
+    assert ranges.ranges_for(5_000_000_000, 2000) == 5000 and ranges.ranges_for(5_000_000_000, 10_000_000) == 500
+    monkeypatch.setattr(ranges, "STRETCH", 4)
+    df = spark.range(6000).selectExpr("if(id % 3 > 0, 7, id) AS k")
+    for most, parts in ((10_000, 4), (600, 10)):  # within one stretch, over three of them
+        monkeypatch.setattr(ranges, "ROWS", most)
+        got = row_ranks(df, [F.col("k").desc()], settle, rows=100)
+        stored = spark.read.parquet(re.search(r"(/\S*ranges-[0-9a-f]+)", got.inputFiles()[0])[1])
+        assert stored.agg(F.max("_part")).first()[0] == parts - 1
+        ranked = sorted(got.collect(), key=lambda r: r.volgnr)
+        assert [r.volgnr for r in ranked] == list(range(1, 6001))
+        assert [r.k for r in ranked] == sorted((r.k for r in df.collect()), reverse=True)
+        totals = running_totals(spark.range(6000).selectExpr("id AS g", "id % 5 AS n"), [F.col("g")], "n", settle, rows=100)
+        assert [r.cum for r in sorted(totals.collect())] == [sum(range(5)) * (g // 5) + sum(range(g % 5 + 1)) for g in range(6000)]
+
+
 def test_exact_chunks(spark, tmp_path):
     df = spark.range(10_007).selectExpr("cast(if(id % 3 > 0, 2020, 2000 + id % 20) AS INT) AS Jaar", "id")
     path = f"{tmp_path}/chunks"
