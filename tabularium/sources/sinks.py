@@ -171,7 +171,8 @@ def write_exact_chunks(
 
     One folder per chunk (``serie=1`` ...); ``volgnr`` is the place of a row in the whole. For outputs whose years may be
     split. Places come from partition counts (see :func:`row_ranks`), so a year, or equal rows, that make up most of
-    the table are spread over many tasks; ``rows`` is about what a task sorts.
+    the table are spread over many tasks; ``rows`` is about what a task sorts, and more where that would take more than
+    1 024 tasks.
     """
     ranked = row_ranks(df, order, settle, "volgnr", rows)
     chunked = ranked.selectExpr("*", f"(volgnr - 1) div {int(limit)} + 1 AS serie").sortWithinPartitions("serie", "volgnr")

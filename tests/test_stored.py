@@ -290,6 +290,22 @@ def test_exact_chunks(spark, tmp_path):
     assert rows(spark.read.parquet(path), "id") == rows(df, "id")
 
 
+def test_exact_chunks_of_few_large_ranges(spark, tmp_path, monkeypatch):
+    from tabularium.sources import sinks
+
+    kept = []
+    monkeypatch.setattr(sinks, "settle", lambda df, name: kept.append(settle(df, name)) or kept[-1])
+    monkeypatch.setattr(ranges, "STRETCH", 4)
+    df = spark.range(5003).selectExpr("cast(if(id % 3 > 0, 2020, if(id % 7 = 0, NULL, 2000 + id % 20)) AS INT) AS Jaar", "id")
+    path = f"{tmp_path}/chunks"
+    write_exact_chunks(df, path, [F.col("Jaar").desc_nulls_last()], limit=1000, rows=100)
+    assert [r._part for r in kept[-1].select("_part").distinct().orderBy("_part").collect()] == [0, 1, 2, 3]
+    got = spark.read.parquet(path).orderBy("volgnr").collect()
+    assert [(r.volgnr, r.serie) for r in got] == [(i + 1, i // 1000 + 1) for i in range(5003)]
+    assert [r.Jaar or 0 for r in got] == sorted((r.Jaar or 0 for r in got), reverse=True)
+    assert rows(spark.read.parquet(path), "id", "Jaar") == rows(df, "id", "Jaar")
+
+
 # intervals
 
 RANGES = [(0, 14, "jong"), (15, 15, "vijftien"), (16, 120, "ouder")]
